@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference job is bounded batch only: it has no watermark, windowed aggregate, stateful
+operator or late-data rule (its "real-time" label is a re-read of stored results).  So this
+package holds no operators; every job in ``supplyscope.plans`` is a batch job.
+"""
