@@ -18,7 +18,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_sql as O  # noqa: E402
 from supplyscope import operators as ops  # noqa: E402
+from supplyscope.plans.scoring import score_orders  # noqa: E402
+from supplyscope.plans.training import (evaluate, fit_delay, fit_lead_time, predict,  # noqa: E402
+                                        training_features)
 from supplyscope.sources import fixture_views  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 MONTH_FROM, MONTH_TO = O.MONTH_FROM, O.MONTH_TO
@@ -26,9 +30,10 @@ MONTH_FROM, MONTH_TO = O.MONTH_FROM, O.MONTH_TO
 TIER = "tier 2"
 SEARCH = "0001"
 DETAIL_VENDOR = 7
-BRAND_VENDOR = 7
+BRAND_VENDOR = 98
 SAMPLE_N = 100_000
 SAMPLE_KEYS = ["PONumber", "LineNumber", "Brand", "VendorNumber"]
+SPLIT_SEED = 7
 
 
 def _r6(df: DataFrame, *cols: str) -> DataFrame:
@@ -150,6 +155,67 @@ def q_sample_purchases(spark, sf_dir):
     return ops.sample_n(_views(spark, sf_dir)["purchases"], SAMPLE_N, SAMPLE_KEYS, seed=42)
 
 
+def _training(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    return training_features(v["purchases"], _vs(spark, sf_dir, sort=False), SAMPLE_N,
+                             SAMPLE_KEYS, seed=42)
+
+
+def q_training_features(spark, sf_dir):
+    return _training(spark, sf_dir)
+
+
+def q_train_test_split(spark, sf_dir):
+    feats = _training(spark, sf_dir)
+    return feats.withColumn("Split", F.when(ops.train_test_flag(SAMPLE_KEYS, SPLIT_SEED),
+                                            "train").otherwise("test"))
+
+
+def q_score_orders_rules(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    return score_orders(v["orders_to_score"], _vs(spark, sf_dir, sort=False), None,
+                        keep=["order_key", "line_number", "part_key"])
+
+
+_MODELS: dict = {}
+
+
+def _models(spark, sf_dir):
+    """Train both models once per session and data folder (the rows-only queries share them)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        feats = _training(spark, sf_dir)
+        train, test = ops.train_test_split(feats, SAMPLE_KEYS, SPLIT_SEED)
+        models = {"reg": fit_lead_time(train), "cls": fit_delay(train)}
+        _MODELS[key] = (models, test)
+    return _MODELS[key]
+
+
+def q_predict_lead_time(spark, sf_dir):
+    models, test = _models(spark, sf_dir)
+    return predict({"reg": models["reg"]}, test).select(*SAMPLE_KEYS, "ActualLeadTimeDays",
+                                                        "pred_days")
+
+
+def q_predict_delay(spark, sf_dir):
+    models, test = _models(spark, sf_dir)
+    return (predict({"cls": models["cls"]}, test)
+            .select(*SAMPLE_KEYS, "IsDelayed", "pred_delay",
+                    (vector_to_array("prob_delay")[1]).alias("p_delay")))
+
+
+def q_model_metrics(spark, sf_dir):
+    models, test = _models(spark, sf_dir)
+    return evaluate(models, test)
+
+
+def q_score_orders_model(spark, sf_dir):
+    models, _ = _models(spark, sf_dir)
+    v = _views(spark, sf_dir)
+    return score_orders(v["orders_to_score"], _vs(spark, sf_dir, sort=False), models,
+                        keep=["order_key", "line_number", "part_key"])
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "monthly_trends": (q_monthly_trends, O.with_standins(O.MONTHLY_TRENDS)),
     "purchase_metrics": (q_purchase_metrics, O.with_standins(
@@ -227,6 +293,15 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "sample_purchases": (q_sample_purchases, O.with_standins(
         "SELECT * FROM purchases ORDER BY md5(concat_ws('|', PONumber, LineNumber, Brand, VendorNumber, '42')), "
         f"PONumber, LineNumber, Brand, VendorNumber LIMIT {SAMPLE_N}")),
+    "training_features": (q_training_features, O.with_vs(O.TRAINING_FEATURES)),
+    "train_test_split": (q_train_test_split, O.with_vs(
+        f"SELECT *, CASE WHEN substr(md5(concat_ws('|', PONumber, LineNumber, Brand, VendorNumber, '{SPLIT_SEED}')), 1, 8) "
+        f"< 'cccccccc' THEN 'train' ELSE 'test' END AS Split FROM ({O.TRAINING_FEATURES_SELECT})")),
+    "score_orders_rules": (q_score_orders_rules, O.with_vs(O.SCORE_ORDERS_RULES)),
+    "predict_lead_time": (q_predict_lead_time, None),
+    "predict_delay": (q_predict_delay, None),
+    "model_metrics": (q_model_metrics, None),
+    "score_orders_model": (q_score_orders_model, None),
 }
 
 

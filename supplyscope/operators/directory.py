@@ -87,7 +87,7 @@ def top_brands_per_vendor(brands: DataFrame, k: int = 10) -> DataFrame:
     so a vendor owning a third of all brands sends at most ``k`` rows per task."""
     w = Window.partitionBy("VendorNumber").orderBy(F.col("TotalSpendDollars").desc_nulls_last(),
                                                   F.col("Brand").asc())
-    return (brands.withColumn("BrandRank", F.row_number().over(w))
+    return (brands.withColumn("BrandRank", F.row_number().over(w).cast("long"))
             .filter(F.col("BrandRank") <= k))
 
 

@@ -25,7 +25,7 @@ def purchase_metrics(purchases: DataFrame) -> DataFrame:
     return (purchases
             .filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull())
             .select("VendorNumber", "VendorName", "PONumber", "Quantity", "Dollars",
-                    "PurchasePrice", lt.alias("_lt"))
+                    "PurchasePrice", lt.cast("long").alias("_lt"))
             .groupBy("VendorNumber")
             .agg(F.max("VendorName").alias("VendorName"),
                  F.count_distinct("PONumber").alias("TotalPOs"),
