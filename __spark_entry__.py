@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle_sql as O  # noqa: E402
 from supplyscope import operators as ops  # noqa: E402
 from supplyscope.plans.scoring import score_orders  # noqa: E402
-from supplyscope.plans.training import (evaluate, fit_delay, fit_lead_time, predict,  # noqa: E402
+from supplyscope.plans.training import (evaluate, fit_both, predict,  # noqa: E402
                                         training_features)
 from supplyscope.sources import fixture_views  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
@@ -186,7 +186,7 @@ def _models(spark, sf_dir):
     if key not in _MODELS:
         feats = _training(spark, sf_dir)
         train, test = ops.train_test_split(feats, SAMPLE_KEYS, SPLIT_SEED)
-        models = {"reg": fit_lead_time(train), "cls": fit_delay(train)}
+        models = fit_both(train)
         _MODELS[key] = (models, test)
     return _MODELS[key]
 

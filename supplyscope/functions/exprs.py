@@ -68,18 +68,38 @@ def round1(c: ColumnOrName) -> Column:
     return F.rint(_c(c) * 10.0) / 10.0
 
 
-def exact_sum(c: ColumnOrName, scale: int = 6) -> Column:
-    """Sum of a money-like double, added as a decimal so the result does not depend on
-    partitioning or task order; returned as double.  Values carry at most ``scale``
-    decimals (cents, tax and discount products)."""
-    return F.sum(_c(c).cast(f"decimal(38,{scale})")).cast("double")
+MICRO = 1_000_000
 
 
-def exact_avg(c: ColumnOrName, scale: int = 6) -> Column:
-    """Mean of a money-like double: exact decimal sum over the non-null count."""
+def micro_parts(c: ColumnOrName) -> tuple[Column, Column]:
+    """Split a money-like double into whole units and millionths, both ``long``."""
+    x = _c(c)
+    whole = F.floor(x)
+    return whole, F.rint((x - whole) * float(MICRO)).cast("long")
+
+
+def combine_micro(whole_sum: Column, micro_sum: Column) -> Column:
+    """``whole_sum + micro_sum / 10^6`` as an exact decimal(38,6), returned as double."""
+    micros = whole_sum.cast("decimal(38,0)") * F.lit(MICRO) + micro_sum
+    return (micros / F.lit(MICRO).cast("decimal(7,0)")).cast("double")
+
+
+def exact_sum(c: ColumnOrName) -> Column:
+    """Exact sum of a money-like double (at most 6 decimals: cents, tax and discount products).
+
+    Whole units and millionths are summed as two 64-bit integers (fixed-width buffers, so the
+    aggregate stays a codegen hash aggregate with a map-side combine) and joined into one
+    decimal per group.  The result does not depend on partitioning or task order, so a
+    recomputed task gives the same bits."""
+    whole, micro = micro_parts(c)
+    return combine_micro(F.sum(whole), F.sum(micro))
+
+
+def exact_avg(c: ColumnOrName) -> Column:
+    """Mean of a money-like double: exact sum over the non-null count."""
     x = _c(c)
     n = F.count(x)
-    return F.when(n > 0, exact_sum(x, scale) / n)
+    return F.when(n > 0, exact_sum(x) / n)
 
 
 def matches(c: ColumnOrName, text: str, literal: bool = False) -> Column:

@@ -2,7 +2,8 @@
 
 Every aggregate is a single ``groupBy().agg()``: Spark adds a map-side partial aggregate, so
 the shuffle carries one row per (task, group) even when one vendor holds a third of all rows.
-Money sums are added as decimals (``exact_sum``) so results do not depend on task order.
+Money sums are exact (``exact_sum``: two 64-bit integer sums per column), so results do not
+depend on task order.
 """
 
 from __future__ import annotations
@@ -12,23 +13,43 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import days_between, exact_avg, exact_sum, safe_ratio, year_month
+from ..functions import (combine_micro, days_between, exact_avg, exact_sum, micro_parts,
+                         safe_ratio, year_month)
 
 LATE_AFTER_DAYS = 10
 
 
+def text_maxima(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """``max`` of string columns per ``key``, computed over distinct (key, values) first.
+
+    A string ``max`` has no fixed-width buffer, so Spark would aggregate it by sorting every
+    input row.  Reducing to distinct combinations is a hash aggregate with a map-side combine;
+    only those combinations reach the sort-based ``max``.  The count is referenced so the
+    optimizer keeps the distinct step (``max`` ignores duplicates and would let it drop it)."""
+    combos = df.groupBy(key, *cols).agg(F.count(F.lit(1)).alias("_n"))
+    return combos.groupBy(key).agg(*[F.max(F.when(F.col("_n") > 0, F.col(c))).alias(c)
+                                     for c in cols])
+
+
+def _attach(numeric: DataFrame, texts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Join per-key text maxima onto per-key numbers (null key matches null key)."""
+    t = texts.withColumnRenamed(key, "_tk")
+    return (numeric.join(t, numeric[key].eqNullSafe(t["_tk"]), "left").drop("_tk")
+            .select(*order))
+
+
 def purchase_metrics(purchases: DataFrame) -> DataFrame:
     """Purchasing and lead-time metrics per vendor (A1, A1a-c).
 
     Only lines with both a PO date and a receipt date count (P1)."""
     lt = days_between("PODate", "ReceivingDate")
-    return (purchases
-            .filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull())
-            .select("VendorNumber", "VendorName", "PONumber", "Quantity", "Dollars",
-                    "PurchasePrice", lt.cast("long").alias("_lt"))
+    lines = (purchases
+             .filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull())
+             .select("VendorNumber", "VendorName", "PONumber", "Quantity", "Dollars",
+                     "PurchasePrice", lt.cast("long").alias("_lt")))
+    numeric = (lines
             .groupBy("VendorNumber")
-            .agg(F.max("VendorName").alias("VendorName"),
-                 F.count_distinct("PONumber").alias("TotalPOs"),
+            .agg(F.count_distinct("PONumber").alias("TotalPOs"),
                  F.count(F.lit(1)).alias("TotalPurchaseRecords"),
                  F.sum("Quantity").cast("double").alias("TotalUnitsPurchased"),
                  exact_sum("Dollars").alias("TotalSpendDollars"),
@@ -40,6 +61,9 @@ def purchase_metrics(purchases: DataFrame) -> DataFrame:
                  F.count_if(F.col("_lt") > LATE_AFTER_DAYS).alias("LateDeliveriesCount"))
             .withColumn("LateDeliveryRate",
                         safe_ratio("LateDeliveriesCount", "TotalPurchaseRecords", 100.0)))
+    order = ["VendorNumber", "VendorName"] + [c for c in numeric.columns if c != "VendorNumber"]
+    return _attach(numeric, text_maxima(lines, "VendorNumber", ["VendorName"]),
+                   "VendorNumber", order)
 
 
 def invoice_metrics(vendor_invoice: DataFrame) -> DataFrame:
@@ -70,10 +94,11 @@ def inventory_metrics(inventory: DataFrame, purchase_prices: DataFrame,
     including the fan-out of a Brand listed several times, but both sides are first reduced
     to one row per Brand (resp. per Brand and vendor).  The join then never multiplies raw
     rows, and a Brand that holds many inventory rows (one per store) is not a hot key."""
+    whole, micro = micro_parts(F.col("onHand") * F.col("Price"))
     inv = (inventory.filter(F.col("Brand").isNotNull())
            .groupBy("Brand")
-           .agg(F.sum("onHand").alias("_units"),
-                F.sum((F.col("onHand") * F.col("Price")).cast("decimal(28,6)")).alias("_value")))
+           .agg(F.sum("onHand").alias("_units"), F.sum(whole).alias("_whole"),
+                F.sum(micro).alias("_micro")))
     links = (purchase_prices.filter(F.col("Brand").isNotNull())
              .groupBy("Brand", "VendorNumber")
              .agg(F.count(F.lit(1)).alias("_links")))
@@ -81,7 +106,8 @@ def inventory_metrics(inventory: DataFrame, purchase_prices: DataFrame,
     return (inv.join(links, "Brand", "inner")
             .groupBy("VendorNumber")
             .agg(F.sum(F.col("_units") * F.col("_links")).cast("double").alias(units),
-                 F.sum(F.col("_value") * F.col("_links")).cast("double").alias(value)))
+                 combine_micro(F.sum(F.col("_whole") * F.col("_links")),
+                               F.sum(F.col("_micro") * F.col("_links"))).alias(value)))
 
 
 def monthly_trends(purchases: DataFrame, date_from: str | dt.date = "2024-01-01",
@@ -104,14 +130,15 @@ def monthly_trends(purchases: DataFrame, date_from: str | dt.date = "2024-01-01"
 def brand_summary(purchases: DataFrame) -> DataFrame:
     """Per-Brand description, vendor name and number (independent maxima), units, spend and
     mean price over all lines (A7)."""
-    return (purchases
-            .groupBy("Brand")
-            .agg(F.max("Description").alias("Description"),
-                 F.max("VendorName").alias("VendorName"),
-                 F.max("VendorNumber").alias("VendorNumber"),
-                 F.sum("Quantity").cast("double").alias("TotalPurchasedUnits"),
-                 exact_sum("Dollars").alias("TotalSpendDollars"),
-                 exact_avg("PurchasePrice").alias("AvgPurchasePrice")))
+    numeric = (purchases
+               .groupBy("Brand")
+               .agg(F.max("VendorNumber").alias("VendorNumber"),
+                    F.sum("Quantity").cast("double").alias("TotalPurchasedUnits"),
+                    exact_sum("Dollars").alias("TotalSpendDollars"),
+                    exact_avg("PurchasePrice").alias("AvgPurchasePrice")))
+    return _attach(numeric, text_maxima(purchases, "Brand", ["Description", "VendorName"]),
+                   "Brand", ["Brand", "Description", "VendorName", "VendorNumber",
+                             "TotalPurchasedUnits", "TotalSpendDollars", "AvgPurchasePrice"])
 
 
 def top_brands(purchases_or_brands: DataFrame, k: int = 100) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clip, floor_at, round1, safe_ratio
+from ..functions import clip, exact_sum, floor_at, round1, safe_ratio
 from .metrics import (inventory_metrics, invoice_metrics, purchase_metrics, sales_metrics)
 
 # Fixed values that must equal the original job ------------------------------------------
@@ -170,8 +170,7 @@ def exec_summary(vs: DataFrame) -> DataFrame:
         "total_freight": "TotalFreightDollars",
     }
     aggs = [F.count(F.lit(1)).alias("total_vendors")]
-    aggs += [F.sum(F.col(c).cast("decimal(38,6)")).cast("double").alias(k)
-             for k, c in sums.items()]
+    aggs += [exact_sum(c).alias(k) for k, c in sums.items()]
     aggs.append(F.avg("AvgLeadTimeDays").alias("avg_lead_time_days"))
     aggs += [F.count_if(F.col("VendorTier") == t).alias(f"_t{i}")
              for i, t in enumerate(TIER_LABELS)]

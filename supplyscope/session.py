@@ -34,6 +34,7 @@ def build_session(master: str | None = None, app_name: str = "supplyscope",
         b = b.master(master)
     conf = dict(CLUSTER_DEFAULTS)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import exact_sum
 
 # Driver (star-schema) tables used by the stand-in views.
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -47,7 +48,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _cents(c):
-    return F.round(F.col(c) * 100).cast("long")
+    return F.rint(F.col(c) * 100).cast("long")
 
 
 def _purchase_price(price_col: str, qty_col: str):
@@ -99,8 +100,7 @@ def fixture_views(spark: SparkSession, sf_dir: str, register_views: bool = False
                       .agg(F.date_add(first_po, 7).alias("InvoiceDate"),
                            F.date_add(first_po, (F.col("VendorNumber") % 10 + 37).cast("int"))
                             .alias("PayDate"),
-                           F.sum(F.col("Dollars").cast("decimal(18,2)")).cast("double")
-                            .alias("Dollars"))
+                           exact_sum("Dollars").alias("Dollars"))
                       .select("VendorNumber", "InvoiceDate", "PayDate", "Dollars",
                               (F.col("Dollars") * (F.col("VendorNumber") % 5) * 0.005)
                               .alias("Freight")))
