@@ -129,16 +129,28 @@ def monthly_trends(purchases: DataFrame, date_from: str | dt.date = "2024-01-01"
 
 def brand_summary(purchases: DataFrame) -> DataFrame:
     """Per-Brand description, vendor name and number (independent maxima), units, spend and
-    mean price over all lines (A7)."""
-    numeric = (purchases
-               .groupBy("Brand")
-               .agg(F.max("VendorNumber").alias("VendorNumber"),
-                    F.sum("Quantity").cast("double").alias("TotalPurchasedUnits"),
-                    exact_sum("Dollars").alias("TotalSpendDollars"),
-                    exact_avg("PurchasePrice").alias("AvgPurchasePrice")))
-    return _attach(numeric, text_maxima(purchases, "Brand", ["Description", "VendorName"]),
-                   "Brand", ["Brand", "Description", "VendorName", "VendorNumber",
-                             "TotalPurchasedUnits", "TotalSpendDollars", "AvgPurchasePrice"])
+    mean price over all lines (A7).
+
+    Two aggregation levels, no join: first per (Brand, Description, VendorName) with
+    mergeable numeric partials (hash aggregate, map-side combine), then per Brand, where the
+    string maxima see one row per distinct combination instead of every line."""
+    dw, dm = micro_parts("Dollars")
+    pw, pm = micro_parts("PurchasePrice")
+    combos = (purchases
+              .groupBy("Brand", "Description", "VendorName")
+              .agg(F.max("VendorNumber").alias("_vn"), F.sum("Quantity").alias("_q"),
+                   F.sum(dw).alias("_dw"), F.sum(dm).alias("_dm"), F.sum(pw).alias("_pw"),
+                   F.sum(pm).alias("_pm"), F.count("PurchasePrice").alias("_pc")))
+    n_prices = F.sum("_pc")
+    return (combos
+            .groupBy("Brand")
+            .agg(F.max("Description").alias("Description"),
+                 F.max("VendorName").alias("VendorName"),
+                 F.max("_vn").alias("VendorNumber"),
+                 F.sum("_q").cast("double").alias("TotalPurchasedUnits"),
+                 combine_micro(F.sum("_dw"), F.sum("_dm")).alias("TotalSpendDollars"),
+                 F.when(n_prices > 0, combine_micro(F.sum("_pw"), F.sum("_pm")) / n_prices)
+                  .alias("AvgPurchasePrice")))
 
 
 def top_brands(purchases_or_brands: DataFrame, k: int = 100) -> DataFrame:
