@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import md5_key
+from ..session import materialize
 
 # 48-bit prefix of the md5 hex digest used as a uniform draw.
 _PREFIX_HEX = 12
@@ -25,7 +26,8 @@ def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFram
 
     Never funnels the sample through one task.  A count gives the row total; a threshold on
     the hash prefix keeps about ``n + 6·sqrt(n)`` candidates (raised until there are at least
-    ``n``), and only the few surplus candidates, ``O(sqrt(n))`` of them, are ordered centrally
+    ``n``), which are written once to the checkpoint folder so the later steps do not rescan
+    the input; only the few surplus candidates, ``O(sqrt(n))`` of them, are ordered centrally
     to find the exact cut.  Rows whose keys and hash are all equal are cut together."""
     h = md5_key(keys, seed)
     total = df.count()
@@ -35,7 +37,8 @@ def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFram
     frac = min(1.0, (n + 6.0 * math.sqrt(n) + 64.0) / total)
     while True:
         limit_hex = format(min(_SPACE - 1, int(frac * _SPACE)), f"0{_PREFIX_HEX}x")
-        cand = hashed.filter(F.substring("_h", 1, _PREFIX_HEX) <= F.lit(limit_hex))
+        cand = materialize(hashed.filter(F.substring("_h", 1, _PREFIX_HEX) <= F.lit(limit_hex)),
+                           "sample-candidates")
         c = cand.count()
         if c >= n or frac >= 1.0:
             break
