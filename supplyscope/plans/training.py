@@ -167,8 +167,15 @@ def save_models(models: dict, metrics: DataFrame | None, path: str) -> str:
 
 
 def load_models(spark: SparkSession, path: str) -> tuple[dict, DataFrame | None]:
-    models = {k: PipelineModel.load(os.path.join(path, k)) for k in ("reg", "cls")
-              if os.path.exists(os.path.join(path, k)) or not path.startswith("/")}
-    mp = os.path.join(path, "metrics")
-    metrics = spark.read.parquet(mp) if os.path.exists(mp) or not path.startswith("/") else None
+    """Load what ``save_models`` wrote; a missing model or metrics table is left out."""
+    models = {}
+    for k in ("reg", "cls"):
+        try:
+            models[k] = PipelineModel.load(os.path.join(path, k))
+        except Exception:  # noqa: BLE001 - absent artifact
+            pass
+    try:
+        metrics = spark.read.parquet(os.path.join(path, "metrics"))
+    except Exception:  # noqa: BLE001 - absent metrics table
+        metrics = None
     return models, metrics
