@@ -175,14 +175,20 @@ def exec_summary(vs: DataFrame) -> DataFrame:
     aggs += [F.count_if(F.col("VendorTier") == t).alias(f"_t{i}")
              for i, t in enumerate(TIER_LABELS)]
     a = vs.agg(*aggs)
-    entries = F.map_from_arrays(F.array(*[F.lit(t) for t in TIER_LABELS]),
-                                F.array(*[F.col(f"_t{i}") for i in range(len(TIER_LABELS))]))
+    # Tiers as (count, label), most common first, ties by label, empty tiers left out.
+    pairs = F.array(*[F.struct(F.col(f"_t{i}").alias("n"), F.lit(t).alias("k"))
+                      for i, t in enumerate(TIER_LABELS)])
+    ordered = F.array_sort(F.filter(pairs, lambda e: e["n"] > 0),
+                           lambda x, y: F.when(x["n"] > y["n"], -1).when(x["n"] < y["n"], 1)
+                           .when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0))
+    tier_map = F.map_from_arrays(F.transform(ordered, lambda e: e["k"]),
+                                 F.transform(ordered, lambda e: e["n"]))
     return a.select(
         "total_vendors", "total_spend", "total_sales", "gross_profit",
         safe_ratio("gross_profit", "total_sales", 100.0).alias("overall_margin_pct"),
         "avg_lead_time_days", "total_freight",
         safe_ratio("total_freight", "total_spend", 100.0).alias("overall_freight_ratio"),
-        F.map_filter(entries, lambda k, v: v > 0).alias("tier_counts"))
+        tier_map.alias("tier_counts"))
 
 
 def tier_counts(vs: DataFrame) -> DataFrame:
