@@ -126,6 +126,11 @@ def q_vendor_directory(spark, sf_dir):
                                         search="supplier", sort_by="AvgLeadTimeDays"))
 
 
+def q_vendor_picker(spark, sf_dir):
+    return (ops.vendor_directory(_vs(spark, sf_dir, sort=False), limit=30)
+            .select("VendorNumber", "VendorName"))
+
+
 def q_top_vendors_by_spend(spark, sf_dir):
     return ops.top_vendors_by_spend(_vs(spark, sf_dir, sort=False), 10)
 
@@ -262,6 +267,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         "AND (coalesce(regexp_matches(lower(VendorName), 'supplier'), false) "
         "OR regexp_matches(CAST(VendorNumber AS VARCHAR), 'supplier')) "
         "ORDER BY AvgLeadTimeDays ASC NULLS LAST, VendorNumber")),
+    "vendor_picker": (q_vendor_picker, O.with_vs(
+        "SELECT VendorNumber, VendorName FROM vs "
+        "ORDER BY TotalSpendDollars DESC NULLS LAST, VendorNumber LIMIT 30")),
     "top_vendors_by_spend": (q_top_vendors_by_spend, O.with_vs(
         "SELECT VendorNumber, VendorName, TotalSpendDollars, TotalSalesDollars FROM vs "
         "ORDER BY TotalSpendDollars DESC NULLS LAST, VendorNumber LIMIT 10")),
