@@ -4,7 +4,8 @@ from .directory import (filter_tier, late_rate_by_vendor, margin_leadtime_points
                         search_vendors, sort_vendors, top_brands_per_vendor,
                         top_vendors_by_spend, vendor_detail, vendor_directory,
                         vendor_report_rows, vendor_top_brands)
-from .metrics import (brand_summary, inventory_metrics, invoice_metrics, monthly_trends,
+from .metrics import (brand_summary, inventory_metrics, inventory_metrics_both,
+                      invoice_metrics, monthly_trends,
                       purchase_metrics, sales_metrics, top_brands)
 from .sampling import sample_n, train_test_flag, train_test_split
 from .scorecard import (derived_kpis, exec_summary, lead_time_histogram, merged_metrics,

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip, exact_sum, floor_at, round1, safe_ratio
-from .metrics import (inventory_metrics, invoice_metrics, purchase_metrics, sales_metrics)
+from .metrics import (inventory_metrics_both, invoice_metrics, purchase_metrics,
+                      sales_metrics)
 
 # Fixed values that must equal the original job ------------------------------------------
 # Defaults for vendors missing from a metric table (AvgLeadTimeDays cannot be missing after
@@ -122,8 +123,7 @@ def merged_metrics(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataF
     m = purchase_metrics(purchases)
     m = _left_merge(m, invoice_metrics(vendor_invoice))
     m = _left_merge(m, sales_metrics(sales))
-    m = _left_merge(m, inventory_metrics(begin_inventory, purchase_prices, "Begin"))
-    m = _left_merge(m, inventory_metrics(end_inventory, purchase_prices, "End"))
+    m = _left_merge(m, inventory_metrics_both(begin_inventory, end_inventory, purchase_prices))
     return m.fillna(FILL_DEFAULTS)
 
 

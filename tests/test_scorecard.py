@@ -161,3 +161,21 @@ def test_rule_scoring_defaults_and_risk(spark):
     assert unknown.predicted_lead_time_days == 7.5 and unknown.vendor_historical_avg_lt == 7.5
     assert unknown.delay_probability_pct == 27.5 and unknown.risk_level == "LOW RISK"
     assert unknown.total_dollars == 1500.0 and unknown.quantity == 100.0
+
+
+def test_combined_inventory_equals_separate(spark):
+    begin = [(1, 10, 2.0), (2, 5, 1.5), (3, 1, 9.99), (None, 4, 1.0)]
+    end = [(1, 3, 2.0), (4, 7, 0.25), (4, 1, 0.25)]
+    prices = [(1, 7), (1, 8), (2, 7), (3, 9), (4, 9), (4, 9)]
+    mk = lambda rows, schema: spark.createDataFrame(rows, schema)
+    b, e = mk(begin, schemas.INVENTORY), mk(end, schemas.INVENTORY)
+    pp = mk(prices, schemas.PURCHASE_PRICES)
+    both = rows_by_vendor(ops.inventory_metrics_both(b, e, pp))
+    sb = rows_by_vendor(ops.inventory_metrics(b, pp, "Begin"))
+    se = rows_by_vendor(ops.inventory_metrics(e, pp, "End"))
+    assert set(both) == set(sb) | set(se)
+    for v, r in both.items():
+        assert (r.BeginInventoryUnits, r.BeginInventoryValue) == (
+            (sb[v].BeginInventoryUnits, sb[v].BeginInventoryValue) if v in sb else (None, None))
+        assert (r.EndInventoryUnits, r.EndInventoryValue) == (
+            (se[v].EndInventoryUnits, se[v].EndInventoryValue) if v in se else (None, None))
