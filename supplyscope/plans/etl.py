@@ -18,10 +18,15 @@ from ..sources import read_table, write_json, write_summary, write_tables
 
 def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
             month_from: str = "2024-01-01", month_to: str = "2024-12-31",
-            top_k: int = 100, json_dir: str | None = None) -> dict[str, DataFrame]:
+            top_k: int = 100, json_dir: str | None = None,
+            materialize_purchases: bool = True) -> dict[str, DataFrame]:
     """Build and store ``vendor_summary``, ``monthly_trends``, ``top_brands`` and the
-    executive summary under ``out_dir``; returns the stored tables re-read (S4-S7)."""
-    purchases = materialize(sources["purchases"], "purchases", spark)
+    executive summary under ``out_dir``; returns the stored tables re-read (S4-S7).
+
+    ``materialize_purchases=False`` when ``sources["purchases"]`` is already a stored table
+    (``fixture_etl_sources``)."""
+    purchases = (materialize(sources["purchases"], "purchases", spark)
+                 if materialize_purchases else sources["purchases"])
     vs = vendor_summary(purchases, sources["vendor_invoice"], sources["sales"],
                         sources["begin_inventory"], sources["end_inventory"],
                         sources["purchase_prices"])

@@ -37,6 +37,18 @@ LABEL_DAYS, LABEL_DELAY = "ActualLeadTimeDays", "IsDelayed"
 MISSING = -1.0
 
 
+# Row keys for the sample and the split: the driver-table stand-in has a line number; a
+# purchases file without one is keyed by every column that identifies a line.
+LINE_KEYS = ["PONumber", "LineNumber", "Brand", "VendorNumber"]
+FILE_KEYS = ["PONumber", "Brand", "VendorNumber", "Store", "Classification", "Quantity",
+             "Dollars", "PurchasePrice", "PODate", "ReceivingDate"]
+
+
+def default_keys(df: DataFrame) -> list[str]:
+    return LINE_KEYS if "LineNumber" in df.columns else [k for k in FILE_KEYS
+                                                         if k in df.columns]
+
+
 def training_features(purchases: DataFrame, vs: DataFrame, n: int = SAMPLE_SIZE,
                       sample_keys: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Sampled purchase lines with calendar parts, actual lead time, the vendor's history and
@@ -44,12 +56,13 @@ def training_features(purchases: DataFrame, vs: DataFrame, n: int = SAMPLE_SIZE,
 
     The sample is drawn before the line filters, as in the original, so fewer than ``n`` rows
     remain.  Vendor history covers all lines (test lines included), as in the original."""
-    keys = sample_keys or ["PONumber", "LineNumber", "Brand", "VendorNumber"]
+    keys = sample_keys or default_keys(purchases)
     s = sample_n(purchases, n, keys, seed)
+    carried = list(dict.fromkeys(keys + ["VendorNumber", "Store", "Classification", "Quantity",
+                                         "PurchasePrice", "Dollars"]))
     lines = (s.filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull()
                       & (F.col("Quantity") > 0) & (F.col("Dollars") > 0))
-             .select(*keys if "VendorNumber" in keys else keys + ["VendorNumber"],
-                     "Store", "Classification", "Quantity", "PurchasePrice", "Dollars",
+             .select(*[c for c in carried if c not in ("PODate", "ReceivingDate")],
                      month_of("PODate").cast("long").alias("POMonth"),
                      weekday0("PODate").cast("long").alias("PODayOfWeek"),
                      days_between("PODate", "ReceivingDate").cast("long").alias(LABEL_DAYS)))
@@ -149,8 +162,9 @@ def train_models(purchases: DataFrame, vs: DataFrame, n: int = SAMPLE_SIZE,
                  max_iter: int = BOOST_ROUNDS, split_seed: int = 7,
                  sample_keys: list[str] | None = None) -> tuple[dict, DataFrame]:
     """Training set → 80/20 split → both models → metrics on the test share."""
-    keys = sample_keys or ["PONumber", "LineNumber", "Brand", "VendorNumber"]
+    keys = sample_keys or default_keys(purchases)
     feats = training_features(purchases, vs, n, keys)
+    keys = [k for k in keys if k in feats.columns]
     train, test = train_test_split(feats, keys, split_seed)
     models = fit_both(train, max_iter)
     metrics = evaluate(models, test)

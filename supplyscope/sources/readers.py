@@ -57,13 +57,14 @@ def _purchase_price(price_col: str, qty_col: str):
     return F.when(q > 0, F.floor((cents * 2 + q) / (q * 2)) / 100.0)
 
 
-def fixture_views(spark: SparkSession, sf_dir: str, register_views: bool = False
-                  ) -> dict[str, DataFrame]:
+def fixture_views(spark: SparkSession, sf_dir: str, register_views: bool = False,
+                  purchases: DataFrame | None = None) -> dict[str, DataFrame]:
     """Stand-ins for the six inputs (plus orders to score) derived from the driver tables (S3).
 
     The mapping is documented in FIXTURES.md §2.  Keys stay ``long``; quantities ``double``.
     Dates in the driver data are random, so receipt, invoice and pay dates are deterministic
-    functions of the keys."""
+    functions of the keys.  ``purchases`` replaces the purchases stand-in (e.g. a stored copy)
+    and the invoice stand-in is then derived from it."""
     t = driver_tables(spark, sf_dir)
     li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                               "l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -75,7 +76,7 @@ def fixture_views(spark: SparkSession, sf_dir: str, register_views: bool = False
     po_date = F.col("o_orderdate").cast("date")
     lead = (F.lit(1) + F.col("l_suppkey") % 12 + F.col("l_linenumber") % 3).cast("int")
 
-    purchases = (lo.join(s, lo.l_suppkey == s.s_suppkey, "inner")
+    built = (lo.join(s, lo.l_suppkey == s.s_suppkey, "inner")
                  .join(p, lo.l_partkey == p.p_partkey, "inner")
                  .select(
                      F.col("l_suppkey").alias("VendorNumber"),
@@ -93,6 +94,7 @@ def fixture_views(spark: SparkSession, sf_dir: str, register_views: bool = False
                      F.when(F.col("l_orderkey") % 101 == 0, F.lit(None).cast("date"))
                       .otherwise(F.date_add(po_date, lead)).alias("ReceivingDate"),
                  ))
+    purchases = built if purchases is None else purchases
 
     first_po = F.min("PODate")
     vendor_invoice = (purchases.filter(F.col("VendorNumber") % 17 != 0)
@@ -149,6 +151,14 @@ def fixture_views(spark: SparkSession, sf_dir: str, register_views: bool = False
     return views
 
 
+def fixture_etl_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Stand-ins for ``run_etl``: the purchases join is written once to the checkpoint folder
+    and every view derived from purchases reads that copy."""
+    from ..session import materialize
+    stored = materialize(fixture_views(spark, sf_dir)["purchases"], "purchases", spark)
+    return fixture_views(spark, sf_dir, purchases=stored)
+
+
 def read_table(spark: SparkSession, path: str, name: str, columns: list[str] | None = None,
                fmt: str = "parquet") -> DataFrame:
     """Re-read a stored result table whole (S7) or projected (S8; pruned at the scan)."""

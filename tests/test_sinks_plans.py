@@ -8,8 +8,9 @@ from supplyscope import operators as ops
 from supplyscope.plans.etl import run_etl
 from supplyscope.plans.scoring import score_orders
 from supplyscope.plans.training import load_models, predict, save_models, train_models
-from supplyscope.sources import (fixture_views, load_sources, read_summary, read_table,
-                                 read_training_purchases, write_json, write_tables)
+from supplyscope.sources import (fixture_etl_sources, fixture_views, load_sources,
+                                 read_summary, read_table, read_training_purchases, write_json,
+                                 write_tables)
 from conftest import SF_SMALL
 
 
@@ -77,3 +78,25 @@ def test_models_train_save_load_and_score(spark, tmpdir_path):  # G5-G7, S10
     row = a.first()
     assert row.predicted_lead_time_days >= 1.0 and 0.0 <= row.delay_probability_pct <= 100.0
     assert row.risk_level in {"HIGH RISK", "MODERATE RISK", "LOW RISK"}
+
+
+def test_etl_on_stored_purchases_equals_views(spark, tmpdir_path):
+    stored = run_etl(spark, fixture_etl_sources(spark, SF_SMALL), tmpdir_path, "1998-01-01",
+                     "1998-12-31", materialize_purchases=False)
+    a = stored["vendor_summary"].drop("StdLeadTimeDays", "AvgSalesUnitPrice")
+    b = ops.vendor_summary_from(fixture_views(spark, SF_SMALL)).drop("StdLeadTimeDays",
+                                                                     "AvgSalesUnitPrice")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_training_on_csv_inputs_without_line_numbers(spark, tmpdir_path):
+    views = fixture_views(spark, SF_SMALL)
+    p = views["purchases"].drop("LineNumber")
+    p.write.mode("overwrite").option("header", True).csv(os.path.join(tmpdir_path, "purchases.csv"))
+    for n in ("vendor_invoice", "sales", "begin_inventory", "end_inventory", "purchase_prices"):
+        views[n].write.mode("overwrite").option("header", True).csv(
+            os.path.join(tmpdir_path, f"{n}.csv"))
+    src = load_sources(spark, tmpdir_path, "csv")
+    vs = ops.vendor_summary_from(src, sort=False)
+    models, metrics = train_models(src["purchases"], vs, n=2000, max_iter=3)
+    assert metrics.first().test_rows > 0 and set(models) == {"reg", "cls"}
