@@ -11,6 +11,7 @@ from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 import oracle_sql as O
 from supplyscope import operators as ops
 from supplyscope import schemas
+from pyspark.sql import functions as F
 
 D0 = dt.date(2024, 1, 1)
 vendor = st.one_of(st.none(), st.integers(1, 4))
@@ -27,7 +28,7 @@ price = st.tuples(brand, vendor)
 
 
 def frames(ps, invs, sales, begin, end, prices):
-    p = [(v, f"Vendor {v}", po, b, f"Brand {b}", 1, 1 + (po % 2), float(q), d, pr,
+    p = [(v, f"Vendor {v}-{po % 2}", po, b, f"Brand {b}/{po % 3}", 1, 1 + (po % 2), float(q), d, pr,
           D0 + dt.timedelta(days=day), None if lt is None else D0 + dt.timedelta(days=day + lt))
          for v, po, b, q, pr, d, day, lt in ps]
     vi = [(v, D0 + dt.timedelta(days=a), D0 + dt.timedelta(days=a + b), d, f) for v, a, b, d, f in invs]
@@ -79,3 +80,43 @@ def test_scorecard_matches_sql(spark, ps, invs, sales, begin, end, prices):
     b = sorted((tuple(norm(x.item() if hasattr(x, "item") else x) for x in r)
                 for r in want[cols].itertuples(index=False, name=None)), key=key)
     assert a == b
+
+
+def _duck(data):
+    con = duckdb.connect()
+    for k, (rows, schema) in data.items():
+        con.register(f"{k}_df", pd.DataFrame(rows, columns=schema.fieldNames()))
+        casts = ", ".join(f"CAST({f.name} AS {t}) AS {f.name}" for f, t in
+                          ((f, {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
+                                "StringType": "VARCHAR", "DateType": "DATE"}[type(f.dataType).__name__])
+                           for f in schema.fields))
+        con.execute(f"CREATE VIEW {k} AS SELECT {casts} FROM {k}_df")
+    return con
+
+
+def _same(got, want):
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    rows = lambda df: sorted((tuple(norm(x.item() if hasattr(x, "item") else x) for x in r)
+                              for r in df[cols].itertuples(index=False, name=None)), key=key)
+    assert rows(got) == rows(want)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.too_slow],
+          phases=[Phase.explicit, Phase.reuse, Phase.generate])
+@given(st.lists(purchase, min_size=1, max_size=30))
+def test_line_level_queries_match_sql(spark, ps):
+    data = frames(ps, [], [], [], [], [])
+    p = spark.createDataFrame(*data["purchases"])
+    con = _duck(data)
+    _same(ops.brand_summary(p).toPandas(), con.execute(O.BRAND_SUMMARY).df())
+    _same(ops.purchase_metrics(p).withColumn("StdLeadTimeDays", F.round("StdLeadTimeDays", 6)).toPandas(),
+          con.execute(f"SELECT * REPLACE (round(StdLeadTimeDays, 6) AS StdLeadTimeDays) "
+                      f"FROM ({O.PURCHASE_METRICS})").df())
+    monthly = O.MONTHLY_TRENDS.replace(O.MONTH_FROM, "2024-01-10").replace(O.MONTH_TO, "2024-02-20")
+    _same(ops.monthly_trends(p, "2024-01-10", "2024-02-20").toPandas(), con.execute(monthly).df())
+    per_vendor = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY VendorNumber "
+                  f"ORDER BY TotalSpendDollars DESC NULLS LAST, Brand) AS BrandRank "
+                  f"FROM ({O.BRAND_SUMMARY})) WHERE BrandRank <= 2")
+    _same(ops.top_brands_per_vendor(ops.brand_summary(p), 2).toPandas(), con.execute(per_vendor).df())
