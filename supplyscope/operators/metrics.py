@@ -31,11 +31,14 @@ def text_maxima(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
                                      for c in cols])
 
 
-def _attach(numeric: DataFrame, texts: DataFrame, key: str, order: list[str]) -> DataFrame:
+def _attach(numeric: DataFrame, texts: DataFrame, key: str, order: list[str],
+            extra: dict | None = None) -> DataFrame:
     """Join per-key text maxima onto per-key numbers (null key matches null key)."""
-    t = texts.withColumnRenamed(key, "_tk")
-    return (numeric.join(t, numeric[key].eqNullSafe(t["_tk"]), "left").drop("_tk")
-            .select(*order))
+    cols = {n: numeric[n] for n in numeric.columns}
+    cols.update({n: texts[n] for n in texts.columns if n != key})
+    cols.update(extra or {})
+    return (numeric.join(texts, numeric[key].eqNullSafe(texts[key]), "left")
+            .select(*[cols[n].alias(n) for n in order]))
 
 
 def purchase_metrics(purchases: DataFrame) -> DataFrame:
@@ -58,12 +61,12 @@ def purchase_metrics(purchases: DataFrame) -> DataFrame:
                  F.max("_lt").alias("MaxLeadTimeDays"),
                  F.min("_lt").alias("MinLeadTimeDays"),
                  F.stddev_samp("_lt").alias("StdLeadTimeDays"),
-                 F.count_if(F.col("_lt") > LATE_AFTER_DAYS).alias("LateDeliveriesCount"))
-            .withColumn("LateDeliveryRate",
-                        safe_ratio("LateDeliveriesCount", "TotalPurchaseRecords", 100.0)))
-    order = ["VendorNumber", "VendorName"] + [c for c in numeric.columns if c != "VendorNumber"]
+                 F.count_if(F.col("_lt") > LATE_AFTER_DAYS).alias("LateDeliveriesCount")))
+    rate = safe_ratio(numeric["LateDeliveriesCount"], numeric["TotalPurchaseRecords"], 100.0)
+    order = (["VendorNumber", "VendorName"]
+             + [c for c in numeric.columns if c != "VendorNumber"] + ["LateDeliveryRate"])
     return _attach(numeric, text_maxima(lines, "VendorNumber", ["VendorName"]),
-                   "VendorNumber", order)
+                   "VendorNumber", order, {"LateDeliveryRate": rate})
 
 
 def invoice_metrics(vendor_invoice: DataFrame) -> DataFrame:

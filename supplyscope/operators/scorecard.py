@@ -69,24 +69,53 @@ def _left_merge(left: DataFrame, right: DataFrame, key: str = "VendorNumber") ->
     return left.join(r, left[key].eqNullSafe(r["_rk"]), "left").drop("_rk")
 
 
-def score_components(df: DataFrame) -> DataFrame:
-    """Add the four 0-100 component scores (K8-K11).  A missing input gives a missing score."""
-    spend_log = F.log10(floor_at("TotalSpendDollars", 1.0))
-    return df.withColumns({
-        "LeadTimeScore": clip(F.lit(100.0) - (F.col("AvgLeadTimeDays") * 5
-                                              + F.col("LateDeliveryRate") * 0.5), 0, 100),
-        "MarginScore": clip(F.col("GrossMarginPct") * 2.5, 0, 100),
-        "FreightScore": clip(F.lit(100.0) - F.col("FreightRatioPct") * 30, 0, 100),
+def kpi_columns(c: dict) -> dict:
+    """Profit, margin, freight ratio, inventory value, turnover and days of inventory (K2-K7)
+    as Column expressions over the merged metric columns ``c``."""
+    gp = c["TotalSalesDollars"] - c["TotalSpendDollars"]
+    avg_inv = (c["BeginInventoryValue"] + c["EndInventoryValue"]) / 2.0
+    turnover = safe_ratio(c["TotalSpendDollars"], avg_inv)
+    return {
+        "GrossProfitDollars": gp,
+        "GrossMarginPct": safe_ratio(gp, c["TotalSalesDollars"], 100.0),
+        "FreightRatioPct": safe_ratio(c["TotalFreightDollars"], c["TotalSpendDollars"], 100.0),
+        "AvgInventoryValue": avg_inv,
+        "InventoryTurnoverRatio": turnover,
+        "DaysSalesOfInventory": F.when(turnover > 0, F.lit(365.0) / turnover)
+                                 .otherwise(F.lit(999.0)),
+    }
+
+
+def component_columns(c: dict) -> dict:
+    """The four 0-100 component scores (K8-K11).  A missing input gives a missing score."""
+    spend_log = F.log10(floor_at(c["TotalSpendDollars"], 1.0))
+    return {
+        "LeadTimeScore": clip(F.lit(100.0) - (c["AvgLeadTimeDays"] * 5
+                                              + c["LateDeliveryRate"] * 0.5), 0, 100),
+        "MarginScore": clip(c["GrossMarginPct"] * 2.5, 0, 100),
+        "FreightScore": clip(F.lit(100.0) - c["FreightRatioPct"] * 30, 0, 100),
         "VolumeScore": clip(spend_log / 8.0 * 100, 0, 100),
-    })
+    }
 
 
-def vpi_score(df: DataFrame) -> Column:
+def vpi_column(comp: dict) -> Column:
     """Weighted score rounded to one decimal, ties to even."""
     w1, w2, w3, w4 = WEIGHTS
-    raw = (F.col("LeadTimeScore") * w1 + F.col("MarginScore") * w2
-           + F.col("FreightScore") * w3 + F.col("VolumeScore") * w4)
-    return round1(raw)
+    return round1(comp["LeadTimeScore"] * w1 + comp["MarginScore"] * w2
+                  + comp["FreightScore"] * w3 + comp["VolumeScore"] * w4)
+
+
+def _named(df: DataFrame) -> dict:
+    return {n: F.col(n) for n in df.columns}
+
+
+def score_components(df: DataFrame) -> DataFrame:
+    """Add the four component scores to a frame holding the merged metrics and KPIs."""
+    return df.withColumns(component_columns(_named(df)))
+
+
+def vpi_score(df: DataFrame) -> Column:
+    return vpi_column(_named(df))
 
 
 def vendor_tier(score: Column | str) -> Column:
@@ -100,45 +129,48 @@ def vendor_tier(score: Column | str) -> Column:
 
 
 def derived_kpis(df: DataFrame) -> DataFrame:
-    """Profit, margin, freight ratio, inventory value, turnover and days of inventory (K2-K7)."""
-    df = df.withColumns({
-        "GrossProfitDollars": F.col("TotalSalesDollars") - F.col("TotalSpendDollars"),
-        "AvgInventoryValue": (F.col("BeginInventoryValue") + F.col("EndInventoryValue")) / 2.0,
-    })
-    df = df.withColumns({
-        "GrossMarginPct": safe_ratio("GrossProfitDollars", "TotalSalesDollars", 100.0),
-        "FreightRatioPct": safe_ratio("TotalFreightDollars", "TotalSpendDollars", 100.0),
-        "InventoryTurnoverRatio": safe_ratio("TotalSpendDollars", "AvgInventoryValue"),
-    })
-    return df.withColumn("DaysSalesOfInventory",
-                         F.when(F.col("InventoryTurnoverRatio") > 0,
-                                F.lit(365.0) / F.col("InventoryTurnoverRatio"))
-                         .otherwise(F.lit(999.0)))
+    """Add K2-K7 to a frame holding the merged metrics."""
+    return df.withColumns(kpi_columns(_named(df)))
 
 
 def merged_metrics(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataFrame,
                    begin_inventory: DataFrame, end_inventory: DataFrame,
-                   purchase_prices: DataFrame) -> DataFrame:
-    """A1 ⟕ A2 ⟕ A3 ⟕ A4 ⟕ A5 on VendorNumber, defaults filled."""
-    m = purchase_metrics(purchases)
-    m = _left_merge(m, invoice_metrics(vendor_invoice))
-    m = _left_merge(m, sales_metrics(sales))
-    m = _left_merge(m, inventory_metrics_both(begin_inventory, end_inventory, purchase_prices))
-    return m.fillna(FILL_DEFAULTS)
+                   purchase_prices: DataFrame) -> tuple[DataFrame, dict]:
+    """A1 ⟕ A2 ⟕ A3 ⟕ (A4, A5) on VendorNumber, null-safe like a pandas merge (J3-J6), with the
+    defaults of K1 applied as ``coalesce`` expressions.  Returns the joined frame and the
+    metric columns by name (bound to their side of the join)."""
+    pm = purchase_metrics(purchases)
+    rights = [invoice_metrics(vendor_invoice), sales_metrics(sales),
+              inventory_metrics_both(begin_inventory, end_inventory, purchase_prices)]
+    joined = pm
+    for r in rights:
+        joined = joined.join(r, pm["VendorNumber"].eqNullSafe(r["VendorNumber"]), "left")
+    cols = {n: pm[n] for n in pm.columns}
+    for r in rights:
+        cols.update({n: r[n] for n in r.columns if n != "VendorNumber"})
+    cols = {k: F.coalesce(v, F.lit(FILL_DEFAULTS[k])) if k in FILL_DEFAULTS else v
+            for k, v in cols.items()}
+    return joined, cols
 
 
 def vendor_summary(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataFrame,
                    begin_inventory: DataFrame, end_inventory: DataFrame,
                    purchase_prices: DataFrame, sort: bool = True,
                    with_components: bool = False) -> DataFrame:
-    """The 32-column vendor scorecard (K0), highest spend first (L1; ties by VendorNumber)."""
-    m = derived_kpis(merged_metrics(purchases, vendor_invoice, sales, begin_inventory,
-                                    end_inventory, purchase_prices))
-    m = score_components(m)
-    m = m.withColumn("VPIScore", vpi_score(m)).withColumn("VendorTier", vendor_tier("VPIScore"))
-    cols = SUMMARY_COLUMNS + (["LeadTimeScore", "MarginScore", "FreightScore", "VolumeScore"]
-                              if with_components else [])
-    out = m.select(*cols)
+    """The 32-column vendor scorecard (K0), highest spend first (L1; ties by VendorNumber).
+
+    Everything after the joins is one projection of composed expressions, so the driver
+    builds and analyses the plan once rather than once per derived column."""
+    joined, c = merged_metrics(purchases, vendor_invoice, sales, begin_inventory,
+                               end_inventory, purchase_prices)
+    c.update(kpi_columns(c))
+    comp = component_columns(c)
+    c["VPIScore"] = vpi_column(comp)
+    c["VendorTier"] = vendor_tier(c["VPIScore"])
+    if with_components:
+        c.update(comp)
+    names = SUMMARY_COLUMNS + (list(comp) if with_components else [])
+    out = joined.select(*[c[n].alias(n) for n in names])
     if sort:
         out = out.orderBy(F.col("TotalSpendDollars").desc_nulls_last(),
                           F.col("VendorNumber").asc_nulls_last())

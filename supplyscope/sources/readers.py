@@ -4,15 +4,30 @@ re-reads of stored result tables (S7-S9)."""
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import exact_sum
 
-# Driver (star-schema) tables used by the stand-in views.
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+# Driver (star-schema) tables read by the stand-in views, with the columns they use.  Declaring
+# the read schema skips the footer-reading inference job per table and prunes at the scan.
+_L, _I, _D, _S, _TS = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), \
+    T.TimestampNTZType()
+DRIVER_SCHEMAS = {
+    "supplier": T.StructType([T.StructField("s_suppkey", _L), T.StructField("s_name", _S)]),
+    "part": T.StructType([T.StructField("p_partkey", _L), T.StructField("p_name", _S),
+                          T.StructField("p_size", _I), T.StructField("p_retailprice", _D)]),
+    "orders": T.StructType([T.StructField("o_orderkey", _L), T.StructField("o_custkey", _L),
+                            T.StructField("o_orderdate", _TS)]),
+    "lineitem": T.StructType([T.StructField(n, t) for n, t in (
+        ("l_orderkey", _L), ("l_partkey", _L), ("l_suppkey", _L), ("l_linenumber", _I),
+        ("l_quantity", _D), ("l_extendedprice", _D), ("l_discount", _D), ("l_tax", _D))]),
+}
+DRIVER_TABLES = tuple(DRIVER_SCHEMAS)
 
 
 def load_sources(spark: SparkSession, path: str, fmt: str = "csv",
@@ -44,7 +59,27 @@ def read_training_purchases(spark: SparkSession, path: str, fmt: str = "csv") ->
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in DRIVER_TABLES}
+    return {t: spark.read.schema(schema).parquet(os.path.join(sf_dir, f"{t}.parquet"))
+            for t, schema in DRIVER_SCHEMAS.items()}
+
+
+class LazyViews(Mapping):
+    """A read-only mapping whose DataFrames are built on first access (each build is a few
+    DataFrame calls on the driver; a query touching two views pays for two)."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, k: str) -> DataFrame:
+        if k not in self._built:
+            self._built[k] = self._builders[k]()
+        return self._built[k]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
 
 def _cents(c):
@@ -58,96 +93,102 @@ def _purchase_price(price_col: str, qty_col: str):
 
 
 def fixture_views(spark: SparkSession, sf_dir: str, register_views: bool = False,
-                  purchases: DataFrame | None = None) -> dict[str, DataFrame]:
+                  purchases: DataFrame | None = None) -> Mapping[str, DataFrame]:
     """Stand-ins for the six inputs (plus orders to score) derived from the driver tables (S3).
 
     The mapping is documented in FIXTURES.md §2.  Keys stay ``long``; quantities ``double``.
     Dates in the driver data are random, so receipt, invoice and pay dates are deterministic
     functions of the keys.  ``purchases`` replaces the purchases stand-in (e.g. a stored copy)
-    and the invoice stand-in is then derived from it."""
+    and the invoice stand-in is then derived from it.  Views are built on first access."""
     t = driver_tables(spark, sf_dir)
-    li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                              "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    o = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
-    s = t["supplier"].select("s_suppkey", "s_name")
-    p = t["part"].select("p_partkey", "p_name", "p_size", "p_retailprice")
-
-    lo = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     po_date = F.col("o_orderdate").cast("date")
-    lead = (F.lit(1) + F.col("l_suppkey") % 12 + F.col("l_linenumber") % 3).cast("int")
-
-    built = (lo.join(s, lo.l_suppkey == s.s_suppkey, "inner")
-                 .join(p, lo.l_partkey == p.p_partkey, "inner")
-                 .select(
-                     F.col("l_suppkey").alias("VendorNumber"),
-                     F.col("s_name").alias("VendorName"),
-                     F.col("l_orderkey").alias("PONumber"),
-                     F.col("l_partkey").alias("Brand"),
-                     F.col("p_name").alias("Description"),
-                     F.col("l_linenumber").alias("LineNumber"),
-                     (F.col("o_custkey") % 80 + 1).cast("int").alias("Store"),
-                     (F.col("p_size") % 2 + 1).cast("int").alias("Classification"),
-                     F.col("l_quantity").alias("Quantity"),
-                     F.col("l_extendedprice").alias("Dollars"),
-                     _purchase_price("l_extendedprice", "l_quantity").alias("PurchasePrice"),
-                     po_date.alias("PODate"),
-                     F.when(F.col("l_orderkey") % 101 == 0, F.lit(None).cast("date"))
-                      .otherwise(F.date_add(po_date, lead)).alias("ReceivingDate"),
-                 ))
-    purchases = built if purchases is None else purchases
-
-    first_po = F.min("PODate")
-    vendor_invoice = (purchases.filter(F.col("VendorNumber") % 17 != 0)
-                      .groupBy("VendorNumber", "PONumber")
-                      .agg(F.date_add(first_po, 7).alias("InvoiceDate"),
-                           F.date_add(first_po, (F.col("VendorNumber") % 10 + 37).cast("int"))
-                            .alias("PayDate"),
-                           exact_sum("Dollars").alias("Dollars"))
-                      .select("VendorNumber", "InvoiceDate", "PayDate", "Dollars",
-                              (F.col("Dollars") * (F.col("VendorNumber") % 5) * 0.005)
-                              .alias("Freight")))
-
-    k6 = (F.col("l_suppkey") % 6).cast("double")
-    sales_dollars = (F.col("l_extendedprice") * (1 - F.col("l_discount"))
-                     * (F.lit(1.0) + k6 * 0.25))
-    sales = (t["lineitem"].filter(F.col("l_suppkey") % 13 != 0)
-             .select(F.col("l_suppkey").alias("VendorNo"),
-                     F.col("l_quantity").alias("SalesQuantity"),
-                     sales_dollars.alias("SalesDollars"),
-                     (sales_dollars / F.col("l_quantity")).alias("SalesPrice"),
-                     (F.col("l_extendedprice") * F.col("l_tax")).alias("ExciseTax")))
-
-    n_suppliers = t["supplier"].select(F.count(F.lit(1))).scalar()
-    purchase_prices = (t["part"].filter(F.col("p_partkey") % 100 != 7)
-                       .select(F.col("p_partkey").alias("Brand"),
-                               (F.col("p_partkey") % n_suppliers).alias("VendorNumber")))
-    begin_inventory = t["part"].select(F.col("p_partkey").alias("Brand"),
-                                       F.col("p_size").cast("long").alias("onHand"),
-                                       F.col("p_retailprice").alias("Price"))
-    end_inventory = t["part"].select(F.col("p_partkey").alias("Brand"),
-                                     ((F.col("p_size") * 7) % 50).cast("long").alias("onHand"),
-                                     F.col("p_retailprice").alias("Price"))
-
-    orders_to_score = (lo.join(p, lo.l_partkey == p.p_partkey, "inner")
-                       .select(F.col("l_suppkey").alias("vendor_number"),
-                               (F.col("o_custkey") % 80 + 1).cast("int").alias("store"),
-                               (F.col("p_size") % 2 + 1).cast("int").alias("classification"),
-                               F.col("l_quantity").alias("quantity"),
-                               _purchase_price("l_extendedprice", "l_quantity")
-                               .alias("purchase_price"),
-                               F.lit(None).cast("double").alias("dollars"),
-                               F.month(po_date).alias("po_month"),
-                               (F.dayofweek(po_date) - 1).alias("po_day_of_week"),
-                               F.col("l_orderkey").alias("order_key"),
-                               F.col("l_linenumber").alias("line_number"),
-                               F.col("l_partkey").alias("part_key")))
-
-    views = {"purchases": purchases, "vendor_invoice": vendor_invoice, "sales": sales,
-             "begin_inventory": begin_inventory, "end_inventory": end_inventory,
-             "purchase_prices": purchase_prices, "orders_to_score": orders_to_score}
+    store = (F.col("o_custkey") % 80 + 1).cast("int")
+    klass = (F.col("p_size") % 2 + 1).cast("int")
+
+    def lines_orders() -> DataFrame:
+        li, o = t["lineitem"], t["orders"]
+        return li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+
+    def build_purchases() -> DataFrame:
+        if purchases is not None:
+            return purchases
+        lo, sup, part = lines_orders(), t["supplier"], t["part"]
+        lead = (F.lit(1) + F.col("l_suppkey") % 12 + F.col("l_linenumber") % 3).cast("int")
+        return (lo.join(sup, lo.l_suppkey == sup.s_suppkey, "inner")
+                .join(part, lo.l_partkey == part.p_partkey, "inner")
+                .select(
+                    F.col("l_suppkey").alias("VendorNumber"),
+                    F.col("s_name").alias("VendorName"),
+                    F.col("l_orderkey").alias("PONumber"),
+                    F.col("l_partkey").alias("Brand"),
+                    F.col("p_name").alias("Description"),
+                    F.col("l_linenumber").alias("LineNumber"),
+                    store.alias("Store"),
+                    klass.alias("Classification"),
+                    F.col("l_quantity").alias("Quantity"),
+                    F.col("l_extendedprice").alias("Dollars"),
+                    _purchase_price("l_extendedprice", "l_quantity").alias("PurchasePrice"),
+                    po_date.alias("PODate"),
+                    F.when(F.col("l_orderkey") % 101 == 0, F.lit(None).cast("date"))
+                     .otherwise(F.date_add(po_date, lead)).alias("ReceivingDate")))
+
+    def build_invoice() -> DataFrame:
+        first_po = F.min("PODate")
+        return (views["purchases"].filter(F.col("VendorNumber") % 17 != 0)
+                .groupBy("VendorNumber", "PONumber")
+                .agg(F.date_add(first_po, 7).alias("InvoiceDate"),
+                     F.date_add(first_po, (F.col("VendorNumber") % 10 + 37).cast("int"))
+                      .alias("PayDate"),
+                     exact_sum("Dollars").alias("Dollars"))
+                .select("VendorNumber", "InvoiceDate", "PayDate", "Dollars",
+                        (F.col("Dollars") * (F.col("VendorNumber") % 5) * 0.005)
+                        .alias("Freight")))
+
+    def build_sales() -> DataFrame:
+        k6 = (F.col("l_suppkey") % 6).cast("double")
+        sales_dollars = (F.col("l_extendedprice") * (1 - F.col("l_discount"))
+                         * (F.lit(1.0) + k6 * 0.25))
+        return (t["lineitem"].filter(F.col("l_suppkey") % 13 != 0)
+                .select(F.col("l_suppkey").alias("VendorNo"),
+                        F.col("l_quantity").alias("SalesQuantity"),
+                        sales_dollars.alias("SalesDollars"),
+                        (sales_dollars / F.col("l_quantity")).alias("SalesPrice"),
+                        (F.col("l_extendedprice") * F.col("l_tax")).alias("ExciseTax")))
+
+    def build_prices() -> DataFrame:
+        n_suppliers = t["supplier"].select(F.count(F.lit(1))).scalar()
+        return (t["part"].filter(F.col("p_partkey") % 100 != 7)
+                .select(F.col("p_partkey").alias("Brand"),
+                        (F.col("p_partkey") % n_suppliers).alias("VendorNumber")))
+
+    def build_inventory(on_hand) -> Callable[[], DataFrame]:
+        return lambda: t["part"].select(F.col("p_partkey").alias("Brand"),
+                                        on_hand.cast("long").alias("onHand"),
+                                        F.col("p_retailprice").alias("Price"))
+
+    def build_orders() -> DataFrame:
+        lo, part = lines_orders(), t["part"]
+        return (lo.join(part, lo.l_partkey == part.p_partkey, "inner")
+                .select(F.col("l_suppkey").alias("vendor_number"),
+                        store.alias("store"),
+                        klass.alias("classification"),
+                        F.col("l_quantity").alias("quantity"),
+                        _purchase_price("l_extendedprice", "l_quantity").alias("purchase_price"),
+                        F.lit(None).cast("double").alias("dollars"),
+                        F.month(po_date).alias("po_month"),
+                        (F.dayofweek(po_date) - 1).alias("po_day_of_week"),
+                        F.col("l_orderkey").alias("order_key"),
+                        F.col("l_linenumber").alias("line_number"),
+                        F.col("l_partkey").alias("part_key")))
+
+    views = LazyViews({
+        "purchases": build_purchases, "vendor_invoice": build_invoice, "sales": build_sales,
+        "begin_inventory": build_inventory(F.col("p_size")),
+        "end_inventory": build_inventory((F.col("p_size") * 7) % 50),
+        "purchase_prices": build_prices, "orders_to_score": build_orders})
     if register_views:
-        for k, v in views.items():
-            v.createOrReplaceTempView(k)
+        for k in views:
+            views[k].createOrReplaceTempView(k)
     return views
 
 
