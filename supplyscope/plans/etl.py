@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import (brand_summary, exec_summary, monthly_trends, top_brands, vendor_summary)
 from ..session import materialize
@@ -40,8 +41,15 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     summary = exec_summary(stored["vendor_summary"])
     write_summary(summary, out_dir)
     if json_dir:
+        # Record files keep the tables' order (a re-read parquet table has none of its own).
+        order = {
+            "vendor_summary": [F.col("TotalSpendDollars").desc_nulls_last(),
+                               F.col("VendorNumber").asc_nulls_last()],
+            "monthly_trends": [F.col("YearMonth")],
+            "top_brands": [F.col("TotalSpendDollars").desc_nulls_last(), F.col("Brand")],
+        }
         for k, df in stored.items():
-            write_json(df, os.path.join(json_dir, k))
+            write_json(df.orderBy(*order[k]), os.path.join(json_dir, k))
     stored["exec_summary"] = summary
     stored["purchases"] = purchases
     return stored

@@ -22,6 +22,10 @@ CLUSTER_DEFAULTS = {
     # anything larger stays a sort-merge join.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.files.maxPartitionBytes": "256MB",
+    # Shuffle width: start wide enough for the largest shuffle (the purchases join is about
+    # the size of the pruned fact columns; at ~30 TB that is ~120k partitions of 256 MB) and let
+    # AQE coalesce the small per-vendor and per-month shuffles down to the advisory size.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -46,6 +50,11 @@ def build_session(master: str | None = None, app_name: str = "supplyscope",
     return spark
 
 
+def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 << 20) -> int:
+    """Initial shuffle width for a shuffle of about ``shuffle_bytes`` (AQE coalesces it)."""
+    return max(1, -(-shuffle_bytes // target_bytes))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; invent one only for a local master."""
     sc = spark.sparkContext

@@ -25,13 +25,13 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
 def write_json(df: DataFrame, path: str) -> str:
     """Write records as JSON Lines, one file per task, replacing what was there.
 
-    Missing values are omitted from a record (the original wrote ``NaN``)."""
-    df.write.mode("overwrite").json(path)
+    Missing values are written as ``null`` (the original wrote ``NaN``, which is not JSON)."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     return path
 
 
 def write_summary(summary: DataFrame, path: str) -> str:
     """Write the one-row executive summary as a single JSON object."""
     target = os.path.join(path, "exec_summary")
-    summary.coalesce(1).write.mode("overwrite").json(target)
+    summary.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(target)
     return target

@@ -100,3 +100,10 @@ def test_training_on_csv_inputs_without_line_numbers(spark, tmpdir_path):
     vs = ops.vendor_summary_from(src, sort=False)
     models, metrics = train_models(src["purchases"], vs, n=2000, max_iter=3)
     assert metrics.first().test_rows > 0 and set(models) == {"reg", "cls"}
+
+
+def test_json_keeps_missing_values_as_null(spark, tmpdir_path):  # S5
+    df = spark.createDataFrame([(1, None), (2, 3.5)], "k long, v double")
+    write_json(df, os.path.join(tmpdir_path, "j"))
+    text = "".join(r.value for r in spark.read.text(os.path.join(tmpdir_path, "j")).collect())
+    assert '"v":null' in text
