@@ -107,3 +107,14 @@ def test_json_keeps_missing_values_as_null(spark, tmpdir_path):  # S5
     write_json(df, os.path.join(tmpdir_path, "j"))
     text = "".join(r.value for r in spark.read.text(os.path.join(tmpdir_path, "j")).collect())
     assert '"v":null' in text
+
+
+def test_load_sources_parquet_casts_to_schema(spark, tmpdir_path):  # S1 (any format)
+    views = fixture_views(spark, SF_SMALL)
+    for n in ("purchases", "vendor_invoice", "sales", "begin_inventory", "end_inventory",
+              "purchase_prices"):
+        views[n].write.mode("overwrite").parquet(os.path.join(tmpdir_path, f"{n}.parquet"))
+    src = load_sources(spark, tmpdir_path, "parquet", register_views=False)
+    assert src["purchases"].schema["Store"].dataType.typeName() == "integer"
+    assert "LineNumber" not in src["purchases"].columns
+    assert src["sales"].count() == views["sales"].count()
