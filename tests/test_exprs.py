@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from supplyscope.functions import (clip, days_between, exact_sum, format_currency, matches,
                                    round1, safe_ratio, shorten, weekday0, year_month)

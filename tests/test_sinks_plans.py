@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from supplyscope import operators as ops
 from supplyscope.plans.etl import run_etl
 from supplyscope.plans.scoring import score_orders
-from supplyscope.plans.training import load_models, predict, save_models, train_models
+from supplyscope.plans.training import load_models, save_models, train_models
 from supplyscope.sources import (fixture_etl_sources, fixture_views, load_sources,
                                  read_summary, read_table, read_training_purchases, write_json,
                                  write_tables)
