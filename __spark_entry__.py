@@ -97,8 +97,9 @@ def q_vpi_components(spark, sf_dir):
 
 
 def q_exec_summary(spark, sf_dir):
-    return _r6(ops.exec_summary(_vs(spark, sf_dir, sort=False)).drop("tier_counts"),
-               "avg_lead_time_days")
+    # The tier map is compared as its compact JSON text (most common tier first).
+    s = ops.exec_summary(_vs(spark, sf_dir, sort=False))
+    return _r6(s.withColumn("tier_counts", F.to_json("tier_counts")), "avg_lead_time_days")
 
 
 def q_tier_counts(spark, sf_dir):
@@ -241,7 +242,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         "SELECT total_vendors, total_spend, total_sales, gross_profit, "
         "CASE WHEN total_sales > 0 THEN gross_profit / total_sales * 100.0 ELSE 0.0 END AS overall_margin_pct, "
         "round(avg_lead_time_days, 6) AS avg_lead_time_days, total_freight, "
-        "CASE WHEN total_spend > 0 THEN total_freight / total_spend * 100.0 ELSE 0.0 END AS overall_freight_ratio "
+        "CASE WHEN total_spend > 0 THEN total_freight / total_spend * 100.0 ELSE 0.0 END AS overall_freight_ratio, "
+        "(SELECT to_json(map_from_entries(list(struct_pack(k := VendorTier, v := n) ORDER BY n DESC, VendorTier))) "
+        "FROM (SELECT VendorTier, COUNT(*) AS n FROM vs GROUP BY VendorTier)) AS tier_counts "
         "FROM (SELECT COUNT(*) AS total_vendors, "
         f"{O.xsum('TotalSpendDollars')} AS total_spend, {O.xsum('TotalSalesDollars')} AS total_sales, "
         f"{O.xsum('GrossProfitDollars')} AS gross_profit, AVG(AvgLeadTimeDays) AS avg_lead_time_days, "
