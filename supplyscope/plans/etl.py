@@ -53,3 +53,31 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     stored["exec_summary"] = summary
     stored["purchases"] = purchases
     return stored
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m supplyscope.plans.etl INPUTS OUT [--format csv] [--from D] [--to D]``"""
+    import argparse
+
+    from ..session import build_session
+    from ..sources import load_sources
+
+    ap = argparse.ArgumentParser(prog="python -m supplyscope.plans.etl")
+    ap.add_argument("inputs", help="folder with the six inputs <name>.<format>")
+    ap.add_argument("out", help="folder for the result tables")
+    ap.add_argument("--format", default="csv")
+    ap.add_argument("--from", dest="date_from", default="2024-01-01")
+    ap.add_argument("--to", dest="date_to", default="2024-12-31")
+    ap.add_argument("--top-k", type=int, default=100)
+    ap.add_argument("--json", dest="json_dir", default=None, help="also write JSON record files")
+    a = ap.parse_args(argv)
+    spark = build_session()
+    stored = run_etl(spark, load_sources(spark, a.inputs, a.format), a.out, a.date_from,
+                     a.date_to, a.top_k, a.json_dir)
+    s = stored["exec_summary"].first()
+    print(f"vendors={s.total_vendors} spend={s.total_spend:.2f} sales={s.total_sales:.2f} "
+          f"avg_lead_time={s.avg_lead_time_days:.1f}")
+
+
+if __name__ == "__main__":
+    main()

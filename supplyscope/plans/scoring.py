@@ -107,3 +107,36 @@ def score_orders(orders: DataFrame, vs: DataFrame, models: dict | None = None,
                        round1(F.col("LateDeliveryRate") + F.col("_days") * RULE_DELAY_PER_DAY))
         out = _finish(base, F.col("_days"), prob)
     return out.select(*(keep or []), *OUTPUT)
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m supplyscope.plans.scoring ORDERS RESULTS OUT [--models M] [--format csv]``
+
+    Scores a table of proposed orders (columns of ``schemas.ORDERS_TO_SCORE``; missing ones
+    take the defaults) with the saved models, or with the rule of thumb without ``--models``."""
+    import argparse
+
+    from .. import schemas
+    from ..session import build_session
+    from ..sources import read_table
+    from .training import load_models
+
+    ap = argparse.ArgumentParser(prog="python -m supplyscope.plans.scoring")
+    ap.add_argument("orders")
+    ap.add_argument("results")
+    ap.add_argument("out")
+    ap.add_argument("--models", default=None)
+    ap.add_argument("--format", default="csv")
+    a = ap.parse_args(argv)
+    spark = build_session()
+    reader = spark.read.format(a.format)
+    if a.format == "csv":
+        reader = reader.schema(schemas.ORDERS_TO_SCORE).option("header", True)
+    orders = reader.load(a.orders)
+    vs = read_table(spark, a.results, "vendor_summary")
+    models = load_models(spark, a.models)[0] if a.models else None
+    score_orders(orders, vs, models).write.mode("overwrite").parquet(a.out)
+
+
+if __name__ == "__main__":
+    main()

@@ -193,3 +193,35 @@ def load_models(spark: SparkSession, path: str) -> tuple[dict, DataFrame | None]
     except Exception:  # noqa: BLE001 - absent metrics table
         metrics = None
     return models, metrics
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m supplyscope.plans.training INPUTS RESULTS MODELS [--format csv]``
+
+    Trains on the purchases input and the stored scorecard under RESULTS (written by the ETL)
+    and saves both pipelines and the metrics row under MODELS."""
+    import argparse
+
+    from ..session import build_session
+    from ..sources import load_sources, read_table
+
+    ap = argparse.ArgumentParser(prog="python -m supplyscope.plans.training")
+    ap.add_argument("inputs")
+    ap.add_argument("results")
+    ap.add_argument("models")
+    ap.add_argument("--format", default="csv")
+    ap.add_argument("--rounds", type=int, default=BOOST_ROUNDS)
+    ap.add_argument("--sample", type=int, default=SAMPLE_SIZE)
+    a = ap.parse_args(argv)
+    spark = build_session()
+    purchases = load_sources(spark, a.inputs, a.format, register_views=False)["purchases"]
+    vs = read_table(spark, a.results, "vendor_summary",
+                    ["VendorNumber", "AvgLeadTimeDays", "LateDeliveryRate", "VPIScore"])
+    models, metrics = train_models(purchases, vs, a.sample, a.rounds)
+    save_models(models, metrics, a.models)
+    m = metrics.first()
+    print(f"r2={m.r2:.4f} mae={m.mae:.2f} rmse={m.rmse:.2f} accuracy={m.accuracy:.4f}")
+
+
+if __name__ == "__main__":
+    main()

@@ -118,3 +118,25 @@ def test_load_sources_parquet_casts_to_schema(spark, tmpdir_path):  # S1 (any fo
     assert src["purchases"].schema["Store"].dataType.typeName() == "integer"
     assert "LineNumber" not in src["purchases"].columns
     assert src["sales"].count() == views["sales"].count()
+
+
+def test_command_line_jobs(spark, tmpdir_path, capsys):
+    from supplyscope.plans import etl, scoring, training
+    views = fixture_views(spark, SF_SMALL)
+    inputs = os.path.join(tmpdir_path, "in")
+    for n in ("purchases", "vendor_invoice", "sales", "begin_inventory", "end_inventory",
+              "purchase_prices"):
+        df = views[n].drop("LineNumber") if n == "purchases" else views[n]
+        df.write.mode("overwrite").option("header", True).csv(os.path.join(inputs, f"{n}.csv"))
+    views["orders_to_score"].drop("order_key", "line_number", "part_key").write \
+        .mode("overwrite").option("header", True).csv(os.path.join(tmpdir_path, "orders"))
+    results, models = os.path.join(tmpdir_path, "results"), os.path.join(tmpdir_path, "models")
+    etl.main([inputs, results, "--from", "1998-01-01", "--to", "1998-12-31"])
+    assert "vendors=" in capsys.readouterr().out
+    training.main([inputs, results, models, "--rounds", "3", "--sample", "3000"])
+    assert "accuracy=" in capsys.readouterr().out
+    out = os.path.join(tmpdir_path, "scored")
+    scoring.main([os.path.join(tmpdir_path, "orders"), results, out, "--models", models])
+    scored = spark.read.parquet(out)
+    assert scored.count() == views["orders_to_score"].count()
+    assert scored.filter("predicted_lead_time_days < 1").count() == 0
