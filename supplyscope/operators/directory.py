@@ -76,7 +76,7 @@ def vendor_top_brands(brands: DataFrame, vendor_id: int, k: int = 10) -> DataFra
     Given the stored top-100 table this is the original vendor-detail list (only vendors with a
     brand in the global top 100 get any rows)."""
     return (brands.filter(F.col("VendorNumber") == F.lit(vendor_id))
-            .orderBy(F.col("TotalSpendDollars").desc_nulls_last(), F.col("Brand").asc())
+            .orderBy(F.col("TotalSpendDollars").desc_nulls_last(), F.col("Brand").asc_nulls_last())
             .limit(k))
 
 
@@ -86,7 +86,7 @@ def top_brands_per_vendor(brands: DataFrame, k: int = 10) -> DataFrame:
     ``row_number() <= k`` lets Spark place a partial per-task group limit before the shuffle,
     so a vendor owning a third of all brands sends at most ``k`` rows per task."""
     w = Window.partitionBy("VendorNumber").orderBy(F.col("TotalSpendDollars").desc_nulls_last(),
-                                                  F.col("Brand").asc())
+                                                  F.col("Brand").asc_nulls_last())
     return (brands.withColumn("BrandRank", F.row_number().over(w).cast("long"))
             .filter(F.col("BrandRank") <= k))
 

@@ -192,4 +192,6 @@ def top_brands(purchases_or_brands: DataFrame, k: int = 100) -> DataFrame:
     df = purchases_or_brands
     if "Brand" in df.columns and "TotalPurchasedUnits" not in df.columns:
         df = brand_summary(df)
-    return df.orderBy(F.col("TotalSpendDollars").desc_nulls_last(), F.col("Brand").asc()).limit(k)
+    return (df.orderBy(F.col("TotalSpendDollars").desc_nulls_last(),
+                       F.col("Brand").asc_nulls_last())
+            .limit(k))

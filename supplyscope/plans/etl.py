@@ -46,7 +46,8 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
             "vendor_summary": [F.col("TotalSpendDollars").desc_nulls_last(),
                                F.col("VendorNumber").asc_nulls_last()],
             "monthly_trends": [F.col("YearMonth")],
-            "top_brands": [F.col("TotalSpendDollars").desc_nulls_last(), F.col("Brand")],
+            "top_brands": [F.col("TotalSpendDollars").desc_nulls_last(),
+                           F.col("Brand").asc_nulls_last()],
         }
         for k, df in stored.items():
             write_json(df.orderBy(*order[k]), os.path.join(json_dir, k))
