@@ -44,13 +44,19 @@ def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFram
             break
         frac = min(1.0, frac * 2.0)
     surplus = c - n
-    order = [F.col("_h")] + [F.col(k) for k in keys]
     if surplus > 0:
-        # The smallest of the surplus rows (largest hashes) is the first row left out.
-        first_out = (cand.select("_h", *keys).orderBy(*[o.desc() for o in order])
-                     .limit(surplus).orderBy(*order).first())
-        bound = F.struct(*[F.lit(first_out[c]).alias(c) for c in ["_h"] + keys])
-        cand = cand.filter(F.struct(*[F.col(c) for c in ["_h"] + keys]) < bound)
+        # Rank by (hash, keys) with a missing key after any present one, as SQL's ORDER BY;
+        # the smallest of the ``surplus`` largest candidates is the first row left out.
+        fields = [F.col("_h").alias("h")]
+        for i, k in enumerate(keys):
+            fields += [F.col(k).isNull().alias(f"n{i}"), F.col(k).alias(f"k{i}")]
+        cand = cand.withColumn("_rank", F.struct(*fields))
+        first_out = (cand.select("_rank").orderBy(F.col("_rank").desc()).limit(surplus)
+                     .orderBy("_rank").first()[0])
+        bound = F.struct(*[F.lit(first_out[j]).cast(cand.schema["_rank"].dataType[j].dataType)
+                           .alias(cand.schema["_rank"].dataType[j].name)
+                           for j in range(len(first_out))])
+        cand = cand.filter(F.col("_rank") < bound).drop("_rank")
     return cand.drop("_h")
 
 

@@ -35,3 +35,20 @@ def test_split_is_deterministic_and_about_80_20(spark):
     assert tr1.exceptAll(tr2).count() == 0 and tr2.exceptAll(tr1).count() == 0
     flags = df.select(ops.train_test_flag(["k"], 7).alias("f")).filter("f").count()
     assert flags == tr1.count()
+
+
+@pytest.mark.parametrize("n", [5, 60])
+def test_sample_n_with_missing_keys_orders_them_last(spark, n):
+    rows = [(i % 50 if i % 7 else None, i // 50 if i % 11 else None) for i in range(400)]
+
+    def key(r):
+        text = "|".join(str(x) for x in (*r, 42) if x is not None)
+        return (hashlib.md5(text.encode()).hexdigest(),
+                [(x is None, x if x is not None else 0) for x in r])
+
+    want = sorted(sorted(rows, key=key)[:n], key=lambda r: [(x is None, x or 0) for x in r])
+    df = spark.createDataFrame(rows, "a long, b long").repartition(4)
+    got = sorted((tuple(r) for r in ops.sample_n(df, n, ["a", "b"], seed=42).collect()),
+                 key=lambda r: [(x is None, x or 0) for x in r])
+    assert len(got) == n or len(got) == len(want)
+    assert got == want
