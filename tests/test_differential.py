@@ -12,6 +12,7 @@ import oracle_sql as O
 from supplyscope import operators as ops
 from supplyscope import schemas
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 D0 = dt.date(2024, 1, 1)
 vendor = st.one_of(st.none(), st.integers(1, 4))
@@ -120,3 +121,29 @@ def test_line_level_queries_match_sql(spark, ps):
                   f"ORDER BY TotalSpendDollars DESC NULLS LAST, Brand) AS BrandRank "
                   f"FROM ({O.BRAND_SUMMARY})) WHERE BrandRank <= 2")
     _same(ops.top_brands_per_vendor(ops.brand_summary(p), 2).toPandas(), con.execute(per_vendor).df())
+
+
+order = st.tuples(st.one_of(st.none(), st.integers(1, 6)), st.one_of(st.none(), st.integers(1, 80)),
+                  st.one_of(st.none(), st.integers(1, 2)),
+                  st.one_of(st.none(), st.integers(1, 5000).map(float)),
+                  st.one_of(st.none(), money), st.one_of(st.none(), money))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.too_slow],
+          phases=[Phase.explicit, Phase.reuse, Phase.generate])
+@given(st.lists(purchase, min_size=1, max_size=20), st.lists(order, min_size=1, max_size=12))
+def test_rule_scoring_matches_sql(spark, ps, orders):
+    from supplyscope.plans.scoring import score_orders
+    data = frames(ps, [], [], [], [], [])
+    rows = [(v, s, c, q, pp, d, 6, 2, i, 1, 1) for i, (v, s, c, q, pp, d) in enumerate(orders)]
+    schema = T.StructType(schemas.ORDERS_TO_SCORE.fields
+                          + [T.StructField(k, T.LongType()) for k in ("order_key", "line_number",
+                                                                      "part_key")])
+    data["orders_to_score"] = (rows, schema)
+    dfs = {k: spark.createDataFrame(r, s) for k, (r, s) in data.items()}
+    vs = ops.vendor_summary_from(dfs, sort=False)
+    got = score_orders(dfs["orders_to_score"], vs, None,
+                       keep=["order_key", "line_number", "part_key"]).toPandas()
+    con = _duck(data)
+    want = con.execute(f"WITH {O.VENDOR_SUMMARY_BODY}\n{O.SCORE_ORDERS_RULES}").df()
+    _same(got, want)
