@@ -7,6 +7,7 @@ depend on the summation algorithm are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -316,6 +317,21 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 }
 
 
+def _llm_queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    """The corpus queries, if their subpackage and the pipeline are there (both can be left out)."""
+    found = {}
+    for module in ("supplyscope.llm.queries", "corpus_pipeline"):
+        try:
+            found |= importlib.import_module(module).QUERIES
+        except ModuleNotFoundError as e:
+            if e.name not in ("supplyscope.llm", "supplyscope.llm.queries", "corpus_pipeline"):
+                raise
+    return found
+
+
+_QUERIES |= _llm_queries()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the vendor scorecard on sf0.001."""
     return ops.vendor_summary_from(fixture_views(spark, SMOKE_DIR))
