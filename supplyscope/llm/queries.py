@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from supplyscope.llm import fingerprints, neardup
+from supplyscope.llm import bpe, fingerprints, neardup, token_files
+
+
+#: Where the vocabulary files of the queries come from.
+TOKENIZERS = public_tokenizers.path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +22,24 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.scratch_path(spark)
+    token_files.write(_table(spark, sf_dir, "documents"), path, TOKENIZERS("word_bpe_49k.json"), end_id=2)
+    return token_files.digest(spark, path)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.tiktoken"))
+
+
 #: Name: (query, DuckDB SQL or None).
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_fingerprints": (op1_fingerprints, None),
+    "op5_token_files": (op5_token_files, None),
     "op7_near_duplicates": (op7_near_duplicates, None),
+    "op9_bpe": (op9_bpe, None),
 }
