@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from supplyscope.llm import bpe, fingerprints, neardup, token_files
+from supplyscope.llm import (bpe, fingerprints, html_extract, licenses, mixing, neardup, quality, quotes,
+                             token_files, topk)
 
 
 #: Where the vocabulary files of the queries come from.
@@ -22,24 +24,75 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_table(spark, sf_dir, "documents")).select("doc_id", "source", "mix.*")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.scratch_path(spark)
     token_files.write(_table(spark, sf_dir, "documents"), path, TOKENIZERS("word_bpe_49k.json"), end_id=2)
     return token_files.digest(spark, path)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(_table(spark, sf_dir, "conversations"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.tiktoken"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier selects, with their expected grade and tail probability."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return (quality.score(docs.select("doc_id", "text"), model).where(F.col("p_best") >= quality.THRESHOLD)
+            .select("doc_id", "expected_grade", "p_best"))
+
+
+#: DuckDB SQL of exact top-k: integer components, all pairs of queries and candidates.
+_TOP_K_SQL = """
+WITH valid AS (
+    SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+    FROM valid q JOIN valid c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 #: Name: (query, DuckDB SQL or None).
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_fingerprints": (op1_fingerprints, None),
+    "op2_licenses": (op2_licenses, None),
+    "op3_mixing": (op3_mixing, None),
+    "op4_html": (op4_html, None),
     "op5_token_files": (op5_token_files, None),
+    "op6_top_k": (op6_top_k, _TOP_K_SQL),
     "op7_near_duplicates": (op7_near_duplicates, None),
+    "op8_quotes": (op8_quotes, None),
     "op9_bpe": (op9_bpe, None),
+    "op10_quality": (op10_quality, None),
 }

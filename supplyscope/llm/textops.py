@@ -32,6 +32,8 @@ _STEP = np.uint64(0xD1B54A32D192ED03)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators of plain words: every ASCII byte but letters and digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
@@ -88,12 +90,13 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE
+          ) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word, in text order.  ``offsets[0]`` is 0."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = _SPACE[data]
+    space = separators[data]
     first = np.empty(n, bool)
     first[0] = True
     first[1:] = space[:-1]
