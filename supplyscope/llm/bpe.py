@@ -18,7 +18,7 @@ Defined results: a null or empty text has no ids; every text round-trips, whatev
 repeated rows give repeated rows; an empty table gives an empty result.  Other columns pass through
 untouched where ``encode`` is given them; the ids' column must have a free name (ValueError).
 
-Scale: one pass, no shuffle.  The vocabulary (the file's size bounds it) is broadcast.
+Scale: one pass, no shuffle.  The vocabulary (the file's size bounds it) goes to every worker.
 """
 
 from __future__ import annotations
@@ -328,10 +328,11 @@ def encoder(content: bytes, pattern: str = PATTERN) -> TextEncoder:
     return _encoders[key]
 
 
-def _broadcast(df: DataFrame, vocabulary: str):
+def _content(df: DataFrame, vocabulary: str) -> bytes:
+    """The rank file's content, which goes to the workers with the functions that use it."""
     T.ship(df.sparkSession)
     with open(vocabulary, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        return f.read()
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, text: str = "text",
@@ -340,10 +341,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, text: str = "
     others = [c for c in df.columns if c != text]
     if ids in others:
         raise ValueError(f"the table has a column {ids!r} already")
-    content = _broadcast(df, vocabulary)
+    content = _content(df, vocabulary)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(content.value, pattern)
+        e = encoder(content, pattern)
         for batch in batches:
             found = [e.encode(t.as_py() or "") for t in batch.column(0)]
             at = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
@@ -359,11 +360,11 @@ def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, text: str = "
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "bytes") -> DataFrame:
     """All columns and the bytes of the ids (null ids: none)."""
-    content = _broadcast(df, vocabulary)
+    content = _content(df, vocabulary)
 
     @F.pandas_udf("binary")
     def one(column):
-        v = encoder(content.value).vocabulary
+        v = encoder(content).vocabulary
         return column.map(lambda x: v.decode(x.tolist() if x is not None else []))
 
     return df.withColumn(to, one(F.col(ids)))
@@ -371,10 +372,10 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "bytes")
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document's whole text."""
-    content = _broadcast(docs, vocabulary)
+    content = _content(docs, vocabulary)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(content.value, pattern)
+        e = encoder(content, pattern)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for t in batch.column(1):

@@ -19,7 +19,7 @@ repeat a doc_id count as one document (null doc_ids as one, too); equal containm
 position.  An empty table gives an empty result.  Other columns are not read, so names can't clash.
 
 Scale: DataFrame functions only; one pass over whole texts without a shuffle of texts.  The templates are
-fixed, so their table is broadcast; matches are pre-aggregated by document and template.
+fixed and few, so that Spark broadcasts their table by its size; matches are pre-aggregated by document and template.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     windows = placed.select("doc_id", "j", around.alias("around"), F.expr(f"array({keys})").alias("keys"))
     each = windows.select("doc_id", "j", "around", F.inline("keys"))
     bands = templates(spark).select("template", "license", F.col("sh").alias("t_sh"), F.inline("keys"))
-    met = each.join(F.broadcast(bands), ["band", "key"])
+    met = each.join(bands, ["band", "key"])
     share = F.size(F.array_intersect("around", "t_sh")) / F.size("t_sh")
     return (met.withColumn("containment", share).where(F.col("containment") >= containment)
             .groupBy("doc_id", "template", "license", "containment").agg(F.min("j").alias("word"))

@@ -22,8 +22,8 @@ is nothing to learn: every score is 0 and every tail 1, so nothing is rejected.
 alike.  An empty table gives an empty result.  Other columns pass through ``select_documents``; the
 working columns are made under names that no column has.
 
-Scale: one pass over the texts to score, no shuffle; the weights (2**BITS numbers) and the sample's
-doc_ids are broadcast, both bounded.
+Scale: one pass over the texts to score, no shuffle; only the features with a weight go to the workers (a few
+hundred numbers), and the sample's doc_ids are a bounded table.
 """
 
 from __future__ import annotations
@@ -60,11 +60,19 @@ _BINS = np.array([0.0, 0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3,
 
 @dataclass
 class Model:
-    """Weights by feature and ascending thresholds, the k-th below grade k + 1."""
+    """The features with a weight, their weights, and ascending thresholds, the k-th below grade k + 1."""
 
-    weights: np.ndarray
+    used: np.ndarray
+    values: np.ndarray
     thresholds: np.ndarray
 
+    @property
+    def weights(self) -> np.ndarray:
+        """Weights by feature."""
+        out = np.zeros(1 << BITS)
+        out[self.used] = self.values
+        return out
+
 
 def _bin_features(shares: np.ndarray) -> np.ndarray:
     """Features (rows, shares) for binned shares (rows, shares)."""
@@ -102,7 +110,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     """The model of rows of features and their grades 0, 1, ..., by full-batch gradient steps (Adam)."""
     top = int(grades.max()) if len(grades) else 0
     if len(np.unique(grades)) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), np.full(max(top, 2), -np.inf))
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(max(top, 2), -np.inf))
     seen = np.bincount(np.concatenate(rows), minlength=1 << BITS)
     column = np.full(1 << BITS, -1)
     used = np.flatnonzero(seen >= MIN_DOCUMENTS)
@@ -144,14 +152,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
             weights = np.where(free, weights - step[:len(used)], 0)
             weights = np.sign(weights) * np.maximum(np.abs(weights) - penalty * rate[:len(used)], 0)
             steps = steps - step[len(used):]
-    out = np.zeros(1 << BITS, np.float32)
-    out[used] = weights
-    return Model(out, np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))]))
+    return Model(used[weights != 0], weights[weights != 0], np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))]))
 
 
 def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """P(grade >= k) for k = 1, 2, ... (rows, thresholds)."""
-    scores = [np.bincount(row, model.weights[index], n) for row, index, n in features(data, offsets)]
+    weights = model.weights
+    scores = [np.bincount(row, weights[index], n) for row, index, n in features(data, offsets)]
     score = np.concatenate(scores) if scores else np.zeros(0)
     return _sigmoid(score[:, None] - model.thresholds[None, :])
 
@@ -180,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
                 names=["doc_id", "grade", "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The sample has at most ``most`` rows of two numbers, so it is broadcast.
-    sample = (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    # The sample has at most ``most`` rows of two numbers, small enough for Spark to broadcast it by its size.
+    sample = (texts.join(chosen, "doc_id").select("doc_id", "grade", "text")
               .mapInArrow(featured, "doc_id long, grade int, features binary"))
     rows = sorted((r["doc_id"], r["grade"], bytes(r["features"])) for r in sample.collect())
     return fit([np.frombuffer(f, "<i4").astype(np.int64) for _, _, f in rows],
@@ -191,15 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
 def score(docs: DataFrame, model: Model, text: str = "text", grade: str = "expected_grade",
           tail: str = "p_best") -> DataFrame:
     """All columns, the expected grade and the probability of the best grade."""
-    spark = docs.sparkSession
-    T.ship(spark)
-    held = spark.sparkContext.broadcast(model)
+    T.ship(docs.sparkSession)
 
     @F.pandas_udf("struct<grade:double,tail:double>")
     def one(texts):
         import pandas as pd
         data, offsets = T.utf8(pa.array(texts, pa.large_string()))
-        p = probabilities(held.value, data, offsets)
+        p = probabilities(model, data, offsets)
         return pd.DataFrame({"grade": p.sum(axis=1), "tail": p[:, -1]})
 
     both = "_" * max(map(len, docs.columns)) + "_scored"  # a name that no column has

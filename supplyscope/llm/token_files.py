@@ -238,7 +238,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     spark = docs.sparkSession
     T.ship(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
-        content = spark.sparkContext.broadcast(f.read())  # the file's size bounds it
+        content = f.read()  # goes to the workers with the function below
     n = T.partitions(spark)
     thin = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("key"),
                        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -249,7 +249,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
         return pd.Series(np.searchsorted(bounds, key.to_numpy()).astype("int32"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(content.value)
+        t = tokenizer(content)
         end = np.array([end_id], "<u4").tobytes()
         names, found, size, before, number, mine = [], [], 0, 0, 0, None
 
