@@ -10,14 +10,14 @@ similarity of at least ``PERCENT`` / 100; groups are the connected components of
    Pairs at 0.8 miss all bands with probability (1 - 0.8**5)**32 = 3e-6.
 2. Documents with equal sets are one class, a node, from here on (its number is a 64-bit hash of the
    set: two different sets among n meet with probability n**2 / 2**65).
-3. In each band bucket with two nodes or more, up to eight nodes (the smallest of each residue) are
-   hubs; hubs are compared with all members.  A large group of near copies mostly falls into one
-   component here, with at most 8 n pairs, never all pairs.
-4. All pairs of one bucket that are still in different components follow, if their signatures' bit
-   counts allow 0.8.  The estimate is corrected for chance agreement, (m / K - C) / (1 - C) with
-   C = 2**-BITS, and must reach 0.6: 5.3 standard errors below 0.8.  Pairs within a component can't
-   change the result, so leaving them out loses nothing.
-5. Every candidate of 3 and 4 is confirmed on the full sets.
+3. Nodes that share a bucket with another are dealt to blocks of bounded size: nodes of one
+   neighbourhood (the smallest node of their buckets) together, large neighbourhoods over several
+   blocks.  Two blocks meet if they have nodes in one bucket, and each block meets itself.
+4. A meeting is one row, and one task finds its links: pairs whose signatures' bit counts allow 0.8
+   are confirmed on the full sets.  The estimate is corrected for chance agreement,
+   (m / K - C) / (1 - C) with C = 2**-BITS, and must reach 0.6: 5.3 standard errors below 0.8.
+   Pairs that links found so far connect already are skipped, as they can't change the result, so a
+   meeting returns fewer links than it has nodes, never all pairs.
 
 Defined results: null, empty and wordless texts have an empty set, no node and no links; the
 component of such a row is its own doc_id.  Null doc_ids never are the smallest of a component that
@@ -25,8 +25,9 @@ has others.  Repeated rows are copies like any others.  An empty table gives an
 columns pass through ``deduplicate`` untouched; the working columns are taken apart before joins, so
 names can't clash.
 
-Scale: texts are read twice and moved once; bands, hubs and minima are pre-aggregated before the
-shuffles; joins on hot buckets and hubs are sort-merge joins that adaptive execution splits.
+Scale: texts are read twice and moved once; buckets are pre-aggregated before the shuffle, and joins on
+hot buckets are sort-merge joins that adaptive execution splits.  A group of n near copies costs
+(n / BLOCK_NODES)**2 / 2 meetings, which are spread over tasks.
 """
 
 from __future__ import annotations
@@ -42,14 +43,16 @@ from pyspark.sql import functions as F
 from supplyscope.llm import textops as T
 from supplyscope.llm.components import components
 
-WIDTH = 2
+WIDTH = 5
 PERCENT = 80
 BANDS, ROWS, BITS = 32, 5, 2
 K = BANDS * ROWS
 LONGS = K * BITS // 64
 #: Candidates need this corrected signature estimate.
 LEAST_ESTIMATE = 0.6
-HUBS = 8
+#: A block has about so many nodes and so many shingles at most (a single larger set is a block of its own).
+BLOCK_NODES = 512
+BLOCK_SHINGLES = 1 << 20
 
 _seeds = T.mix(np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR = (_seeds[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -139,82 +142,106 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                                               "hashes": pa.array([s for _, s in found], pa.binary())})
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("key"), "text")
-    return (texts.join(chosen, "key").select("text", "node")
+    # Always by a shuffle of the texts, also where the chosen rows are few, so that plans are alike at every size.
+    return (texts.join(chosen.hint("merge"), "key").select("text", "node")
             .mapInArrow(one, "node long, hashes binary").dropDuplicates(["node"]))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places where packed signature x differs from each row of y."""
+    d = x ^ y
+    folded = d.copy()
+    for s in range(1, BITS):
+        folded |= d >> np.uint64(s)
+    folded &= np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+    return np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+
+
+class _Block:
+    """Nodes, signatures and sets of one block."""
+
+    def __init__(self, rows: pa.StructArray):
+        nodes, signatures, hashes = (rows.field(i) for i in range(3))
+        self.nodes = nodes.to_numpy(zero_copy_only=False)
+        self.signatures = signatures.flatten().to_numpy().reshape(len(rows), LONGS).view(np.uint64)
+        self.sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in hashes]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+
+
+def _links(a: _Block, b: _Block, percent: int) -> tuple[list[int], list[int]]:
+    """Links that connect all linked nodes of two blocks (or of one with itself)."""
+    same = a is b
+    label = np.arange(len(a.nodes) if same else len(a.nodes) + len(b.nodes))
+    own = label if same else label[len(a.nodes):]  # views: b's labels
+    left, right = [], []
+    for i in range(len(a.nodes)):
+        first = i + 1 if same else 0
+        sizes = b.sizes[first:]
+        n = a.sizes[i]
+        maybe = ((own[first:] != label[i]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))).nonzero()[0]
+        if len(maybe):
+            maybe = maybe[_differing(a.signatures[i], b.signatures[first:][maybe]) <= MOST_DIFFERING] + first
+        if not len(maybe):
+            continue
+        # How many of x's hashes each candidate has.
+        x = a.sets[i]
+        every = np.concatenate([b.sets[j] for j in maybe])
+        at = np.searchsorted(x, every)
+        at[at == n] = 0
+        shared = np.add.reduceat((x[at] == every).astype(np.int64),
+                                 np.concatenate([[0], np.cumsum(b.sizes[maybe])[:-1]]))
+        for j in maybe[100 * shared >= percent * (n + b.sizes[maybe] - shared)]:
+            if own[j] != label[i]:
+                left.append(a.nodes[i])
+                right.append(b.nodes[j])
+                label[label == own[j]] = label[i]
+    return left, right
+
+
+def _linked(meetings: DataFrame, percent: int) -> DataFrame:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                h = np.concatenate([x, y])
-                h.sort()
-                shared = int(np.count_nonzero(h[1:] == h[:-1]))
-                keep.append(100 * shared >= percent * (len(h) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return (pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y")
-            .mapInArrow(confirm, "a long, b long"))
-
-
-def _differing(x: str, y: str):
-    """Places where two packed signatures differ."""
-    mask = sum(1 << i for i in range(0, 64, BITS))
-    total = F.lit(0)
-    for i in range(LONGS):
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        folded = d
-        for s in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftright(d, s))
-        total = total + F.bit_count(folded.bitwiseAND(F.lit(mask if mask < 2**63 else mask - 2**64)))
-    return total
+            for i in range(len(batch)):
+                a = _Block(batch.column(0)[i].values)
+                b = _Block(batch.column(1)[i].values) if batch.column(1)[i].is_valid else a
+                left, right = _links(a, b, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())],
+                                                 names=["a", "b"])
+
+    return meetings.mapInArrow(link, "a long, b long")
 
 
 def groups(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(node, label) of all nodes that are linked with another; ``sketched``: the stored sketch with doc_id."""
     banded = sketched.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
     shared = (banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-              .where("lo < hi").select("band"))
-    members = T.stored(banded.join(shared, "band", "left_semi").distinct(), "members")
-    if members.isEmpty():
-        return members.select("node", F.col("node").alias("label"))
-
-    mine = members.select("node").distinct()
-    rows = sketched.join(mine, "node", "left_semi")
-    chosen = rows.groupBy("node").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))).alias("key"))
-    sets = T.stored(_sets(docs, chosen, width), "sets")
-
-    hubs = members.groupBy("band", F.pmod("node", F.lit(HUBS)).alias("r")).agg(F.min("node").alias("a"))
-    first = (members.join(hubs.select("band", "a"), "band").where("a != node")
-             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    links = T.stored(_confirmed(first, sets, percent), "confirmed")
-    labels = components(links)
-
-    # What is still apart: buckets with two labels or more, and in them the pairs of different labels.
-    labelled = (members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    apart = (labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo < hi").select("band"))
-    looked_at = rows.select("node", "n_shingles", "signature").dropDuplicates(["node"])
-    left = T.stored(labelled.join(apart, "band", "left_semi").join(looked_at, "node"), "apart")
-    x, y = (left.select(*[F.col(c).alias(f"{side}_{c}") for c in left.columns]) for side in "xy")
-    small, large = F.least("x_n_shingles", "y_n_shingles"), F.greatest("x_n_shingles", "y_n_shingles")
-    near = x.join(y, (F.col("x_band") == F.col("y_band")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label"))
-                  & (100 * small >= percent * large) & (_differing("x_signature", "y_signature") <= MOST_DIFFERING))
-    second = near.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    tested = first.select("a", "b")
-    more = T.stored(_confirmed(second.join(tested, ["a", "b"], "left_anti"), sets, percent), "confirmed")
-    if more.isEmpty():
-        return labels
-    return components(links.union(more))
+              .where("lo < hi").select("band", "lo"))
+    members = T.stored(banded.join(shared, "band").distinct(), "members")  # node, band, lo
+    around = members.groupBy("node").agg(F.min("lo").alias("around"))
+
+    rows = sketched.join(around, "node")
+    chosen = T.stored(rows.groupBy("node", "around").agg(
+        F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))).alias("key"),
+        F.max("n_shingles").alias("n_shingles")), "chosen")
+    size = chosen.groupBy("around").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(
+        F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = T.stored(chosen.join(size, "around").select("node", "key", F.xxhash64(
+        "around", F.pmod(F.xxhash64("node"), "blocks")).alias("block")), "placed")
+
+    sets = _sets(docs, placed.select("node", "key"), width)
+    signed = sketched.select("node", "signature").join(placed.select("node", "block"), "node").dropDuplicates(["node"])
+    blocks = T.stored(sets.join(signed, "node").groupBy("block").agg(
+        F.collect_list(F.struct("node", "signature", "hashes")).alias("rows")), "blocks")
+
+    found = members.join(placed, "node").select("band", "block").distinct()
+    several = found.groupBy("band").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi")
+    found = found.join(several.select("band"), "band", "left_semi")
+    x, y = (found.select(F.col("band").alias(f"{s}_band"), F.col("block").alias(s)) for s in "xy")
+    meet = x.join(y, (F.col("x_band") == F.col("y_band")) & (F.col("x") < F.col("y"))).select("x", "y").distinct()
+    x, y = (blocks.select(F.col("block").alias(s), F.col("rows").alias(f"{s}_rows")) for s in "xy")
+    two = meet.join(x, "x").join(y, "y").select("x_rows", "y_rows")
+    one = blocks.where(F.size("rows") > 1).select("rows", F.lit(None).cast(blocks.schema["rows"].dataType))
+    return components(T.stored(_linked(one.union(two), percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
