@@ -19,10 +19,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_sql as O  # noqa: E402
 from supplyscope import operators as ops  # noqa: E402
-from supplyscope.plans.scoring import score_orders  # noqa: E402
-from supplyscope.plans.training import (evaluate, fit_both, predict,  # noqa: E402
-                                        training_features)
-from supplyscope.sources import fixture_views  # noqa: E402
+from supplyscope.plans.scoring import (OUTPUT, from_predictions, score_orders,  # noqa: E402
+                                       with_order_defaults, with_vendor_history)
+from supplyscope.plans.training import (SAMPLE_SIZE, evaluate, fit_both, metrics_of,  # noqa: E402
+                                        predict, training_features)
+from supplyscope.session import scratch_folder  # noqa: E402
+from supplyscope.sources import (fixture_views, read_summary, read_table,  # noqa: E402
+                                 write_summary, write_tables)
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -32,7 +35,7 @@ TIER = "tier 2"
 SEARCH = "0001"
 DETAIL_VENDOR = 7
 BRAND_VENDOR = 98
-SAMPLE_N = 100_000
+SAMPLE_N = O.SAMPLE_N
 SAMPLE_KEYS = ["PONumber", "LineNumber", "Brand", "VendorNumber"]
 SPLIT_SEED = 7
 
@@ -162,9 +165,15 @@ def q_sample_purchases(spark, sf_dir):
     return ops.sample_n(_views(spark, sf_dir)["purchases"], SAMPLE_N, SAMPLE_KEYS, seed=42)
 
 
-def _training(spark, sf_dir):
+def q_sample_tied_lines(spark, sf_dir):
+    # The key repeats (about thirty lines a brand), so that the cut falls among equal keys.
+    return ops.sample_n(_views(spark, sf_dir)["purchases"], SAMPLE_N + 1, ["Brand"], seed=42,
+                        tie_keys=["PONumber", "LineNumber", "VendorNumber"])
+
+
+def _training(spark, sf_dir, n=SAMPLE_N):
     v = _views(spark, sf_dir)
-    return training_features(v["purchases"], _vs(spark, sf_dir, sort=False), SAMPLE_N,
+    return training_features(v["purchases"], _vs(spark, sf_dir, sort=False), n,
                              SAMPLE_KEYS, seed=42)
 
 
@@ -184,6 +193,42 @@ def q_score_orders_rules(spark, sf_dir):
                         keep=["order_key", "line_number", "part_key"])
 
 
+def q_score_orders_defaults(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    keys = ["order_key", "line_number", "part_key"]
+    orders = v["orders_to_score"].select(*keys, "vendor_number")
+    return score_orders(orders, _vs(spark, sf_dir, sort=False), None, keep=keys)
+
+
+def q_risk_from_predictions(spark, sf_dir):
+    # Stand-in predictions from the row keys: what follows a prediction, without a model.
+    v = _views(spark, sf_dir)
+    base = with_vendor_history(with_order_defaults(v["orders_to_score"]), _vs(spark, sf_dir, sort=False))
+    days, probability = (F.col("order_key") % 160) / 10.0, (F.col("part_key") % 97) / 97.0
+    return from_predictions(base, days, probability).select("order_key", "line_number", "part_key", *OUTPUT)
+
+
+def q_metrics_from_predictions(spark, sf_dir):
+    scored = _training(spark, sf_dir).withColumns({
+        "pred_days": F.col("ActualLeadTimeDays") + (F.col("Brand") % 7 - 3) * 0.5,
+        "pred_delay": F.when(F.col("Brand") % 9 == 0, 1 - F.col("IsDelayed"))
+        .otherwise(F.col("IsDelayed")).cast("double")})
+    return _r6(metrics_of(scored), "r2", "mae", "rmse", "accuracy")
+
+
+def q_stored_scorecard(spark, sf_dir):
+    out = scratch_folder(spark, "stored-scorecard")
+    write_tables({"vendor_summary": _vs(spark, sf_dir)}, out)
+    return _vs_out(read_table(spark, out, "vendor_summary"))
+
+
+def q_stored_summary(spark, sf_dir):
+    out = scratch_folder(spark, "stored-summary")
+    write_summary(ops.exec_summary(_vs(spark, sf_dir, sort=False)), out)
+    s = read_summary(spark, out)
+    return _r6(s.withColumn("tier_counts", F.to_json("tier_counts")), "avg_lead_time_days")
+
+
 _MODELS: dict = {}
 
 
@@ -191,8 +236,9 @@ def _models(spark, sf_dir):
     """Train both models once per session and data folder (the rows-only queries share them)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        feats = _training(spark, sf_dir)
-        train, test = ops.train_test_split(feats, SAMPLE_KEYS, SPLIT_SEED)
+        # Fitted on a sample of fixed size; evaluated on every held-out line.
+        train, _ = ops.train_test_split(_training(spark, sf_dir, SAMPLE_SIZE), SAMPLE_KEYS, SPLIT_SEED)
+        _, test = ops.train_test_split(_training(spark, sf_dir, None), SAMPLE_KEYS, SPLIT_SEED)
         models = fit_both(train)
         _MODELS[key] = (models, test)
     return _MODELS[key]
@@ -223,6 +269,18 @@ def q_score_orders_model(spark, sf_dir):
                         keep=["order_key", "line_number", "part_key"])
 
 
+_EXEC_SUMMARY_SQL = O.with_vs(
+        "SELECT total_vendors, total_spend, total_sales, gross_profit, "
+        "CASE WHEN total_sales > 0 THEN gross_profit / total_sales * 100.0 ELSE 0.0 END AS overall_margin_pct, "
+        "round(avg_lead_time_days, 6) AS avg_lead_time_days, total_freight, "
+        "CASE WHEN total_spend > 0 THEN total_freight / total_spend * 100.0 ELSE 0.0 END AS overall_freight_ratio, "
+        "(SELECT to_json(map_from_entries(list(struct_pack(k := VendorTier, v := n) ORDER BY n DESC, VendorTier))) "
+        "FROM (SELECT VendorTier, COUNT(*) AS n FROM vs GROUP BY VendorTier)) AS tier_counts "
+        "FROM (SELECT COUNT(*) AS total_vendors, "
+        f"{O.xsum('TotalSpendDollars')} AS total_spend, {O.xsum('TotalSalesDollars')} AS total_sales, "
+        f"{O.xsum('GrossProfitDollars')} AS gross_profit, AVG(AvgLeadTimeDays) AS avg_lead_time_days, "
+        f"{O.xsum('TotalFreightDollars')} AS total_freight FROM vs)")
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "monthly_trends": (q_monthly_trends, O.with_standins(O.MONTHLY_TRENDS)),
     "purchase_metrics": (q_purchase_metrics, O.with_standins(
@@ -236,20 +294,12 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "top_brands": (q_top_brands, O.with_standins(O.TOP_BRANDS)),
     "vendor_summary": (q_vendor_summary, O.with_vs(
         f"SELECT {O.SUMMARY_COLUMNS} FROM vs ORDER BY TotalSpendDollars DESC NULLS LAST, VendorNumber")),
+    "stored_scorecard": (q_stored_scorecard, O.with_vs(f"SELECT {O.SUMMARY_COLUMNS} FROM vs")),
     "vpi_components": (q_vpi_components, O.with_vs(
         "SELECT VendorNumber, round(LeadTimeScore, 6) AS LeadTimeScore, round(MarginScore, 6) AS MarginScore, "
         "round(FreightScore, 6) AS FreightScore, round(VolumeScore, 6) AS VolumeScore, VPIScore, VendorTier FROM vs")),
-    "exec_summary": (q_exec_summary, O.with_vs(
-        "SELECT total_vendors, total_spend, total_sales, gross_profit, "
-        "CASE WHEN total_sales > 0 THEN gross_profit / total_sales * 100.0 ELSE 0.0 END AS overall_margin_pct, "
-        "round(avg_lead_time_days, 6) AS avg_lead_time_days, total_freight, "
-        "CASE WHEN total_spend > 0 THEN total_freight / total_spend * 100.0 ELSE 0.0 END AS overall_freight_ratio, "
-        "(SELECT to_json(map_from_entries(list(struct_pack(k := VendorTier, v := n) ORDER BY n DESC, VendorTier))) "
-        "FROM (SELECT VendorTier, COUNT(*) AS n FROM vs GROUP BY VendorTier)) AS tier_counts "
-        "FROM (SELECT COUNT(*) AS total_vendors, "
-        f"{O.xsum('TotalSpendDollars')} AS total_spend, {O.xsum('TotalSalesDollars')} AS total_sales, "
-        f"{O.xsum('GrossProfitDollars')} AS gross_profit, AVG(AvgLeadTimeDays) AS avg_lead_time_days, "
-        f"{O.xsum('TotalFreightDollars')} AS total_freight FROM vs)")),
+    "exec_summary": (q_exec_summary, _EXEC_SUMMARY_SQL),
+    "stored_summary": (q_stored_summary, _EXEC_SUMMARY_SQL),
     "tier_counts": (q_tier_counts, O.with_vs(
         "SELECT VendorTier, COUNT(*) AS VendorCount FROM vs WHERE VendorTier IS NOT NULL "
         "GROUP BY VendorTier ORDER BY VendorCount DESC, VendorTier")),
@@ -310,6 +360,10 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         f"SELECT *, CASE WHEN substr(md5(concat_ws('|', PONumber, LineNumber, Brand, VendorNumber, '{SPLIT_SEED}')), 1, 8) "
         f"< 'cccccccc' THEN 'train' ELSE 'test' END AS Split FROM ({O.TRAINING_FEATURES_SELECT})")),
     "score_orders_rules": (q_score_orders_rules, O.with_vs(O.SCORE_ORDERS_RULES)),
+    "score_orders_defaults": (q_score_orders_defaults, O.with_vs(O.SCORE_ORDERS_DEFAULTS)),
+    "risk_from_predictions": (q_risk_from_predictions, O.with_vs(O.RISK_FROM_PREDICTIONS)),
+    "metrics_from_predictions": (q_metrics_from_predictions, O.with_vs(O.METRICS_FROM_PREDICTIONS)),
+    "sample_tied_lines": (q_sample_tied_lines, O.with_standins(O.SAMPLE_TIED_LINES)),
     "predict_lead_time": (q_predict_lead_time, None),
     "predict_delay": (q_predict_delay, None),
     "model_metrics": (q_model_metrics, None),

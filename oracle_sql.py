@@ -9,6 +9,8 @@ sides, as noted per query.
 
 from __future__ import annotations
 
+# Lines that the sampling queries draw; fewer than the stand-in has at every scale from 0.01 on.
+SAMPLE_N = 10_000
 MONTH_FROM, MONTH_TO = "1998-01-01", "1998-12-31"
 
 STANDINS = """
@@ -217,7 +219,7 @@ def with_standins(select: str) -> str:
     return f"WITH {STANDINS}\n{select}"
 
 
-TRAINING_FEATURES_SELECT = """
+TRAINING_FEATURES_SELECT = f"""
 SELECT l.PONumber, l.LineNumber, l.Brand, l.VendorNumber, l.Store, l.Classification, l.Quantity,
        l.PurchasePrice, l.Dollars, l.POMonth, l.PODayOfWeek, l.ActualLeadTimeDays,
        COALESCE(v.AvgLeadTimeDays, 7.5) AS AvgLeadTimeDays,
@@ -230,16 +232,15 @@ FROM (SELECT PONumber, LineNumber, Brand, VendorNumber, Store, Classification, Q
       FROM (SELECT * FROM purchases
             ORDER BY md5(concat_ws('|', PONumber, LineNumber, Brand, VendorNumber, '42')),
                      PONumber, LineNumber, Brand, VendorNumber
-            LIMIT 100000)
+            LIMIT {SAMPLE_N})
       WHERE PODate IS NOT NULL AND ReceivingDate IS NOT NULL AND Quantity > 0 AND Dollars > 0) l
 LEFT JOIN vs v ON l.VendorNumber IS NOT DISTINCT FROM v.VendorNumber
 WHERE l.ActualLeadTimeDays BETWEEN 0 AND 60"""
 
 TRAINING_FEATURES = TRAINING_FEATURES_SELECT
 
-SCORE_ORDERS_RULES = """
-SELECT order_key, line_number, part_key, predicted_lead_time_days,
-       round_even(prob * 10.0, 0) / 10.0 AS delay_probability_pct,
+# Fixed values that must equal the original job: risk levels, badges and advice.
+_RISK = """
        CASE WHEN prob > 60.0 OR predicted_lead_time_days > 12.0 THEN 'HIGH RISK'
             WHEN prob > 30.0 OR predicted_lead_time_days > 8.0 THEN 'MODERATE RISK'
             ELSE 'LOW RISK' END AS risk_level,
@@ -251,14 +252,17 @@ SELECT order_key, line_number, part_key, predicted_lead_time_days,
             WHEN prob > 30.0 OR predicted_lead_time_days > 8.0 THEN
               'Standard monitoring recommended. Lead time matches vendor baseline.'
             ELSE 'Optimal delivery conditions expected. High confidence on-time fulfillment.' END
-         AS recommendation,
+         AS recommendation"""
+
+
+def _score(predicted: str, orders: str = "orders_to_score") -> str:
+    """Scored orders; ``predicted`` adds predicted_lead_time_days and prob to the filled orders."""
+    return f"""
+SELECT order_key, line_number, part_key, predicted_lead_time_days,
+       round_even(prob * 10.0, 0) / 10.0 AS delay_probability_pct,{_RISK},
        vendor_number, store, quantity, total_dollars,
        round_even(avg_lt * 10.0, 0) / 10.0 AS vendor_historical_avg_lt
-FROM (
-  SELECT *, least(95.0, round_even((late_rate + predicted_lead_time_days * 3.0) * 10.0, 0) / 10.0) AS prob
-  FROM (
-    SELECT *, round_even((avg_lt + quantity * 0.0001) * 10.0, 0) / 10.0 AS predicted_lead_time_days
-    FROM (
+FROM ({predicted} FROM (
       SELECT o.order_key, o.line_number, o.part_key,
              COALESCE(o.vendor_number, 12546) AS vendor_number,
              COALESCE(o.store, 1) AS store,
@@ -267,5 +271,31 @@ FROM (
                                  * COALESCE(CAST(o.purchase_price AS DOUBLE), 15.0)) AS total_dollars,
              COALESCE(v.AvgLeadTimeDays, 7.5) AS avg_lt,
              COALESCE(v.LateDeliveryRate, 5.0) AS late_rate
-      FROM orders_to_score o
-      LEFT JOIN vs v ON COALESCE(o.vendor_number, 12546) = v.VendorNumber)))"""
+      FROM {orders} o
+      LEFT JOIN vs v ON COALESCE(o.vendor_number, 12546) = v.VendorNumber))"""
+
+
+_RULE_DAYS = "round_even((avg_lt + quantity * 0.0001) * 10.0, 0) / 10.0"
+_RULES = (f"SELECT *, {_RULE_DAYS} AS predicted_lead_time_days, least(95.0, "
+          f"round_even((late_rate + {_RULE_DAYS} * 3.0) * 10.0, 0) / 10.0) AS prob")
+SCORE_ORDERS_RULES = _score(_RULES)
+# Orders that only name a vendor; all else takes the defaults.
+SCORE_ORDERS_DEFAULTS = _score(_RULES, """(SELECT order_key, line_number, part_key, vendor_number,
+  CAST(NULL AS INTEGER) AS store, CAST(NULL AS DOUBLE) AS quantity, CAST(NULL AS DOUBLE) AS purchase_price,
+  CAST(NULL AS DOUBLE) AS dollars FROM orders_to_score)""")
+# Stand-in predictions from the row keys, to check what follows a prediction without a model.
+RISK_FROM_PREDICTIONS = _score(
+    "SELECT *, greatest(1.0, round_even((order_key % 160) / 10.0 * 10.0, 0) / 10.0) AS predicted_lead_time_days, "
+    "(part_key % 97) / 97.0 * 100.0 AS prob")
+METRICS_FROM_PREDICTIONS = f"""
+SELECT round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2, round(avg(abs(y - p)), 6) AS mae,
+       round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(CAST(d = IsDelayed AS INTEGER)), 6) AS accuracy,
+       count(*) AS test_rows
+FROM (SELECT CAST(ActualLeadTimeDays AS DOUBLE) AS y, ActualLeadTimeDays + (Brand % 7 - 3) * 0.5 AS p, IsDelayed,
+             CASE WHEN Brand % 9 = 0 THEN 1 - IsDelayed ELSE IsDelayed END AS d
+      FROM ({TRAINING_FEATURES_SELECT}))"""
+SAMPLE_TIED_LINES = f"""
+SELECT * EXCLUDE (place) FROM (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', Brand, '42')), Brand,
+    md5(concat_ws('|', PONumber, LineNumber, VendorNumber, '42'))) AS place FROM purchases)
+WHERE place <= {SAMPLE_N + 1}"""

@@ -8,7 +8,6 @@ Modules
 ``sources``            readers (CSV inputs, stand-in views on the driver tables) and sinks
 ``operators``          per-vendor metrics, scorecard, directory queries, sampling
 ``plans``              end-to-end ETL, model training and bulk order scoring
-``streaming``          (no stream operators: the reference is batch only)
 """
 
 __version__ = "0.1.0"

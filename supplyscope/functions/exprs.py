@@ -69,36 +69,49 @@ def round1(c: ColumnOrName) -> Column:
 
 
 MICRO = 1_000_000
+FEMTO = 1_000_000_000  # of a millionth: units of 1e-15
+# What a double that stands for a decimal of at most six places may be off by, products included.
+_NOISE = 2e-15
 
 
-def micro_parts(c: ColumnOrName) -> tuple[Column, Column]:
-    """Split a money-like double into whole units and millionths, both ``long``."""
-    x = _c(c)
+def micro_parts(c: ColumnOrName) -> tuple[Column, Column, Column]:
+    """Split a money-like double into whole units, millionths and 1e-15ths, all ``long``.
+
+    A rest that is only the binary image of a decimal of six places or fewer (a few units in the
+    last place) is no digit of the value and is left out; any other rest is kept.  NaN is missing;
+    a value beyond 2^63 raises."""
+    x = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
     whole = F.floor(x)
-    return whole, F.rint((x - whole) * float(MICRO)).cast("long")
+    scaled = (x - whole) * float(MICRO)
+    micro = F.rint(scaled)
+    rest = scaled - micro
+    femto = F.when(F.abs(rest) > F.abs(x) * (_NOISE * MICRO), F.rint(rest * float(FEMTO))) \
+        .when(x.isNotNull(), F.lit(0.0))
+    return whole, micro.cast("long"), femto.cast("long")
 
 
-def combine_micro(whole_sum: Column, micro_sum: Column) -> Column:
-    """``whole_sum + micro_sum / 10^6`` as an exact decimal(38,6), returned as double."""
-    micros = whole_sum.cast("decimal(38,0)") * F.lit(MICRO) + micro_sum
-    return (micros / F.lit(MICRO).cast("decimal(7,0)")).cast("double")
+def combine_micro(whole_sum: Column, micro_sum: Column, femto_sum: Column) -> Column:
+    """``whole + micro / 10^6 + femto / 10^15`` as an exact decimal, returned as the nearest double."""
+    big = "decimal(38,0)"
+    total = ((whole_sum.cast(big) * F.lit(MICRO).cast(big) + micro_sum).cast(big)
+             * F.lit(FEMTO).cast(big) + femto_sum).cast(big)
+    return F.concat(total.cast("string"), F.lit("e-15")).cast("double")
 
 
 def exact_sum(c: ColumnOrName) -> Column:
-    """Exact sum of a money-like double (at most 6 decimals: cents, tax and discount products).
+    """Exact sum of a money-like double, to 15 decimals (sums below 10^22; beyond, an error).
 
-    Whole units and millionths are summed as two 64-bit integers (fixed-width buffers, so the
-    aggregate stays a codegen hash aggregate with a map-side combine) and joined into one
+    Whole units, millionths and 1e-15ths are summed as 64-bit integers (fixed-width buffers, so
+    the aggregate stays a codegen hash aggregate with a map-side combine) and joined into one
     decimal per group.  The result does not depend on partitioning or task order, so a
     recomputed task gives the same bits."""
-    whole, micro = micro_parts(c)
-    return combine_micro(F.sum(whole), F.sum(micro))
+    return combine_micro(*[F.sum(p) for p in micro_parts(c)])
 
 
 def exact_avg(c: ColumnOrName) -> Column:
-    """Mean of a money-like double: exact sum over the non-null count."""
+    """Mean of a money-like double: exact sum over the count of present values (NaN is missing)."""
     x = _c(c)
-    n = F.count(x)
+    n = F.count(F.nanvl(x.cast("double"), F.lit(None).cast("double")))
     return F.when(n > 0, exact_sum(x) / n)
 
 
@@ -123,8 +136,9 @@ def format_currency(c: ColumnOrName) -> Column:
 
 
 def fixed(c: ColumnOrName, digits: int) -> Column:
-    """Number to text with ``digits`` decimals (half-up)."""
-    return F.format_string(f"%.{digits}f", _c(c))
+    """Number to text with ``digits`` decimals (half-up); a missing value stays missing."""
+    x = _c(c)
+    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")), F.format_string(f"%.{digits}f", x))
 
 
 def shorten(c: ColumnOrName, n: int = 18) -> Column:

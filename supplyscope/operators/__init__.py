@@ -8,8 +8,7 @@ from .metrics import (brand_summary, inventory_metrics, inventory_metrics_both,
                       invoice_metrics, monthly_trends,
                       purchase_metrics, sales_metrics, top_brands)
 from .sampling import sample_n, train_test_flag, train_test_split
-from .scorecard import (derived_kpis, exec_summary, lead_time_histogram, merged_metrics,
-                        score_components, tier_counts, vendor_summary, vendor_summary_from,
-                        vendor_tier, vpi_components, vpi_score)
+from .scorecard import (exec_summary, lead_time_histogram, merged_metrics, tier_counts,
+                        vendor_summary, vendor_summary_from, vendor_tier, vpi_components)
 
 __all__ = [n for n in dir() if not n.startswith("_")]

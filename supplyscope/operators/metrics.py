@@ -19,54 +19,56 @@ from ..functions import (combine_micro, days_between, exact_avg, exact_sum, micr
 LATE_AFTER_DAYS = 10
 
 
-def text_maxima(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """``max`` of string columns per ``key``, computed over distinct (key, values) first.
+def _money_partials(column: str, prefix: str) -> list:
+    """Mergeable sums of a money column and the count of its present values (``<prefix>n``)."""
+    parts = micro_parts(column)
+    return ([F.sum(p).alias(f"{prefix}{i}") for i, p in enumerate(parts)]
+            + [F.count(parts[0]).alias(f"{prefix}n")])
 
-    A string ``max`` has no fixed-width buffer, so Spark would aggregate it by sorting every
-    input row.  Reducing to distinct combinations is a hash aggregate with a map-side combine;
-    only those combinations reach the sort-based ``max``.  The count is referenced so the
-    optimizer keeps the distinct step (``max`` ignores duplicates and would let it drop it)."""
-    combos = df.groupBy(key, *cols).agg(F.count(F.lit(1)).alias("_n"))
-    return combos.groupBy(key).agg(*[F.max(F.when(F.col("_n") > 0, F.col(c))).alias(c)
-                                     for c in cols])
 
-
-def _attach(numeric: DataFrame, texts: DataFrame, key: str, order: list[str],
-            extra: dict | None = None) -> DataFrame:
-    """Join per-key text maxima onto per-key numbers (null key matches null key)."""
-    cols = {n: numeric[n] for n in numeric.columns}
-    cols.update({n: texts[n] for n in texts.columns if n != key})
-    cols.update(extra or {})
-    return (numeric.join(texts, numeric[key].eqNullSafe(texts[key]), "left")
-            .select(*[cols[n].alias(n) for n in order]))
+def _money_total(prefix: str):
+    """The sum of the partials of ``_money_partials``."""
+    return combine_micro(*[F.sum(f"{prefix}{i}") for i in range(3)])
 
 
 def purchase_metrics(purchases: DataFrame) -> DataFrame:
     """Purchasing and lead-time metrics per vendor (A1, A1a-c).
 
-    Only lines with both a PO date and a receipt date count (P1)."""
-    lt = days_between("PODate", "ReceivingDate")
-    lines = (purchases
-             .filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull())
-             .select("VendorNumber", "VendorName", "PONumber", "Quantity", "Dollars",
-                     "PurchasePrice", lt.cast("long").alias("_lt")))
-    numeric = (lines
+    Only lines with both a PO date and a receipt date count (P1).  One pass over the lines: a
+    hash aggregate with a map-side combine to (vendor, PO, name) partials, from which the numbers,
+    the distinct POs and the name maximum (which Spark can only aggregate by sorting) follow.  All
+    sums are of integers, so the standard deviation is exact up to its last division and root."""
+    lt = days_between("PODate", "ReceivingDate").cast("long")
+    partials = (purchases
+                .filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull())
+                .select("VendorNumber", "VendorName", "PONumber", "Quantity", "Dollars",
+                        "PurchasePrice", lt.alias("_lt"))
+                .groupBy("VendorNumber", "PONumber", "VendorName")
+                .agg(F.count(F.lit(1)).alias("_n"), F.sum("Quantity").alias("_q"),
+                     *_money_partials("Dollars", "_d"), *_money_partials("PurchasePrice", "_p"),
+                     F.sum("_lt").alias("_s"), F.sum(F.col("_lt") * F.col("_lt")).alias("_ss"),
+                     F.max("_lt").alias("_hi"), F.min("_lt").alias("_lo"),
+                     F.count_if(F.col("_lt") > LATE_AFTER_DAYS).alias("_late")))
+    n, s = F.sum("_n"), F.sum("_s")
+    big = "decimal(38,0)"
+    # (n Σx² - (Σx)²) / (n (n - 1)); the numerator is an exact integer.
+    spread = (n.cast(big) * F.sum("_ss") - s.cast(big) * s).cast("double")
+    return (partials
             .groupBy("VendorNumber")
-            .agg(F.count_distinct("PONumber").alias("TotalPOs"),
-                 F.count(F.lit(1)).alias("TotalPurchaseRecords"),
-                 F.sum("Quantity").cast("double").alias("TotalUnitsPurchased"),
-                 exact_sum("Dollars").alias("TotalSpendDollars"),
-                 exact_avg("PurchasePrice").alias("AvgPurchaseUnitPrice"),
-                 F.avg("_lt").alias("AvgLeadTimeDays"),
-                 F.max("_lt").alias("MaxLeadTimeDays"),
-                 F.min("_lt").alias("MinLeadTimeDays"),
-                 F.stddev_samp("_lt").alias("StdLeadTimeDays"),
-                 F.count_if(F.col("_lt") > LATE_AFTER_DAYS).alias("LateDeliveriesCount")))
-    rate = safe_ratio(numeric["LateDeliveriesCount"], numeric["TotalPurchaseRecords"], 100.0)
-    order = (["VendorNumber", "VendorName"]
-             + [c for c in numeric.columns if c != "VendorNumber"] + ["LateDeliveryRate"])
-    return _attach(numeric, text_maxima(lines, "VendorNumber", ["VendorName"]),
-                   "VendorNumber", order, {"LateDeliveryRate": rate})
+            .agg(F.max("VendorName").alias("VendorName"),
+                 F.count_distinct("PONumber").alias("TotalPOs"),
+                 n.alias("TotalPurchaseRecords"),
+                 F.sum("_q").cast("double").alias("TotalUnitsPurchased"),
+                 _money_total("_d").alias("TotalSpendDollars"),
+                 F.when(F.sum("_pn") > 0, _money_total("_p") / F.sum("_pn"))
+                 .alias("AvgPurchaseUnitPrice"),
+                 (s / n).alias("AvgLeadTimeDays"),
+                 F.max("_hi").alias("MaxLeadTimeDays"),
+                 F.min("_lo").alias("MinLeadTimeDays"),
+                 F.when(n > 1, F.sqrt(spread / (n * (n - 1.0)))).alias("StdLeadTimeDays"),
+                 F.sum("_late").alias("LateDeliveriesCount"))
+            .withColumn("LateDeliveryRate",
+                        safe_ratio("LateDeliveriesCount", "TotalPurchaseRecords", 100.0)))
 
 
 def invoice_metrics(vendor_invoice: DataFrame) -> DataFrame:
@@ -97,11 +99,11 @@ def inventory_metrics(inventory: DataFrame, purchase_prices: DataFrame,
     including the fan-out of a Brand listed several times, but both sides are first reduced
     to one row per Brand (resp. per Brand and vendor).  The join then never multiplies raw
     rows, and a Brand that holds many inventory rows (one per store) is not a hot key."""
-    whole, micro = micro_parts(F.col("onHand") * F.col("Price"))
+    parts = micro_parts(F.col("onHand") * F.col("Price"))
     inv = (inventory.filter(F.col("Brand").isNotNull())
            .groupBy("Brand")
-           .agg(F.sum("onHand").alias("_units"), F.sum(whole).alias("_whole"),
-                F.sum(micro).alias("_micro")))
+           .agg(F.sum("onHand").alias("_units"),
+                *[F.sum(p).alias(f"_v{i}") for i, p in enumerate(parts)]))
     links = (purchase_prices.filter(F.col("Brand").isNotNull())
              .groupBy("Brand", "VendorNumber")
              .agg(F.count(F.lit(1)).alias("_links")))
@@ -109,8 +111,8 @@ def inventory_metrics(inventory: DataFrame, purchase_prices: DataFrame,
     return (inv.join(links, "Brand", "inner")
             .groupBy("VendorNumber")
             .agg(F.sum(F.col("_units") * F.col("_links")).cast("double").alias(units),
-                 combine_micro(F.sum(F.col("_whole") * F.col("_links")),
-                               F.sum(F.col("_micro") * F.col("_links"))).alias(value)))
+                 combine_micro(*[F.sum(F.col(f"_v{i}") * F.col("_links")) for i in range(3)])
+                 .alias(value)))
 
 
 def inventory_metrics_both(begin_inventory: DataFrame, end_inventory: DataFrame,
@@ -121,10 +123,10 @@ def inventory_metrics_both(begin_inventory: DataFrame, end_inventory: DataFrame,
     per Brand together, so the price list is scanned, reduced and joined once.  A snapshot a
     Brand is absent from contributes missing (not zero) sums, as a missing join row would."""
     def side(df: DataFrame, tag: str) -> DataFrame:
-        whole, micro = micro_parts(F.col("onHand") * F.col("Price"))
-        cols = {f"_{t}{k}": F.lit(None).cast("long") for t in ("b", "e") for k in "uwm"}
-        cols.update({f"_{tag}u": F.col("onHand").cast("long"), f"_{tag}w": whole,
-                     f"_{tag}m": micro})
+        parts = micro_parts(F.col("onHand") * F.col("Price"))
+        cols = {f"_{t}{k}": F.lit(None).cast("long") for t in ("b", "e") for k in "u012"}
+        cols[f"_{tag}u"] = F.col("onHand").cast("long")
+        cols.update({f"_{tag}{i}": p for i, p in enumerate(parts)})
         return df.filter(F.col("Brand").isNotNull()).select("Brand", *[v.alias(k) for k, v in
                                                                         cols.items()])
     stacked = side(begin_inventory, "b").unionByName(side(end_inventory, "e"))
@@ -136,9 +138,9 @@ def inventory_metrics_both(begin_inventory: DataFrame, end_inventory: DataFrame,
     return (inv.join(links, "Brand", "inner")
             .groupBy("VendorNumber")
             .agg(per("_bu").cast("double").alias("BeginInventoryUnits"),
-                 combine_micro(per("_bw"), per("_bm")).alias("BeginInventoryValue"),
+                 combine_micro(*[per(f"_b{i}") for i in range(3)]).alias("BeginInventoryValue"),
                  per("_eu").cast("double").alias("EndInventoryUnits"),
-                 combine_micro(per("_ew"), per("_em")).alias("EndInventoryValue")))
+                 combine_micro(*[per(f"_e{i}") for i in range(3)]).alias("EndInventoryValue")))
 
 
 def monthly_trends(purchases: DataFrame, date_from: str | dt.date = "2024-01-01",
@@ -165,22 +167,19 @@ def brand_summary(purchases: DataFrame) -> DataFrame:
     Two aggregation levels, no join: first per (Brand, Description, VendorName) with
     mergeable numeric partials (hash aggregate, map-side combine), then per Brand, where the
     string maxima see one row per distinct combination instead of every line."""
-    dw, dm = micro_parts("Dollars")
-    pw, pm = micro_parts("PurchasePrice")
     combos = (purchases
               .groupBy("Brand", "Description", "VendorName")
               .agg(F.max("VendorNumber").alias("_vn"), F.sum("Quantity").alias("_q"),
-                   F.sum(dw).alias("_dw"), F.sum(dm).alias("_dm"), F.sum(pw).alias("_pw"),
-                   F.sum(pm).alias("_pm"), F.count("PurchasePrice").alias("_pc")))
-    n_prices = F.sum("_pc")
+                   *_money_partials("Dollars", "_d"), *_money_partials("PurchasePrice", "_p")))
+    n_prices = F.sum("_pn")
     return (combos
             .groupBy("Brand")
             .agg(F.max("Description").alias("Description"),
                  F.max("VendorName").alias("VendorName"),
                  F.max("_vn").alias("VendorNumber"),
                  F.sum("_q").cast("double").alias("TotalPurchasedUnits"),
-                 combine_micro(F.sum("_dw"), F.sum("_dm")).alias("TotalSpendDollars"),
-                 F.when(n_prices > 0, combine_micro(F.sum("_pw"), F.sum("_pm")) / n_prices)
+                 _money_total("_d").alias("TotalSpendDollars"),
+                 F.when(n_prices > 0, _money_total("_p") / n_prices)
                   .alias("AvgPurchasePrice")))
 
 

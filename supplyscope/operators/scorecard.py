@@ -63,12 +63,6 @@ SUMMARY_COLUMNS = [
 ]
 
 
-def _left_merge(left: DataFrame, right: DataFrame, key: str = "VendorNumber") -> DataFrame:
-    """pandas-style left merge on ``key``: a missing key matches a missing key (null-safe)."""
-    r = right.withColumnRenamed(key, "_rk")
-    return left.join(r, left[key].eqNullSafe(r["_rk"]), "left").drop("_rk")
-
-
 def kpi_columns(c: dict) -> dict:
     """Profit, margin, freight ratio, inventory value, turnover and days of inventory (K2-K7)
     as Column expressions over the merged metric columns ``c``."""
@@ -105,19 +99,6 @@ def vpi_column(comp: dict) -> Column:
                   + comp["FreightScore"] * w3 + comp["VolumeScore"] * w4)
 
 
-def _named(df: DataFrame) -> dict:
-    return {n: F.col(n) for n in df.columns}
-
-
-def score_components(df: DataFrame) -> DataFrame:
-    """Add the four component scores to a frame holding the merged metrics and KPIs."""
-    return df.withColumns(component_columns(_named(df)))
-
-
-def vpi_score(df: DataFrame) -> Column:
-    return vpi_column(_named(df))
-
-
 def vendor_tier(score: Column | str) -> Column:
     """Tier label from the rounded score; a missing score falls through to the lowest tier."""
     s = F.col(score) if isinstance(score, str) else score
@@ -128,11 +109,6 @@ def vendor_tier(score: Column | str) -> Column:
     return expr.otherwise(LOWEST_TIER)
 
 
-def derived_kpis(df: DataFrame) -> DataFrame:
-    """Add K2-K7 to a frame holding the merged metrics."""
-    return df.withColumns(kpi_columns(_named(df)))
-
-
 def merged_metrics(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataFrame,
                    begin_inventory: DataFrame, end_inventory: DataFrame,
                    purchase_prices: DataFrame) -> tuple[DataFrame, dict]:
@@ -202,7 +178,8 @@ def exec_summary(vs: DataFrame) -> DataFrame:
         "total_freight": "TotalFreightDollars",
     }
     aggs = [F.count(F.lit(1)).alias("total_vendors")]
-    aggs += [exact_sum(c).alias(k) for k, c in sums.items()]
+    # An empty scorecard sums to 0; one whose values are all missing does too, as in pandas.
+    aggs += [F.coalesce(exact_sum(c), F.lit(0.0)).alias(k) for k, c in sums.items()]
     aggs.append(F.avg("AvgLeadTimeDays").alias("avg_lead_time_days"))
     aggs += [F.count_if(F.col("VendorTier") == t).alias(f"_t{i}")
              for i, t in enumerate(TIER_LABELS)]

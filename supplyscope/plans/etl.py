@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import (brand_summary, exec_summary, monthly_trends, top_brands, vendor_summary)
-from ..session import materialize
 from ..sources import read_table, write_json, write_summary, write_tables
 
 
@@ -24,10 +23,12 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     """Build and store ``vendor_summary``, ``monthly_trends``, ``top_brands`` and the
     executive summary under ``out_dir``; returns the stored tables re-read (S4-S7).
 
-    ``materialize_purchases=False`` when ``sources["purchases"]`` is already a stored table
-    (``fixture_etl_sources``)."""
-    purchases = (materialize(sources["purchases"], "purchases", spark)
-                 if materialize_purchases else sources["purchases"])
+    The purchases input is stored under ``out_dir`` as well, replacing the last run's copy, unless
+    ``materialize_purchases=False`` says that it is a stored columnar table already."""
+    purchases = sources["purchases"]
+    if materialize_purchases:
+        write_tables({"purchases": purchases}, out_dir)
+        purchases = read_table(spark, out_dir, "purchases")
     vs = vendor_summary(purchases, sources["vendor_invoice"], sources["sales"],
                         sources["begin_inventory"], sources["end_inventory"],
                         sources["purchase_prices"])
@@ -71,10 +72,14 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--to", dest="date_to", default="2024-12-31")
     ap.add_argument("--top-k", type=int, default=100)
     ap.add_argument("--json", dest="json_dir", default=None, help="also write JSON record files")
+    ap.add_argument("--shuffle-partitions", type=int, default=None,
+                    help="shuffle width before adaptive merging: input bytes / 256 MB")
     a = ap.parse_args(argv)
-    spark = build_session()
+    spark = build_session(shuffle_partitions=a.shuffle_partitions)
+    # A columnar input is scanned where it is; a row format is copied once.
     stored = run_etl(spark, load_sources(spark, a.inputs, a.format), a.out, a.date_from,
-                     a.date_to, a.top_k, a.json_dir)
+                     a.date_to, a.top_k, a.json_dir,
+                     materialize_purchases=a.format not in ("parquet", "orc"))
     s = stored["exec_summary"].first()
     print(f"vendors={s.total_vendors} spend={s.total_spend:.2f} sales={s.total_sales:.2f} "
           f"avg_lead_time={s.avg_lead_time_days:.1f}")

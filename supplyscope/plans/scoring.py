@@ -2,7 +2,8 @@
 
 The original scored one order per request; here a whole table of proposed orders is scored
 in one job.  The vendor history lookup is a left join of the orders with the per-vendor
-scorecard columns (one row per vendor; AQE broadcasts it when its measured size allows).
+scorecard columns, which are stored first: the planner knows the stored table's size and broadcasts
+it under the threshold, so that the orders are not shuffled; beyond it the join is sort-merge.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import round1
-from .training import predict
+from .training import predict, vendor_history
 
 # Fixed values that must equal the original job ------------------------------------------
 ORDER_DEFAULTS = {"vendor_number": 12546, "store": 1, "classification": 1, "quantity": 100.0,
@@ -36,7 +38,13 @@ RISK_CLASSES = (
 
 
 def with_order_defaults(orders: DataFrame) -> DataFrame:
-    """Fill missing inputs; dollars defaults to quantity × purchase price."""
+    """Fill missing inputs, absent columns among them; dollars defaults to quantity × price."""
+    orders = orders.withColumns({f.name: F.lit(None).cast(f.dataType)
+                                 for f in schemas.ORDERS_TO_SCORE.fields
+                                 if f.name not in orders.columns})
+    nan = {f.name: F.nanvl(f.name, F.lit(None).cast("double")) for f in orders.schema.fields
+           if f.dataType.typeName() == "double"}
+    orders = orders.withColumns(nan)
     filled = orders.withColumns({k: F.coalesce(F.col(k), F.lit(v)).cast(
         "double" if isinstance(v, float) else orders.schema[k].dataType)
         for k, v in ORDER_DEFAULTS.items()})
@@ -46,8 +54,7 @@ def with_order_defaults(orders: DataFrame) -> DataFrame:
 
 def with_vendor_history(orders: DataFrame, vs: DataFrame) -> DataFrame:
     """Vendor lead time, late rate and score; an unknown vendor gets the defaults."""
-    hist = vs.select(F.col("VendorNumber").alias("_vn"), "AvgLeadTimeDays", "LateDeliveryRate",
-                     "VPIScore")
+    hist = vendor_history(vs)
     j = orders.join(hist, orders["vendor_number"] == hist["_vn"], "left").drop("_vn")
     return j.withColumns({k: F.coalesce(F.col(k).cast("double"), F.lit(v))
                           for k, v in HISTORY_DEFAULTS.items()})
@@ -77,6 +84,11 @@ def _finish(df: DataFrame, days: F.Column, prob: F.Column) -> DataFrame:
     }).drop("_prob")
 
 
+def from_predictions(df: DataFrame, days, probability) -> DataFrame:
+    """Scored orders from predicted days and the probability (0 to 1) of a delay."""
+    return _finish(df, F.greatest(F.lit(MIN_PREDICTED_DAYS), round1(days)), probability * 100.0)
+
+
 def _as_features(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "VendorNumber": F.col("vendor_number"), "Store": F.col("store"),
@@ -95,11 +107,12 @@ def score_orders(orders: DataFrame, vs: DataFrame, models: dict | None = None,
     """Score every order (G7).  With ``models`` the two pipelines predict (G7a); without, the
     rule of thumb applies (G7b).  ``keep`` lists input columns to carry through (e.g. keys)."""
     base = with_vendor_history(with_order_defaults(orders), vs)
-    if models:
+    if models is not None:
+        absent = {"reg", "cls"} - set(models)
+        if absent:
+            raise ValueError(f"models lack {', '.join(sorted(absent))}; pass None for the rule of thumb")
         scored = predict(models, _as_features(base))
-        days = F.greatest(F.lit(MIN_PREDICTED_DAYS), round1(F.col("pred_days")))
-        prob = vector_to_array(F.col("prob_delay"))[1] * 100.0
-        out = _finish(scored, days, prob)
+        out = from_predictions(scored, F.col("pred_days"), vector_to_array(F.col("prob_delay"))[1])
     else:
         days = round1(F.col("AvgLeadTimeDays") + F.col("quantity") * RULE_DAYS_PER_UNIT)
         base = base.withColumn("_days", days)
@@ -116,9 +129,8 @@ def main(argv: list[str] | None = None) -> None:
     take the defaults) with the saved models, or with the rule of thumb without ``--models``."""
     import argparse
 
-    from .. import schemas
     from ..session import build_session
-    from ..sources import read_table
+    from ..sources import read_orders, read_table
     from .training import load_models
 
     ap = argparse.ArgumentParser(prog="python -m supplyscope.plans.scoring")
@@ -127,14 +139,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("out")
     ap.add_argument("--models", default=None)
     ap.add_argument("--format", default="csv")
+    ap.add_argument("--shuffle-partitions", type=int, default=None)
     a = ap.parse_args(argv)
-    spark = build_session()
-    reader = spark.read.format(a.format)
-    if a.format == "csv":
-        reader = reader.schema(schemas.ORDERS_TO_SCORE).option("header", True)
-    orders = reader.load(a.orders)
+    spark = build_session(shuffle_partitions=a.shuffle_partitions)
+    orders = read_orders(spark, a.orders, a.format)
     vs = read_table(spark, a.results, "vendor_summary")
     models = load_models(spark, a.models)[0] if a.models else None
+    print(f"scored by {'the saved models' if models else 'the rule of thumb'}")
     score_orders(orders, vs, models).write.mode("overwrite").parquet(a.out)
 
 

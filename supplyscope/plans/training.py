@@ -12,7 +12,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor
 
 from ..functions import days_between, month_of, weekday0
 from ..operators.sampling import sample_n, train_test_split
+from ..session import materialize
 
 # Fixed values that must equal the original job ------------------------------------------
 FEATURES = ["VendorNumber", "Store", "Classification", "Quantity", "PurchasePrice", "Dollars",
@@ -49,25 +49,35 @@ def default_keys(df: DataFrame) -> list[str]:
                                                          if k in df.columns]
 
 
-def training_features(purchases: DataFrame, vs: DataFrame, n: int = SAMPLE_SIZE,
+def vendor_history(vs: DataFrame) -> DataFrame:
+    """The scorecard columns that are looked up per vendor (key ``_vn``), stored.
+
+    The planner knows a stored table's size and broadcasts it under the threshold, so the lines or
+    orders that look it up are not shuffled on the vendor; the scorecard is computed once."""
+    return materialize(vs.select(F.col("VendorNumber").alias("_vn"), "AvgLeadTimeDays",
+                                 "LateDeliveryRate", "VPIScore"), "vendor-history")
+
+
+def training_features(purchases: DataFrame, vs: DataFrame, n: int | None = SAMPLE_SIZE,
                       sample_keys: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Sampled purchase lines with calendar parts, actual lead time, the vendor's history and
     the delay label (G1-G3, P1, P4, P5, J7, G3a).
 
     The sample is drawn before the line filters, as in the original, so fewer than ``n`` rows
-    remain.  Vendor history covers all lines (test lines included), as in the original."""
+    remain; ``n=None`` takes all lines.  Vendor history covers all lines (test lines included), as
+    in the original.  Only the columns that training uses are drawn and stored."""
     keys = sample_keys or default_keys(purchases)
-    s = sample_n(purchases, n, keys, seed)
     carried = list(dict.fromkeys(keys + ["VendorNumber", "Store", "Classification", "Quantity",
                                          "PurchasePrice", "Dollars"]))
+    drawn = purchases.select(*dict.fromkeys(carried + ["PODate", "ReceivingDate"]))
+    s = drawn if n is None else sample_n(drawn, n, keys, seed)
     lines = (s.filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull()
                       & (F.col("Quantity") > 0) & (F.col("Dollars") > 0))
              .select(*[c for c in carried if c not in ("PODate", "ReceivingDate")],
                      month_of("PODate").cast("long").alias("POMonth"),
                      weekday0("PODate").cast("long").alias("PODayOfWeek"),
                      days_between("PODate", "ReceivingDate").cast("long").alias(LABEL_DAYS)))
-    hist = vs.select(F.col("VendorNumber").alias("_vn"), "AvgLeadTimeDays", "LateDeliveryRate",
-                     "VPIScore")
+    hist = vendor_history(vs)
     lo, hi = LEAD_TIME_RANGE
     return (lines.join(hist, lines["VendorNumber"].eqNullSafe(hist["_vn"]), "left").drop("_vn")
             .fillna(TRAINING_FILLS)
@@ -115,24 +125,24 @@ def predict(models: dict, df: DataFrame) -> DataFrame:
     return out.drop(*[f"_f_{c}" for c in FEATURES])
 
 
+def metrics_of(scored: DataFrame) -> DataFrame:
+    """One-row metrics of rows that carry labels and predictions, in one aggregate.
+
+    R², MAE and RMSE of ``pred_days`` and the accuracy of ``pred_delay``; without rows they are
+    missing, and R² is 0 where the label does not vary."""
+    y, p = F.col(LABEL_DAYS).cast("double"), F.col("pred_days").cast("double")
+    a = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(y - p)).alias("mae"),
+                   F.avg((y - p) * (y - p)).alias("mse"), F.var_pop(y).alias("var"),
+                   F.avg((F.col(LABEL_DELAY).cast("double") == F.col("pred_delay")).cast("double"))
+                   .alias("accuracy"))
+    return a.select(F.when(F.col("var") > 0, 1 - F.col("mse") / F.col("var"))
+                    .when(F.col("n") > 0, 0.0).alias("r2"),
+                    "mae", F.sqrt("mse").alias("rmse"), "accuracy", F.col("n").alias("test_rows"))
+
+
 def evaluate(models: dict, test: DataFrame) -> DataFrame:
     """One-row metrics: R², MAE, RMSE of the lead time and accuracy of the delay flag."""
-    spark = test.sparkSession
-    scored = predict(models, test).cache()
-    reg = RegressionEvaluator(labelCol=LABEL_DAYS, predictionCol="pred_days")
-    acc = MulticlassClassificationEvaluator(labelCol=LABEL_DELAY, predictionCol="pred_delay",
-                                            metricName="accuracy")
-    labelled = scored.withColumn(LABEL_DAYS, F.col(LABEL_DAYS).cast("double")) \
-                     .withColumn(LABEL_DELAY, F.col(LABEL_DELAY).cast("double"))
-    row = {
-        "r2": reg.evaluate(labelled, {reg.metricName: "r2"}),
-        "mae": reg.evaluate(labelled, {reg.metricName: "mae"}),
-        "rmse": reg.evaluate(labelled, {reg.metricName: "rmse"}),
-        "accuracy": acc.evaluate(labelled),
-        "test_rows": scored.count(),
-    }
-    scored.unpersist()
-    return spark.createDataFrame([row])
+    return metrics_of(predict(models, test))
 
 
 ROWS_PER_TRAINING_PARTITION = 50_000
@@ -158,17 +168,23 @@ def fit_both(train: DataFrame, max_iter: int = BOOST_ROUNDS) -> dict:
         packed.unpersist()
 
 
-def train_models(purchases: DataFrame, vs: DataFrame, n: int = SAMPLE_SIZE,
+def train_models(purchases: DataFrame, vs: DataFrame, n: int | None = SAMPLE_SIZE,
                  max_iter: int = BOOST_ROUNDS, split_seed: int = 7,
-                 sample_keys: list[str] | None = None) -> tuple[dict, DataFrame]:
-    """Training set → 80/20 split → both models → metrics on the test share."""
+                 sample_keys: list[str] | None = None, test_all: bool = False
+                 ) -> tuple[dict, DataFrame]:
+    """Training set → 80/20 split → both models → metrics on the test share.
+
+    ``n`` bounds the lines that the models are fitted on.  By default the test share is that of the
+    same lines, as in the original; ``test_all`` evaluates the test share of all lines instead (the
+    split is by line keys, so none of them was fitted on)."""
     keys = sample_keys or default_keys(purchases)
     feats = training_features(purchases, vs, n, keys)
-    keys = [k for k in keys if k in feats.columns]
-    train, test = train_test_split(feats, keys, split_seed)
+    split_keys = [k for k in keys if k in feats.columns]
+    train, test = train_test_split(feats, split_keys, split_seed)
+    if test_all and n is not None:
+        _, test = train_test_split(training_features(purchases, vs, None, keys), split_keys, split_seed)
     models = fit_both(train, max_iter)
-    metrics = evaluate(models, test)
-    return models, metrics
+    return models, evaluate(models, test)
 
 
 def save_models(models: dict, metrics: DataFrame | None, path: str) -> str:
@@ -181,18 +197,20 @@ def save_models(models: dict, metrics: DataFrame | None, path: str) -> str:
 
 
 def load_models(spark: SparkSession, path: str) -> tuple[dict, DataFrame | None]:
-    """Load what ``save_models`` wrote; a missing model or metrics table is left out."""
+    """Load both pipelines that ``save_models`` wrote, and the metrics row if it was saved.
+
+    A pipeline that is absent or unreadable raises, with its path in the message."""
     models = {}
     for k in ("reg", "cls"):
+        where = os.path.join(path, k)
         try:
-            models[k] = PipelineModel.load(os.path.join(path, k))
-        except Exception:  # noqa: BLE001 - absent artifact
-            pass
-    try:
-        metrics = spark.read.parquet(os.path.join(path, "metrics"))
-    except Exception:  # noqa: BLE001 - absent metrics table
-        metrics = None
-    return models, metrics
+            models[k] = PipelineModel.load(where)
+        except Exception as e:
+            raise FileNotFoundError(f"no saved model can be read at {where}") from e
+    where = os.path.join(path, "metrics")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(where)
+    saved = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return models, spark.read.parquet(where) if saved else None
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -203,7 +221,7 @@ def main(argv: list[str] | None = None) -> None:
     import argparse
 
     from ..session import build_session
-    from ..sources import load_sources, read_table
+    from ..sources import read_table, read_training_purchases
 
     ap = argparse.ArgumentParser(prog="python -m supplyscope.plans.training")
     ap.add_argument("inputs")
@@ -211,13 +229,15 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("models")
     ap.add_argument("--format", default="csv")
     ap.add_argument("--rounds", type=int, default=BOOST_ROUNDS)
-    ap.add_argument("--sample", type=int, default=SAMPLE_SIZE)
+    ap.add_argument("--sample", type=int, default=SAMPLE_SIZE, help="lines to draw; 0 for all")
+    ap.add_argument("--test-all", action="store_true", help="evaluate all held-out lines")
+    ap.add_argument("--shuffle-partitions", type=int, default=None)
     a = ap.parse_args(argv)
-    spark = build_session()
-    purchases = load_sources(spark, a.inputs, a.format, register_views=False)["purchases"]
+    spark = build_session(shuffle_partitions=a.shuffle_partitions)
+    purchases = read_training_purchases(spark, a.inputs, a.format)
     vs = read_table(spark, a.results, "vendor_summary",
                     ["VendorNumber", "AvgLeadTimeDays", "LateDeliveryRate", "VPIScore"])
-    models, metrics = train_models(purchases, vs, a.sample, a.rounds)
+    models, metrics = train_models(purchases, vs, a.sample or None, a.rounds, test_all=a.test_all)
     save_models(models, metrics, a.models)
     m = metrics.first()
     print(f"r2={m.r2:.4f} mae={m.mae:.2f} rmse={m.rmse:.2f} accuracy={m.accuracy:.4f}")

@@ -55,6 +55,18 @@ ORDERS_TO_SCORE = T.StructType([
     T.StructField("po_day_of_week", T.IntegerType()),
 ])
 
+EXEC_SUMMARY = T.StructType([
+    T.StructField("total_vendors", T.LongType()),
+    T.StructField("total_spend", T.DoubleType()),
+    T.StructField("total_sales", T.DoubleType()),
+    T.StructField("gross_profit", T.DoubleType()),
+    T.StructField("overall_margin_pct", T.DoubleType()),
+    T.StructField("avg_lead_time_days", T.DoubleType()),
+    T.StructField("total_freight", T.DoubleType()),
+    T.StructField("overall_freight_ratio", T.DoubleType()),
+    T.StructField("tier_counts", T.MapType(T.StringType(), T.LongType())),
+])
+
 SOURCES = {
     "purchases": PURCHASES,
     "vendor_invoice": VENDOR_INVOICE,

@@ -22,9 +22,10 @@ CLUSTER_DEFAULTS = {
     # anything larger stays a sort-merge join.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.files.maxPartitionBytes": "256MB",
-    # Shuffle width: start wide enough for the largest shuffle (the purchases join is about
-    # the size of the pruned fact columns; at ~30 TB that is ~120k partitions of 256 MB) and let
-    # AQE coalesce the small per-vendor and per-month shuffles down to the advisory size.
+    # Shuffle width: adaptive execution merges partitions down to the advisory size but never
+    # splits those of an aggregate, so start wide; a job that shuffles more than a TB passes its
+    # own width (input bytes / 256 MB), as the command-line jobs' --shuffle-partitions does.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4096",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
     "spark.sql.session.timeZone": "UTC",
 }
@@ -41,6 +42,7 @@ def build_session(master: str | None = None, app_name: str = "supplyscope",
     conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -50,11 +52,6 @@ def build_session(master: str | None = None, app_name: str = "supplyscope",
     return spark
 
 
-def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 << 20) -> int:
-    """Initial shuffle width for a shuffle of about ``shuffle_bytes`` (AQE coalesces it)."""
-    return max(1, -(-shuffle_bytes // target_bytes))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; invent one only for a local master."""
     sc = spark.sparkContext
@@ -70,6 +67,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -77,7 +79,6 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) ->
     above) and lets several later jobs share one scan.
     """
     spark = spark or df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

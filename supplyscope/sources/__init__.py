@@ -1,8 +1,9 @@
 """Sources (CSV inputs, stand-in views on the driver tables, stored results) and sinks."""
 
 from .readers import (driver_tables, fixture_etl_sources, fixture_views, load_sources,
-                      read_summary, read_table, read_training_purchases)
+                      read_csv_by_name, read_orders, read_summary, read_table,
+                      read_training_purchases)
 from .sinks import write_json, write_summary, write_tables
 
 __all__ = ["driver_tables", "fixture_etl_sources", "fixture_views", "load_sources", "read_summary", "read_table",
-           "read_training_purchases", "write_json", "write_summary", "write_tables"]
+           "read_csv_by_name", "read_orders", "read_training_purchases", "write_json", "write_summary", "write_tables"]

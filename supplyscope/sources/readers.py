@@ -30,21 +30,52 @@ DRIVER_SCHEMAS = {
 DRIVER_TABLES = tuple(DRIVER_SCHEMAS)
 
 
+def _conform(df: DataFrame, schema: T.StructType, what: str, optional: bool = False) -> DataFrame:
+    """The schema's columns of ``df`` by name, cast to its types; NaN becomes missing.
+
+    Other columns are ignored.  An absent column raises, or with ``optional`` is missing in every
+    row.  A text that isn't a value of its type fails the query (ANSI cast); empty text is missing."""
+    absent = [f.name for f in schema.fields if f.name not in df.columns]
+    if absent and not optional:
+        raise ValueError(f"{what} has no column {', '.join(absent)}")
+    out = []
+    for f in schema.fields:
+        c = F.lit(None) if f.name in absent else F.col(f"`{f.name}`")
+        if f.name not in absent and isinstance(df.schema[f.name].dataType, T.StringType) \
+                and not isinstance(f.dataType, T.StringType):
+            text = F.trim(c)
+            c = F.when(text != "", text)
+            if isinstance(f.dataType, T.IntegralType):
+                # Whole numbers may be written as 12.0, as a float column would be.
+                c = F.regexp_replace(c, r"\.0*$", "")
+        c = c.cast(f.dataType)
+        if isinstance(f.dataType, T.DoubleType):
+            c = F.nanvl(c, F.lit(None).cast("double"))
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType,
+                     optional: bool = False) -> DataFrame:
+    """A CSV file with a header, its columns found by name.
+
+    All columns are read as text (no inference pass; only the used ones are parsed) and cast.  Files of
+    one folder that order their columns differently are not one table for Spark; read them one by one."""
+    return _conform(spark.read.option("header", True).option("mode", "FAILFAST").csv(path),
+                    schema, path, optional)
+
+
 def load_sources(spark: SparkSession, path: str, fmt: str = "csv",
                  register_views: bool = True) -> dict[str, DataFrame]:
-    """Read the six inputs ``<path>/<name>.<fmt>`` with explicit schemas.
+    """Read the six inputs ``<path>/<name>.<fmt>``, columns by name, with fixed types.
 
     CSV files carry a header row; dates are ``yyyy-MM-dd``.  Each input is also registered as a
     temporary view of the same name so SQL users can query it."""
     out = {}
     for name, schema in schemas.SOURCES.items():
         p = os.path.join(path, f"{name}.{fmt}")
-        if fmt == "csv":
-            df = (spark.read.schema(schema).option("header", True)
-                  .option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST").csv(p))
-        else:
-            df = spark.read.format(fmt).load(p).select(*[F.col(f.name).cast(f.dataType)
-                                                         for f in schema.fields])
+        df = (read_csv_by_name(spark, p, schema) if fmt == "csv"
+              else _conform(spark.read.format(fmt).load(p), schema, p))
         if register_views:
             df.createOrReplaceTempView(name)
         out[name] = df
@@ -55,7 +86,17 @@ def read_training_purchases(spark: SparkSession, path: str, fmt: str = "csv") ->
     """Direct scan of the purchases file for training, projected to what training reads."""
     cols = ["VendorNumber", "Store", "Classification", "Quantity", "PurchasePrice", "Dollars",
             "PODate", "ReceivingDate", "PONumber", "Brand"]
-    return load_sources(spark, path, fmt, register_views=False)["purchases"].select(*cols)
+    p = os.path.join(path, f"purchases.{fmt}")
+    df = (read_csv_by_name(spark, p, schemas.PURCHASES) if fmt == "csv"
+          else _conform(spark.read.format(fmt).load(p), schemas.PURCHASES, p))
+    return df.select(*cols)
+
+
+def read_orders(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Orders to score; columns that the file lacks are missing in every row (defaults apply)."""
+    if fmt == "csv":
+        return read_csv_by_name(spark, path, schemas.ORDERS_TO_SCORE, optional=True)
+    return _conform(spark.read.format(fmt).load(path), schemas.ORDERS_TO_SCORE, path, optional=True)
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -209,4 +250,4 @@ def read_table(spark: SparkSession, path: str, name: str, columns: list[str] | N
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Re-read the stored executive summary."""
-    return spark.read.json(os.path.join(path, "exec_summary"))
+    return spark.read.schema(schemas.EXEC_SUMMARY).json(os.path.join(path, "exec_summary"))
