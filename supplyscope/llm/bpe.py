@@ -352,7 +352,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, text: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(at), values)],
                                              names=[*others, ids])
 
-    thin = df.select(F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
+    # Plain names on the way in: mapInArrow takes dots in names for fields.
+    thin = df.select(F.col(f"`{text}`").cast("string").alias("text"),
+                     *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     from pyspark.sql.types import ArrayType, IntegerType, StructType
     schema = StructType([*(df.schema[c] for c in others)]).add(ids, ArrayType(IntegerType()))
     return thin.mapInArrow(one, schema)
