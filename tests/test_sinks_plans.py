@@ -66,7 +66,7 @@ def test_models_train_save_load_and_score(spark, tmpdir_path):  # G5-G7, S10
     models, metrics = train_models(views["purchases"], vs, n=100_000, max_iter=5)
     m = metrics.first()
     assert 0.0 < m.r2 <= 1.0 and m.mae >= 0 and m.rmse >= m.mae * 0.99
-    assert 0.5 < m.accuracy <= 1.0 and m.test_rows > 0
+    assert 0.5 < m.accuracy <= 1.0 and m.test_rows > 0  # test_exactness holds it against the majority
     save_models(models, metrics, tmpdir_path)
     loaded, lm = load_models(spark, tmpdir_path)
     assert lm.first().r2 == m.r2
