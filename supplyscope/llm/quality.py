@@ -49,7 +49,7 @@ SHRINK = 1e-4
 #: Documents with at least this probability of the best grade are selected.
 THRESHOLD = 0.5
 
-_CLASS = np.zeros(256, np.int64)  # 0 other, 1 capital, 2 sign, 3 digit, 4 bar
+_CLASS = np.zeros(256, np.uint8)  # 0 other, 1 capital, 2 sign, 3 digit, 4 bar
 _CLASS[65:91] = 1
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), 123, 125, 126]] = 2
 _CLASS[48:58] = 3
@@ -91,8 +91,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         keys = np.unique((row << BITS) | index)
         size = np.maximum(np.diff(at), 1)
         count = np.bincount(row, minlength=rows)
-        of = np.cumsum(np.stack([np.concatenate([[0], (_CLASS[raw] == c)]) for c in (1, 2, 3, 4)], axis=1), axis=0)
-        shares = (of[at[1:]] - of[at[:-1]]) / size[:, None]
+        kinds = _CLASS[raw]
+        shares = np.empty((rows, 4))
+        for c in range(4):
+            before = np.concatenate([np.zeros(1, np.int32), np.cumsum(kinds == c + 1, dtype=np.int32)])
+            shares[:, c] = (before[at[1:]] - before[at[:-1]]) / size
         distinct = np.bincount(keys >> BITS, minlength=rows)
         repeated = 1 - distinct / np.maximum(count, 1)
         length = np.minimum(count / size, 1)
@@ -200,12 +203,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", grade: str = "expec
     """All columns, the expected grade and the probability of the best grade."""
     T.ship(docs.sparkSession)
 
-    @F.pandas_udf("struct<grade:double,tail:double>")
-    def one(texts):
-        import pandas as pd
-        data, offsets = T.utf8(pa.array(texts, pa.large_string()))
-        p = probabilities(model, data, offsets)
-        return pd.DataFrame({"grade": p.sum(axis=1), "tail": p[:, -1]})
+    def one(texts: pa.Array) -> pa.Array:
+        p = probabilities(model, *T.utf8(texts))
+        return pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, -1])], names=["grade", "tail"])
+
+    # Or a filter on the result would be pushed below, and each text scored twice.
+    one = F.arrow_udf(one, "struct<grade:double,tail:double>").asNondeterministic()
 
     both = "_" * max(map(len, docs.columns)) + "_scored"  # a name that no column has
     scored = docs.withColumn(both, one(F.col(text).cast("string")))
