@@ -264,14 +264,14 @@ class Chunks(dict):
     entries come back when asked for again, so frequent chunks stay.
     """
 
-    def __init__(self, encode):
-        self.encode, self.older = encode, {}
+    def __init__(self, encode, most: int = KEPT_CHUNKS):
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
             found = self.encode(chunk)
-        if len(self) >= KEPT_CHUNKS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[chunk] = found

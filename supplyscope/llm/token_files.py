@@ -45,6 +45,8 @@ LAYOUT = [(1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
           (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNTS = np.array([n for n, _ in LAYOUT], np.int64)
 SECTION = 16_384
+#: Matches of the tokenizer's split whose ids a worker keeps, besides those of chunks.
+KEPT_MATCHES = 100_000
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 262_144
 
@@ -174,7 +176,7 @@ class TextTokenizer:
             rest = [b for b in range(256) if b not in set(own)]
             self.letters = {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
             self.chunks = Chunks(self._chunk)
-            self.matches = Chunks(self._match)
+            self.matches = Chunks(self._match, KEPT_MATCHES)
 
     @staticmethod
     def _split_pattern(content: str) -> str | None:
