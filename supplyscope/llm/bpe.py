@@ -39,11 +39,11 @@ from supplyscope.llm import textops as T
 #: The default split, a fixed value of the public vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Chunks whose ids a worker keeps; the cache is emptied when full.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 220_000
 #: Prefixes of matches whose last tokens a worker keeps (only of matches up to LONG_WORD bytes).
-KEPT_PREFIXES = 800_000
+KEPT_PREFIXES = 500_000
 LONG_WORD = 64
-KEPT_SEAMS = 500_000
+KEPT_SEAMS = 250_000
 _NEVER = 1 << 62
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _UNMADE, _BYTE = (-2, -2), (-1, -1)
@@ -317,15 +317,10 @@ class TextEncoder:
         return self.vocabulary.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-_encoders: dict[tuple[bytes, str], TextEncoder] = {}
-
-
 def encoder(content: bytes, pattern: str = PATTERN) -> TextEncoder:
     """The encoder of a rank file's content; a worker keeps one for its later tasks."""
-    key = (hashlib.sha256(content).digest(), pattern)
-    if key not in _encoders:
-        _encoders[key] = TextEncoder(Vocabulary.parse(content), pattern)
-    return _encoders[key]
+    key = ("bpe", hashlib.sha256(content).digest(), pattern)
+    return T.kept(key, lambda: TextEncoder(Vocabulary.parse(content), pattern))
 
 
 def _content(df: DataFrame, vocabulary: str) -> bytes:

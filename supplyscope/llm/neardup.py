@@ -110,6 +110,7 @@ def sketch(docs: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
     T.ship(docs.sparkSession)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for batch in batches:
             data, offsets = T.utf8(batch.column(0))
             sizes, nodes, mins = [], [], []

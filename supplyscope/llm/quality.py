@@ -180,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for batch in batches:
             data, offsets = T.utf8(batch.column(2))
             found = []
@@ -204,6 +205,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", grade: str = "expec
     T.ship(docs.sparkSession)
 
     def one(texts: pa.Array) -> pa.Array:
+        T.forget()
         p = probabilities(model, *T.utf8(texts))
         return pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, -1])], names=["grade", "tail"])
 

@@ -165,10 +165,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
 
 
 _shipped: set[str] = set()
+_BATCH_BYTES, _DEFAULT_BATCH_BYTES = "16m", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, through Spark's own file distribution, once a session."""
+    """Give the Python workers this package, through Spark's own file distribution, once a session.
+
+    Arrow batches are held to 16 MB, unless the session names another size than Spark's default:
+    some texts and blocks are large, and both sides hold a batch or two."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, _DEFAULT_BATCH_BYTES) == _DEFAULT_BATCH_BYTES:
+        spark.conf.set(limit, _BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -184,6 +191,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_slot: list = []
+
+
+def kept(key, make):
+    """A large object with caches that a Python worker keeps for its later tasks.
+
+    There is one place for it: another key's object takes it, and ``forget`` empties it, so that a
+    worker doesn't carry one operator's caches through the next one's tasks."""
+    if not _slot or _slot[0] != key:
+        _slot[:] = [key, make()]
+    return _slot[1]
+
+
+def forget() -> None:
+    _slot.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width, for operators that deal rows to numbered partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

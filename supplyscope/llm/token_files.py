@@ -45,7 +45,8 @@ LAYOUT = [(1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
           (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNTS = np.array([n for n, _ in LAYOUT], np.int64)
 SECTION = 16_384
-#: Matches of the tokenizer's split whose ids a worker keeps, besides those of chunks.
+#: Chunks, and matches of the tokenizer's split, whose ids a worker keeps.
+KEPT_CHUNKS = 300_000
 KEPT_MATCHES = 100_000
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 262_144
@@ -175,7 +176,7 @@ class TextTokenizer:
             own = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = [b for b in range(256) if b not in set(own)]
             self.letters = {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-            self.chunks = Chunks(self._chunk)
+            self.chunks = Chunks(self._chunk, KEPT_CHUNKS)
             self.matches = Chunks(self._match, KEPT_MATCHES)
 
     @staticmethod
@@ -220,15 +221,9 @@ class TextTokenizer:
         return b"".join(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
 
 
-_tokenizers: dict[int, TextTokenizer] = {}
-
-
 def tokenizer(content: str) -> TextTokenizer:
     """The tokenizer of a file's content; a worker keeps one for its later tasks."""
-    key = zlib.crc32(content.encode())
-    if key not in _tokenizers:
-        _tokenizers[key] = TextTokenizer(content)
-    return _tokenizers[key]
+    return T.kept(("tokenizer", zlib.crc32(content.encode())), lambda: TextTokenizer(content))
 
 
 _BLOCKS = ("part int, block int, ids_before long, n_docs int, n_ids long, payload binary, "
