@@ -8,12 +8,14 @@ below each grade but the lowest:
 
 The expected grade is the sum of these probabilities over k; the last of them, the tail, is the
 probability of the best grade.  Features are the presence of words (lower-cased A-Z, split at ASCII
-white space and signs, 64-bit hash cut to ``BITS`` bits) and, hashed the same way, a bin for each of some shares
+white space and signs, 64-bit hash cut to ``BITS`` bits) and, hashed the same way, of the beginnings of words
+(``BEGINNINGS`` bytes, so that rare inflected forms of one stem count together) and a bin for each of some shares
 of the whole text: capitals, signs, digits, the bar, repeated words, bytes a word.
 
 The model is fitted on at most ``MAX_LABELLED`` labelled documents, those of the smallest hashes of
-their doc_id, with an absolute-value penalty, so that chance words get no weight; words in fewer than
-``MIN_DOCUMENTS`` of them have none.  Scoring covers every
+their doc_id, with an absolute-value penalty in proportion to the chance deviation of a feature's slope,
+so that chance words get no weight and a clear marker in ``MIN_DOCUMENTS`` documents does, however many
+are fitted; words in fewer have none.  Scoring covers every
 document and its whole text.
 
 Defined results: a null or empty text has the features of no words; a doc_id with several labels has
@@ -38,13 +40,18 @@ from pyspark.sql import functions as F
 
 from supplyscope.llm import textops as T
 
-BITS = 18
+BITS = 20
 #: Bound of the labelled documents that the model is fitted on.
 MAX_LABELLED = 10_000
 MIN_DOCUMENTS = 4
+#: Bytes of the word beginnings that are features beside the whole words.
+BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
+#: Steps with the penalty and, for the picked features alone, without.
 ROUNDS = 200
+MORE_ROUNDS = 600
 RATE = 0.05
-PENALTY = 1e-3
+#: The penalty of a feature, in standard deviations of its slope at the start if it told nothing.
+PENALTY = 1.3
 SHRINK = 1e-4
 #: Documents with at least this probability of the best grade are selected.
 THRESHOLD = 0.5
@@ -81,14 +88,18 @@ def _bin_features(shares: np.ndarray) -> np.ndarray:
     return (T.mix((kind << np.uint64(8)) + of + np.uint64(1 << 40)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _keys(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Row and feature of hashes, in one number."""
+    return (row << BITS) | (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Chunks of (row within the chunk, feature), sorted and distinct, and the chunk's row count."""
     for lo, hi in T.chunks(offsets):
         rows = hi - lo
         raw, at = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-        word, row = T.words(raw, at, T.SIGNS)
-        index = (word >> np.uint64(64 - BITS)).astype(np.int64)
-        keys = np.unique((row << BITS) | index)
+        word, row, beginnings = T.words_and_beginnings(raw, at, T.SIGNS, BEGINNINGS)
+        keys = np.unique(_keys(row, word))
         size = np.maximum(np.diff(at), 1)
         count = np.bincount(row, minlength=rows)
         kinds = _CLASS[raw]
@@ -101,7 +112,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         length = np.minimum(count / size, 1)
         bins = _bin_features(np.column_stack([shares, repeated, length]))
         own = ((np.arange(rows)[:, None] << BITS) | bins).ravel()
-        keys = np.unique(np.concatenate([keys, own]))
+        parts = [np.unique(_keys(of, part)) for part, of in beginnings]
+        keys = np.unique(np.concatenate([keys, own, *parts]))
         yield keys >> BITS, keys & ((1 << BITS) - 1), rows
 
 
@@ -114,27 +126,31 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     top = int(grades.max()) if len(grades) else 0
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(max(top, 2), -np.inf))
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    index = np.concatenate(rows)
+    seen = np.bincount(index, minlength=1 << BITS)
     column = np.full(1 << BITS, -1)
     used = np.flatnonzero(seen >= MIN_DOCUMENTS)
     column[used] = np.arange(len(used))
-    index = column[np.concatenate(rows)]
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[index >= 0]
-    index = index[index >= 0]
+    index = column[index]
+    held = index >= 0
+    row, index = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[held], index[held]
     n = len(rows)
     weights = np.zeros(len(used))
     # Start at the thresholds that give the shares of the grades without any feature.
     below = np.clip(np.array([(grades < k).mean() for k in range(1, top + 1)]), 1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log(below / (1 - below)) + 1e-3 * np.arange(top))
     steps = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
+    # The slope of a feature of m documents has a deviation in proportion to the root of m.
+    away = _sigmoid(np.concatenate([start, [np.inf]]))[grades] + _sigmoid(np.concatenate([[-np.inf], start]))[grades] - 1
+    scale = away.std() * np.sqrt(seen[used]) / n
     # First with the penalty, which picks the features; then those alone, with a small square penalty.
-    for penalty, shrink in ((PENALTY, 0.0), (0.0, SHRINK)):
+    for penalty, shrink, rounds in ((PENALTY, 0.0, ROUNDS), (0.0, SHRINK, MORE_ROUNDS)):
         if shrink:
             picked = weights[index] != 0
             row, index = row[picked], index[picked]
         first, second = (np.zeros(len(used) + top) for _ in range(2))
         free = weights != 0 if shrink else np.ones(len(used), bool)
-        for t in range(1, ROUNDS + 1):
+        for t in range(1, rounds + 1):
             gaps = np.exp(steps[1:])
             thresholds = np.concatenate([steps[:1], steps[0] + np.cumsum(gaps)])
             score = np.bincount(row, weights[index], n)
@@ -153,7 +169,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
             rate = RATE / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-9)
             step = rate * first / (1 - 0.9 ** t)
             weights = np.where(free, weights - step[:len(used)], 0)
-            weights = np.sign(weights) * np.maximum(np.abs(weights) - penalty * rate[:len(used)], 0)
+            weights = np.sign(weights) * np.maximum(np.abs(weights) - penalty * scale * rate[:len(used)], 0)
             steps = steps - step[len(used):]
     return Model(used[weights != 0], weights[weights != 0], np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))]))
 
@@ -195,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     sample = (texts.join(chosen, "doc_id").select("doc_id", "grade", "text")
               .mapInArrow(featured, "doc_id long, grade int, features binary"))
     rows = sorted((r["doc_id"], r["grade"], bytes(r["features"])) for r in sample.collect())
-    return fit([np.frombuffer(f, "<i4").astype(np.int64) for _, _, f in rows],
+    return fit([np.frombuffer(f, "<i4") for _, _, f in rows],
                np.array([g for _, g, _ in rows], np.int64))
 
 

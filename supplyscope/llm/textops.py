@@ -93,9 +93,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE
           ) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word, in text order.  ``offsets[0]`` is 0."""
+    h, row, _ = words_and_beginnings(data, offsets, separators, ())
+    return h, row
+
+
+def words_and_beginnings(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lengths: tuple[int, ...]
+                         ) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Hash and row of every word, and for each length the hash and row of the first so many bytes of
+    the words that are longer; in text order.  ``offsets[0]`` is 0."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return *none, [none] * len(lengths)
     space = separators[data]
     first = np.empty(n, bool)
     first[0] = True
@@ -114,9 +123,18 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE
     np.cumsum(total, out=total)
     h = total[ends]
     later = starts > 0
-    h[later] -= total[starts[later] - 1]
-    h *= _power_table(_INVERSE, n)[starts]
-    return mix(h), np.searchsorted(offsets, starts, "right") - 1
+    before = np.zeros(len(starts), np.uint64)
+    before[later] = total[starts[later] - 1]
+    h -= before
+    inverse = _power_table(_INVERSE, n)[starts]
+    h *= inverse
+    row = np.searchsorted(offsets, starts, "right") - 1
+    beginnings = []
+    for length in lengths:
+        longer = np.flatnonzero(ends - starts >= length)
+        part = (total[starts[longer] + length - 1] - before[longer]) * inverse[longer]
+        beginnings.append((mix(part + np.uint64(length * int(_STEP) % (1 << 64))), row[longer]))
+    return mix(h), row, beginnings
 
 
 def shingles(word: np.ndarray, row: np.ndarray, rows: int, width: int

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import SF_MID, SF_SMALL
-from supplyscope.llm import html_extract, mixing, neardup, quality, queries, quotes, token_files, topk
+from supplyscope.llm import html_extract, mixing, neardup, quality, queries, quotes, textops, token_files, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -248,6 +249,37 @@ def test_the_classifier_on_odd_tables(spark):
     assert {r.doc_id: r.grade for r in graded.collect()} == {1: 0, 3: 1}
 
 
+@pytest.mark.parametrize("fold", [0, 2])
+def test_toxic_recall_by_language_on_held_out_rows(spark, fold):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where(f"doc_id % 4 <> {fold}"))
+    held = labels.where(f"doc_id % 4 = {fold} AND quality = 1")
+    p = quality.score(docs.join(held, "doc_id"), model).select("lang", "toxic", "p_best").toPandas()
+    clean, toxic = p[p.toxic == 0], p[p.toxic == 1]
+    assert (toxic[toxic.lang == "en"].p_best < 0.5).mean() > 0.85
+    for lang in ("fr", "de", "es"):
+        assert (toxic[toxic.lang == lang].p_best < 0.5).mean() > 0.6, lang
+        assert (clean[clean.lang == lang].p_best >= 0.5).mean() > 0.96, lang
+
+
+def test_a_clear_marker_in_few_documents_gets_a_weight():
+    rng = np.random.default_rng(8)
+    for n in (500, 10_000):
+        grades = np.where(np.arange(n) < n // 10, 1, 2)
+        rows = [np.unique(rng.integers(100, 300, 8)) for _ in range(n)]
+        for i in range(quality.MIN_DOCUMENTS):
+            rows[i] = np.append(rows[i], 1000)
+        assert quality.fit(rows, grades).weights[1000] < 0
+
+
+def test_stems_of_rare_forms_are_features():
+    texts = ["Ab reeuxel x", "Cd reeuxon y", "Ef otherwo z"]  # alike but for the words
+    (row, index, n), = quality.features(*textops.utf8(pa.array(texts)))
+    sets = [set(index[row == i]) for i in range(n)]
+    same = {i for i in sets[0] & sets[1]} - sets[2]
+    assert len(same) >= 2  # "reeu" and "reeux"
+
+
 def test_ordinal_fit_recovers_the_order():
     rng = np.random.default_rng(6)
     rows, grades = [], []
