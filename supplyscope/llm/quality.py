@@ -193,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     """Fit the model on at most ``most`` labelled documents."""
     T.ship(docs.sparkSession)
     graded = grades_of(labels)
-    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # Only labels of given documents: the sample is full as long as enough of those are labelled.
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = graded.join(given, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.forget()

@@ -280,6 +280,14 @@ def test_stems_of_rare_forms_are_features():
     assert len(same) >= 2  # "reeu" and "reeux"
 
 
+def test_the_sample_is_taken_from_labels_of_given_documents(spark):
+    docs = spark.createDataFrame([(i, "bad words" if i % 2 else "fine text") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 2 = 0 AS INT) AS quality", "0 AS toxic")
+    model = quality.train(docs, labels, most=40)
+    p = {r.doc_id: r.p_best for r in quality.score(docs, model).collect()}
+    assert all((p[i] >= 0.5) == (i % 2 == 0) for i in range(40))
+
+
 def test_ordinal_fit_recovers_the_order():
     rng = np.random.default_rng(6)
     rows, grades = [], []
