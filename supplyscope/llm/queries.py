@@ -59,11 +59,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the classifier selects, with their expected grade and tail probability."""
+    """All documents with their expected grade, tail probability and whether the classifier selects them."""
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return (quality.score(docs.select("doc_id", "text"), model).where(F.col("p_best") >= quality.THRESHOLD)
-            .select("doc_id", "expected_grade", "p_best"))
+    return (quality.score(docs.select("doc_id", "text"), model)
+            .select("doc_id", "expected_grade", "p_best", (F.col("p_best") >= quality.THRESHOLD).alias("selected")))
 
 
 #: DuckDB SQL of exact top-k: integer components, all pairs of queries and candidates.

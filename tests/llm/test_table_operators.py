@@ -322,6 +322,15 @@ def test_pipeline_stages_take_effect(spark):
     assert run.exceptAll(kept["tokens"]).count() == 0 and run.count() == kept["tokens"].count()
 
 
+def test_the_quality_query_returns_rejected_documents_too(spark):
+    got = queries.op10_quality(spark, SF_SMALL).toPandas()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert sorted(got.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert (got.selected == (got.p_best >= quality.THRESHOLD)).all() and 0 < got.selected.sum() < len(got)
+    stay = corpus_pipeline.classify(spark, docs, SF_SMALL)
+    assert sorted(got.doc_id[got.selected]) == sorted(r.doc_id for r in stay.collect())
+
+
 def test_every_operator_has_a_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(corpus_pipeline.QUERIES) == {"pipeline"}
