@@ -3,7 +3,8 @@
 A page is read into a tree of its block elements and a list of text runs in page order (a run is the
 text of one block between two block boundaries; inline elements only mark link text).  Elements that
 never hold the article are left out with all they hold: scripts, styles, forms, menus, page headers,
-footers, sidebars, hidden parts, and elements whose class, id or role names such a part.  Then
+footers, sidebars, hidden parts, and elements whose class, id or role names such a part, unless a name says
+that they are content or they hold the page's only article, main or h1 element.  Then
 
 1. each run of 25 characters or more gets points: one, one for each comma, and one for each 100
    characters up to three, less the share of its characters that are links;
@@ -19,7 +20,8 @@ Defined results: null and empty pages have the empty text; unclosed and misneste
 browsers close them (a paragraph ends at the next block, a list item at the next item, an end tag closes
 what is open inside, one without a start is ignored); an end tag or a comment that is missing ends with
 the page; text without any markup is one block.  If the class names would leave nothing, the page is
-read again without them.  Repeated rows give repeated rows; an empty table gives an empty result.
+read again without them; if the largest part that they leave out has more points than all that is left of a page without
+an article or main element, it is kept (not advertisements, comments and cookie notices).  Repeated rows give repeated rows; an empty table gives an empty result.
 
 Scale: one pass, no shuffle; a task holds one page's tree.
 """
@@ -60,6 +62,13 @@ notification notifications outbrain pager pagination paywall popup promo promoti
 respond rss search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription
 taboola toolbar tooltip topbar widget widgets""".split())
 CONTENT = set("article body content entry hentry main post story text".split())
+#: What follows one of these in a class or id is not what the element is (``has-sidebar``).
+NOT_NAMING = {"has", "with", "no", "without"}
+#: Parts that are left out by name, however much text they have.
+SURE_PARTS = set("""ad ads advert adverts advertisement advertising adsense outbrain taboola sponsor sponsored comment comments
+commentlist replies respond disqus cookie cookies consent gdpr""".split())
+#: Points of a part left out by name that is taken for the article if all else has fewer.
+LEAST_PART = 5.0
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -71,28 +80,34 @@ LEAST_RUN = 25
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "good", "score", "chars", "links")
+    __slots__ = ("tag", "parent", "dropped", "good", "named", "sure", "score", "chars", "links")
 
-    def __init__(self, tag, parent, dropped, good):
-        self.tag, self.parent, self.dropped, self.good = tag, parent, dropped, good
+    def __init__(self, tag, parent, dropped, good, named=False, sure=False):
+        self.tag, self.parent, self.dropped, self.good, self.named, self.sure = tag, parent, dropped, good, named, sure
         self.score, self.chars, self.links = 0.0, 0, 0
 
 
-def _marks(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+def _marks(attributes: str) -> tuple[set[str], bool, bool]:
+    """Words of class, id and role, whether the element is hidden, and whether a name says that it is content.
+
+    A name is what its last word says (``main-content``, but not ``content-ads``); a header is part of what it heads."""
     words: set[str] = set()
-    hidden = False
+    hidden = content = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words.update(_WORD.findall(_CAMEL.sub(r"\1 \2", value).lower()))
+            for token in _CAMEL.sub(r"\1-\2", value).lower().split():
+                own = _WORD.findall(token)
+                own = own[:next((i for i, w in enumerate(own) if w in NOT_NAMING), len(own))]
+                words.update(own)
+                content |= bool(own) and (own[-1] in CONTENT or own[-1] == "header" and not CONTENT.isdisjoint(own))
         elif name == "hidden":
             hidden |= value.lower() != "until-found"
         elif name == "aria-hidden":
             hidden |= value.lower() == "true"
         else:
             hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-    return words, hidden
+    return words, hidden, content
 
 
 def _read(html: str, by_names: bool) -> tuple[list[_Element], list[tuple[_Element, str, int]]]:
@@ -176,20 +191,79 @@ def _read(html: str, by_names: bool) -> tuple[list[_Element], list[tuple[_Elemen
         parent = stack[-1]
         inside = any(e.tag in ("article", "main") for e in stack) if tag == "header" else False
         dropped = parent.dropped or tag in NEVER or (tag == "header" and not inside)
-        good = False
+        good = named = sure = False
         if not dropped and attributes:
-            words, hidden = _marks(attributes)
-            named = bool(words & OTHER_PARTS) and tag not in ("html", "body", "main")
+            words, hidden, content = _marks(attributes)
+            parts = words & OTHER_PARTS
+            if "header" in parts and any(e.tag in ("article", "main") for e in stack):
+                parts.remove("header")
+            named = by_names and bool(parts) and not content and tag not in ("html", "body", "main", "header")
             if tag == "article" and not words & {"comment", "comments", "sponsored", "ad", "promo", "related"}:
                 named = False
-            dropped = hidden or (by_names and named)
+            dropped = hidden
+            sure = bool(parts & SURE_PARTS)
             good = bool(words & CONTENT)
-        element = _Element(tag, parent, dropped, good)
+        element = _Element(tag, parent, dropped, good, named, sure)
         elements.append(element)
         stack.append(element)
     add(html[at:])
     end_run()
-    return elements, runs
+    return _without_named(elements, runs)
+
+
+def _points(text: str, links: int) -> float:
+    if len(text) < LEAST_RUN:
+        return 0.0
+    return (1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)) * (1 - links / len(text))
+
+
+def _named_around(element: _Element | None) -> list[_Element]:
+    """The element and its ancestors that a name marks as other parts."""
+    found = []
+    while element is not None:
+        if element.named:
+            found.append(element)
+        element = element.parent
+    return found
+
+
+def _without_named(elements: list[_Element], runs: list[tuple[_Element, str, int]]
+                   ) -> tuple[list[_Element], list[tuple[_Element, str, int]]]:
+    """Leave out the parts that names mark, but not those with the page's article, main or h1 element, nor
+    one that outscores all the rest of a page without an article."""
+    if not any(e.named for e in elements):
+        return elements, runs
+    for tags in (("article", "main"), ("h1",)):
+        around = [_named_around(e) for e in elements if e.tag in tags and not e.dropped and not e.named]
+        if all(around):
+            for e in (e for found in around for e in found if not e.sure or tags != ("h1",)):
+                e.named = False
+    left, parts = 0.0, {}
+    bounded = False
+    for element, text, links in runs:
+        found = _named_around(element)
+        points = _points(text, links)
+        if not found:
+            left += points
+            bounded = bounded or _within_tag(element, ("article", "main"))
+        elif not any(e.sure for e in found):
+            outer, before = parts.get(id(found[-1]), (found, 0.0))
+            parts[id(found[-1])] = outer, before + points
+    if parts and not bounded:
+        found, points = max(parts.values(), key=lambda x: x[1])
+        if points >= LEAST_PART and points > left:
+            found[-1].named = False
+    for e in elements:  # parents first
+        e.dropped = e.dropped or e.named or (e.parent is not None and e.parent.dropped)
+    return elements, [r for r in runs if not r[0].dropped]
+
+
+def _within_tag(element: _Element | None, tags: tuple[str, ...]) -> bool:
+    while element is not None:
+        if element.tag in tags:
+            return True
+        element = element.parent
+    return False
 
 
 def _holder(element: _Element) -> _Element:
@@ -210,9 +284,7 @@ def _within(element: _Element | None, chosen: set[int]) -> bool:
 def _choose(elements: list[_Element], runs: list[tuple[_Element, str, int]]) -> set[int]:
     """The elements whose text is kept."""
     for element, text, links in runs:
-        points = 0.0
-        if len(text) >= LEAST_RUN:
-            points = (1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)) * (1 - links / len(text))
+        points = _points(text, links)
         holder, level = _holder(element), 0
         e = element
         while e is not None:

@@ -97,6 +97,29 @@ def test_html_extraction_of_odd_pages(html, text):
     assert html_extract.extract(html) == text
 
 
+LONG = "A sentence, with commas, and with words enough, so that it counts as text of the article. " * 3
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<article><header class="entry-header"><h1>T</h1></header><p>{0}</article>', "T\n\n{0}"),
+    ('<article><div class="post-header"><h1>T</h1></div><p>{0}</article>', "T\n\n{0}"),
+    ('<article><div class="header"><h2>T</h2></div><p>{0}</article>', "T\n\n{0}"),
+    ('<p>Some run</p><div class="layout has-sidebar"><article><h1>T</h1><p>{0}</article></div>', "T\n\n{0}"),
+    ('<p>Some run</p><div class="page-with-sidebar"><article><p>{0}</article><div class="sidebar"><p>{0}</div></div>', "{0}"),
+    ('<p>Some run</p><div class="widget"><article><p>{0}</article></div>', "{0}"),
+    ('<p>Some run</p><div class="notice content"><p>{0}<p>{0}</div>', "Some run\n\n{0}\n\n{0}"),
+    ('<div class="ad">Buy, buy, buy, buy, buy, buy, buy, buy!</div><article><p>Short.</article>', "Short."),
+    ('<article><p>{0}<div class="content-ads"><p>{0}</div><div class="post-comments"><p>{0}</div></article>', "{0}"),
+    ('<article><p>{0}</article><div class="related"><article class="x"><p>{0}</article></div>', "{0}"),
+])
+def test_html_names_do_not_drop_the_article(html, text):
+    assert html_extract.extract(html.format(LONG)) in (text.format(LONG.strip()), text.format(LONG.strip()).removeprefix("Some run\n\n"))
+
+
+def test_html_part_that_outscores_the_rest_is_kept():
+    assert LONG.strip() in html_extract.extract(f'<p>Some run</p><div class="widget"><p>{LONG}<p>{LONG}</div>')
+
+
 def test_html_pages_equal_their_articles(spark):
     import html
     import re
