@@ -10,9 +10,11 @@ that they are content or they hold the page's only article, main or h1 element.
    characters up to three, less the share of its characters that are links;
 2. the points go to the block that holds the paragraph, half of them to that one's parent, and less
    to the next ancestors; a container's sum is discounted by its own share of link characters;
-3. the best container is kept (the article or main element around it, if there is one), and of its
-   siblings those with a fifth of its score, and paragraphs that read like text;
-4. parts of them that are mostly links are left out.
+3. the best container is kept (the article or main element around it, if there is one; else the largest one
+   around it whose other parts are no menus), and of its siblings those with a fifth of its score, paragraphs that
+   read like text, what lies between these and isn't mostly links, and headings, lists and short paragraphs
+   right before them;
+4. parts of them that are mostly links are left out at the end and, without an article or main element, at the start.
 
 Without any points the article, main or body element is taken as it is.
 
@@ -40,11 +42,16 @@ from supplyscope.llm import textops as T
 
 # Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe title svg math object noembed noframes xmp".split())
+RAW = set("script style noscript template textarea iframe title svg object annotation annotation-xml noembed noframes xmp".split())
 INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s
-samp small span strike strong sub sup time tt u var wbr nobr center""".split()) - {"center"}
+samp small span strike strong sub sup time tt u var wbr nobr center math semantics mrow mi mn mo ms mtext mspace
+mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts
+mtable mtr mtd""".split()) - {"center"}
 #: Blocks that are paragraphs: their points go to their parent.
 PARAGRAPH = set("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption caption td th tr summary".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: What is kept right before the first kept block.
+BEFORE = HEADINGS | set("p pre blockquote ul ol dl hgroup".split())
 #: Elements that never hold the article.
 NEVER = set("nav footer aside form button select option menu dialog fieldset head datalist audio video canvas map".split())
 CLOSES_P = set("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer
@@ -307,15 +314,35 @@ def _choose(elements: list[_Element], runs: list[tuple[_Element, str, int]]) ->
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
     best = around if around is not None else best
+    children: dict[int, list[_Element]] = {}
+    for e in elements:
+        if e.parent is not None and e.chars and not e.dropped:
+            children.setdefault(id(e.parent), []).append(e)
+
+    def dense(e: _Element) -> bool:
+        return e.links >= 0.5 * e.chars
+
+    # Up to the common container, as long as no other part of it is a menu.
+    while around is None and best.parent is not None and best.tag != "body" \
+            and not any(dense(e) for e in children[id(best.parent)] if e is not best):
+        best = best.parent
     if best.parent is None or best.tag in ("body", "main"):
         return {id(best)}
-    chosen, least = {id(best)}, max(10.0, 0.2 * score(best))
-    for e in elements:
-        if e.parent is best.parent and e is not best and not e.dropped and e.chars:
-            linked = e.links / e.chars
-            if score(e) >= least and linked < 0.5 or e.tag == "p" and linked < 0.25 and e.chars > 80:
-                chosen.add(id(e))
-    return chosen
+    least, row = max(10.0, 0.2 * score(best)), children[id(best.parent)]
+    kept = [e is best or score(e) >= least and not dense(e) or e.tag == "p" and e.links < 0.25 * e.chars and e.chars > 80
+            for e in row]
+    first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    headed = {id(a) for e in elements if e.tag in HEADINGS and e.chars for a in _up(e)}
+    while around is None and first and not dense(row[first - 1]) and (row[first - 1].tag in BEFORE or id(row[first - 1]) in headed):
+        first -= 1
+    return {id(e) for e, k in zip(row[first:last + 1], kept[first:last + 1]) if k or not dense(e)}
+
+
+def _up(element: _Element | None) -> Iterator[_Element]:
+    """The element and its ancestors."""
+    while element is not None:
+        yield element
+        element = element.parent
 
 
 def extract(html: str | None) -> str:
@@ -330,11 +357,15 @@ def extract(html: str | None) -> str:
         return ""
     chosen = _choose(elements, runs)
     kept = [r for r in runs if _within(r[0], chosen)]
-    # Parts of the article that are mostly links: lists of related pages, shares, tags.
+    # Parts that are mostly links at the end (lists of related pages, shares, tags), or before all else on pages
+    # without an article; those between are part of the text.
     menus = {id(e) for e in elements if e.tag in ("ul", "ol", "dl", "table", "div", "section") and id(e) not in chosen
              and e.chars and e.links > 0.5 * e.chars}
-    prose = [text for element, text, _ in kept if not menus or not _within(element, menus)]
-    return "\n\n".join(prose or [text for _, text, _ in kept])
+    prose = [i for i, (element, _, _) in enumerate(kept) if not menus or not _within(element, menus)]
+    if prose:
+        bounded = any(e.tag in ("article", "main") for e in elements if id(e) in chosen)
+        kept = kept[0 if bounded else prose[0]:prose[-1] + 1]
+    return "\n\n".join(text for _, text, _ in kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

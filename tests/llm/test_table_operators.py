@@ -116,6 +116,22 @@ def test_html_names_do_not_drop_the_article(html, text):
     assert html_extract.extract(html.format(LONG)) in (text.format(LONG.strip()), text.format(LONG.strip()).removeprefix("Some run\n\n"))
 
 
+MENU = "<ul><li><a href=1>One page</a><li><a href=2>Another page</a></ul>"
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<div><h1>T</h1><div class=body><p>{0}<p>{0}</div></div>", "T\n\n{0}\n\n{0}"),
+    ("<div>{1}<h1>T</h1><p>By me</p><div class=body><p>{0}<p>{0}</div>{1}</div>", "T\n\nBy me\n\n{0}\n\n{0}"),
+    ("<div>{1}<div><h1>T</h1></div><div><p>{0}<p>{0}</div><h2>U</h2><pre>a b</pre><p>Short.<section><p>q</section><ul><li>x</ul>"
+     "<div><p>{0}<p>{0}</div>{1}</div>", "T\n\n{0}\n\n{0}\n\nU\n\na b\n\nShort.\n\nq\n\nx\n\n{0}\n\n{0}"),
+    ("<article><p>{0}{1}<p>{0}{1}</article>", "{0}\n\nOne page\n\nAnother page\n\n{0}"),
+    ("{1}<p>{0}<h2>U</h2><p>End.", "{0}\n\nU\n\nEnd."),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> be.", "Let x=1 be."),
+])
+def test_html_text_between_and_before_the_blocks_is_kept(html, text):
+    assert html_extract.extract(html.format(LONG, MENU)) == text.format(LONG.strip())
+
+
 def test_html_part_that_outscores_the_rest_is_kept():
     assert LONG.strip() in html_extract.extract(f'<p>Some run</p><div class="widget"><p>{LONG}<p>{LONG}</div>')
 
