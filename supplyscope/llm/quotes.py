@@ -4,8 +4,14 @@ A line's quote level is the number of ``>`` signs that lead it (each after up to
 passage is a run of lines of one level.  A message's own text are its level-0 lines without the lines
 that introduce a quotation ("On ... wrote:" before a quoted line).  Lines are normalised (lower case,
 letters and digits only, single spaces) and hashed.  A quoted line's original is the earliest message
-of the conversation whose own text has the line, if that is earlier than the quoting message.  A
-message replies to the original of most quoted characters at its lowest linked quote level (ties: the
+of the conversation whose own text has the line, if that is earlier than the quoting message.
+
+As mail clients wrap quotations again, the paragraphs of a passage are also taken as wholes: their lines are joined,
+normalised and cut into shingles of ``WORDS`` words (a shorter paragraph is one shingle), which meet the shingles
+of earlier messages' own text, each at the earliest message that has it.  The latest of these is the paragraph's
+original if its own text has the whole paragraph (checked on the texts), else a message that holds half of the
+paragraph's shingles or more is the original of what these cover.  Lines, shingles and whole paragraphs count by their
+characters.  A message replies to the original of most quoted characters at its lowest linked quote level (ties: the
 latest).  Replies form trees: ``root`` is the first message of a message's tree, ``depth`` the number
 of replies between them; ordered by (root, turn), each reply comes after what it replies to.
 
@@ -16,8 +22,8 @@ linked nor quoted; rows that repeat a (conv_id, turn) share one reply (the one o
 empty table gives an empty result.  Other columns pass through; the operator's columns replace any of
 their names.
 
-Scale: DataFrame functions only.  Lines are split row by row; originals are pre-aggregated to one row
-for each conversation and line, so a line that thousands of messages hold joins as one row.  Trees are
+Scale: DataFrame functions only.  Lines are split row by row; only conversations with quotations are cut into
+shingles; originals are pre-aggregated to one row for each conversation and line or shingle, so a line that thousands of messages hold joins as one row.  Trees are
 followed by pointer doubling (log2 of the depth rounds), without gathering a conversation anywhere.
 """
 
@@ -28,12 +34,14 @@ from pyspark.sql import functions as F
 
 from supplyscope.llm import textops as T
 
+WORDS = 5
 _MARK = "^(?:[ \\\\t]{0,3}>)+"
 _INTRO = "^\\\\s*(?:On|Am|Le|El)\\\\b.*(?:wrote|schrieb|écrit|escribió)[^:]{0,80}:\\\\s*$"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Add ``own`` (text without quotes), ``passages`` (level, lines) and ``quoted`` (level, line) arrays."""
+    """Add ``own`` (text without quotes), ``passages`` (level, lines), ``quoted`` (level, line) and
+    ``paragraphs`` (level, paragraph: joined lines) arrays."""
     out = messages.withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r?\n"))
     out = out.withColumn("_levels", F.expr(
         f"transform(_lines, l -> length(regexp_replace(regexp_extract(l, '{_MARK}', 0), '[^>]', '')))"))
@@ -54,6 +62,9 @@ def parsed(messages: DataFrame) -> DataFrame:
         "'\n'), '\n{3,}', '\n\n'), '^\\\\s+|\\\\s+$', '') ELSE coalesce(CAST(text AS STRING), '') END"))
     out = out.withColumn("quoted", F.expr(
         "flatten(transform(filter(passages, p -> p.level > 0), p -> transform(p.lines, l -> struct(p.level AS level, l AS line))))"))
+    out = out.withColumn("paragraphs", F.expr(
+        "flatten(transform(filter(passages, p -> p.level > 0), p -> transform(split(array_join(p.lines, '\n'), '\n\\\\s*\n'), "
+        "l -> struct(p.level AS level, l AS paragraph))))"))
     return out.drop("_lines", "_levels", "_bodies", "_keep", "_starts")
 
 
@@ -61,22 +72,54 @@ def _normal(line):
     return F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
 
 
+def _paragraph_links(keyed: DataFrame) -> DataFrame:
+    """(no_conv, conv, turn, level, original, chars) of quoted paragraphs, over joined lines."""
+    paragraphs = (keyed.where("size(paragraphs) > 0").select("no_conv", "conv", "turn", F.inline("paragraphs"))
+                  .withColumn("paragraph", _normal(F.col("paragraph"))).where("paragraph <> ''").distinct()
+                  .withColumn("words", F.split("paragraph", " "))
+                  .withColumn("width", F.least(F.lit(WORDS), F.size("words"))))
+    windows = "transform(sequence(0, size(words) - width), i -> struct({} xxhash64(array_join(slice(words, i + 1, width), ' ')) AS h))"
+    # A shingle has its first word's characters, the last one those of all its words.
+    chars = ("length(IF(i = size(words) - width, array_join(slice(words, i + 1, width), ' '), "
+             "concat(words[i], ' '))) AS chars,")
+    asked = (paragraphs.withColumn("n", F.expr("size(words) - width + 1"))
+             .select("no_conv", "conv", "turn", "level", "paragraph", "n", "width", F.expr(f"inline({windows.format(chars)})")))
+    widths = paragraphs.select("no_conv", "conv", "width").distinct()
+    own = keyed.select("no_conv", "conv", "turn", _normal(F.col("own")).alias("own")).where("own <> ''")
+    written = (own.withColumn("words", F.split("own", " ")).join(widths, ["no_conv", "conv"]).where("size(words) >= width")
+               .select("no_conv", "conv", "turn", "width", F.expr(f"inline({windows.format('')})"))
+               .groupBy("no_conv", "conv", "width", "h").agg(F.min("turn").alias("original")))
+    key = ["no_conv", "conv", "turn", "level", "paragraph"]
+    held = (asked.join(written, ["no_conv", "conv", "width", "h"]).where("original < turn")
+            .groupBy(*key, "n", "original").agg(F.sum("chars").alias("chars"), F.count("*").alias("met")))
+    candidates = (held.groupBy(*key, "n").agg(F.sum("met").alias("met"), F.max("original").alias("original"))
+                  .where("met = n").drop("met", "n"))
+    texts = own.select("no_conv", "conv", F.col("turn").alias("original"), "own")
+    whole = (candidates.join(texts, ["no_conv", "conv", "original"])
+             .where(F.expr("contains(concat(' ', own, ' '), concat(' ', paragraph, ' '))"))
+             .select(*key, "original", F.length("paragraph").cast("long").alias("chars")).distinct())
+    parts = held.where("2 * met >= n").select(*key, "original", "chars")
+    return whole.unionByName(parts).select("no_conv", "conv", "turn", "level", "original", "chars")
+
+
 def links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to) of the messages that quote an earlier one; ``messages``: parsed."""
+    """(conv_id, turn, reply_to) of the messages that quote an earlier one."""
     # Null conversations are one: a null-safe key.
-    keyed = messages.where("turn IS NOT NULL").select(
+    raw = messages.where("turn IS NOT NULL").select(
         F.col("conv_id").isNull().alias("no_conv"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
-        F.col("turn").cast("long").alias("turn"), "own", "quoted")
+        F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"))
+    # Only conversations with a quoted line are parsed and moved.
+    convs = T.stored(raw.where(F.col("text").rlike("(?m)^[ \\t]{0,3}>")).select("no_conv", "conv").distinct(), "quoting")
+    keyed = parsed(raw.join(convs, ["no_conv", "conv"], "left_semi")).drop("text", "passages")
     line = _normal(F.col("line"))
     asked = (keyed.where("size(quoted) > 0").select("no_conv", "conv", "turn", F.inline("quoted"))
              .withColumn("line", line).where("line <> ''")
              .groupBy("no_conv", "conv", "turn", "level", F.xxhash64("line").alias("h")).agg(F.max(F.length("line")).alias("chars")))
-    convs = asked.select("no_conv", "conv").distinct()
-    written = (keyed.join(convs, ["no_conv", "conv"], "left_semi")
-               .select("no_conv", "conv", "turn", F.explode(F.split("own", "\n")).alias("line"))
+    written = (keyed.select("no_conv", "conv", "turn", F.explode(F.split("own", "\n")).alias("line"))
                .withColumn("line", line).where("line <> ''")
                .groupBy("no_conv", "conv", F.xxhash64("line").alias("h")).agg(F.min("turn").alias("original")))
-    found = (asked.join(written, ["no_conv", "conv", "h"]).where("original < turn")
+    lines = asked.join(written, ["no_conv", "conv", "h"]).where("original < turn")
+    found = (lines.select("no_conv", "conv", "turn", "level", "original", "chars").unionByName(_paragraph_links(keyed))
              .groupBy("no_conv", "conv", "turn", "level", "original").agg(F.sum("chars").alias("chars")))
     # The lowest level first, then most characters, then the latest message.
     best = found.groupBy("no_conv", "conv", "turn").agg(
@@ -104,7 +147,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     ours = ["text", "reply_to", "root", "depth", "n_quoted"]
     others = [c for c in messages.columns if c not in ours]
     split = parsed(messages.select(*[F.col(f"`{c}`") for c in others], "text"))
-    linked = links(split.select("conv_id", "turn", "own", "quoted"))
+    linked = links(messages.select("conv_id", "turn", "text"))
     trees = _roots(linked)
     mine = split.withColumn("_c", F.struct(F.col("conv_id").isNull().alias("n"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("v")))
     return (mine.join(trees, (F.col("_c") == F.col("c")) & (F.col("turn").cast("long") == F.col("t")), "left")

@@ -252,6 +252,33 @@ def test_quotations_are_linked_and_removed(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_wrapped_and_partly_quoted_passages_are_linked(spark):
+    one = ("The meeting has been moved to the large room on the second floor, as more people than we thought want to come. "
+           "Please bring your own cup. We start at nine sharp.")
+    two = "I can not come on that day.\nWould the week after be possible for all of you, or is that too late for the print?"
+    rows = [
+        (1, 0, one), (1, 1, two),
+        # Wrapped again, at another width and a deeper level.
+        (1, 2, "Bob wrote:\n> The meeting has been moved to the large room on the\n> second floor, as more people than\n"
+               "> we thought want to come. Please bring\n> your own cup. We start at nine sharp.\n\nFine with me."),
+        (1, 3, "> Fine\n> with me.\n> > The meeting has been moved to the\n> > large room on the second\n> > floor, as more\nMe too"),
+        # A sentence of a one-line paragraph, and a part of a line.
+        (1, 4, "> Please bring your own cup.\nWhich one?"), (1, 5, "> too late for\n> the print\nNo."),
+        # Two paragraphs, one of them cut short with other words.
+        (1, 6, ">> I can not come\n>> on that day.\n>>\n>> Would the week after be possible for all of you, [...]\nMaybe."),
+        # Not there; later only; another conversation.
+        (1, 7, "> The room has been moved to the meeting\nWhat?"), (1, 8, "> yet to be said\nHm"), (1, 9, "This is yet to be said by me."),
+        (2, 0, "> Please bring your own cup.\nWhich one?"),
+        # The earliest message with the whole passage, not those with parts of it.
+        (3, 0, "alpha beta gamma delta epsilon"), (3, 1, "so gamma delta epsilon zeta eta it is, gamma delta epsilon zeta eta"),
+        (3, 2, "said alpha beta gamma delta epsilon zeta eta theta"), (3, 3, "> alpha beta gamma delta\n> epsilon zeta eta theta\nYes")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.root, r.depth) for r in quotes.conversations(df).collect()}
+    assert got == {(1, 0): (None, 0, 0), (1, 1): (None, 1, 0), (1, 2): (0, 0, 1), (1, 3): (2, 0, 2), (1, 4): (0, 0, 1), (1, 5): (1, 1, 1),
+                   (1, 6): (1, 1, 1), (1, 7): (None, 7, 0), (1, 8): (None, 8, 0), (1, 9): (None, 9, 0), (2, 0): (None, 0, 0),
+                   (3, 0): (None, 0, 0), (3, 1): (None, 1, 0), (3, 2): (None, 2, 0), (3, 3): (2, 2, 1)}
+
+
 def test_a_long_chain_of_replies(spark):
     rows = [(1, i, "u", f"> message number {i - 1} here\nmessage number {i} here") for i in range(40)]
     got = {r.turn: (r.root, r.depth) for r in quotes.conversations(
