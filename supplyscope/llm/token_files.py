@@ -24,6 +24,7 @@ one part, a block at a time.  Counts before a part come from one number a part.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from array import array
@@ -159,13 +160,20 @@ class TextTokenizer:
     The tokenizer's split drops white space, so a text's ids are those of its chunks.  Chunks of plain
     Latin letters, digits and signs go to the library's model by matches of the split; all others
     through its whole pipeline.  A tokenizer of another make encodes whole texts.
+
+    With ``added``, an added token's string in a text gets that token's id, as the library has it by default (such
+    texts go through the library whole); without, it is ordinary text.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, added: bool = False):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(content)
-        # A special token's string in a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        # Added tokens may be matched in the normalized text, so in any case.
+        self.holds_added = regex.compile("|".join(map(regex.escape, strings)), regex.I).search if strings else None
+        # Signs that they all begin with, found faster.
+        self.sign = regex.match(r"[!-@\[-`{-~]*", os.path.commonprefix(strings))[0]
         split = self._split_pattern(content)
         self.local = split is not None
         if self.local:
@@ -216,14 +224,14 @@ class TextTokenizer:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.local:
+        if not self.local or self.holds_added is not None and self.sign in text and self.holds_added(text):
             return self._whole(text)
         return b"".join(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
 
 
 def tokenizer(content: str) -> TextTokenizer:
-    """The tokenizer of a file's content; a worker keeps one for its later tasks."""
-    return T.kept(("tokenizer", zlib.crc32(content.encode())), lambda: TextTokenizer(content))
+    """The tokenizer of a file's content, as the library has it; a worker keeps one for its later tasks."""
+    return T.kept(("tokenizer", zlib.crc32(content.encode())), lambda: TextTokenizer(content, added=True))
 
 
 _BLOCKS = ("part int, block int, ids_before long, n_docs int, n_ids long, payload binary, "

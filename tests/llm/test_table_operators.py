@@ -179,6 +179,21 @@ def test_chunked_tokenizer_equals_the_library():
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_in_texts_are_those_of_the_library(spark, tmpdir_path):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|startoftext|>one<|endoftext|>", "<|ENDOFTEXT|> no", "x<|endoftext|", "plain words"]
+    mine = token_files.TextTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read(), added=True)
+    rnd = random.Random(9)
+    for _ in range(500):
+        t = "".join(rnd.choice(texts + [" ", "é", "<|", "|>", "\n"]) for _ in range(rnd.randrange(6)))
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    path = os.path.join(tmpdir_path, "added")
+    token_files.write(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS), path, P.path("word_bpe_49k.json"), end_id=2)
+    got = {r.doc_id: r.ids for r in token_files.read(spark, path).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert 49407 in got[0] and 49406 in got[1]
+
+
 def test_token_files_are_in_order_and_read_back(spark, tmpdir_path):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rows = [(i, f"Text number {i}, with some words." * (i % 7), "", "", 0) for i in range(60)]
