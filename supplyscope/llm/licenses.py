@@ -7,7 +7,8 @@ template is cut into windows at every word, and at its two ends into windows of
 that holds a template whole has a window that shares half of its shingles with a template window or all
 of them, so a band misses it with probability 1/2 at most and all ten with less than 0.001, also for a
 template of a single shingle; longer templates have more windows, most of them equal to one of the text,
-which all bands find.
+which all bands find.  A template of at most ``SHORT`` shingles has one more key for each of its shingles, which meets
+both shingles of every window as they are, so it isn't missed at all.
 
 Windows with a band key of any template are few; they meet the templates in a join by band key, and the
 text around the window (as many shingles as the longest template has, on both sides) is checked for the
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 BANDS = 10
+SHORT = 2
 CONTAINMENT = 0.8
 
 # Short standard notices by license.
@@ -84,7 +86,9 @@ def templates(spark: SparkSession) -> DataFrame:
                                           "coalesce(get(sh, i), sh[i - 1]) AS b)), array(struct(sh[0] AS a, sh[0] AS b)))"))
     keys = ", ".join(f"struct({b} AS band, {_band('w.a', 'w.b', b)} AS key)" for b in range(BANDS))
     return windows.select("template", "license", F.array_distinct("sh").alias("sh"),
-                          F.array_distinct(F.flatten(F.expr(f"transform(w, w -> array({keys}))"))).alias("keys"))
+                          F.array_distinct(F.concat(
+                              F.flatten(F.expr(f"transform(w, w -> array({keys}))")),
+                              F.expr(f"transform(filter(sh, x -> size(sh) <= {SHORT}), x -> struct({BANDS} AS band, x AS key))"))).alias("keys"))
 
 
 def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -92,20 +96,21 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     spark = docs.sparkSession
     known = templates(spark).collect()  # fixed: one row for each of TEMPLATES
     longest = max(len(t["sh"]) for t in known)
-    by_band: list[set[int]] = [set() for _ in range(BANDS)]
+    by_band: list[set[int]] = [set() for _ in range(BANDS + 1)]
     for t in known:
         for k in t["keys"]:
             by_band[k["band"]].add(k["key"])
     second = "coalesce(get(sh, j + 1), sh[j])"
-    hit = " OR ".join(f"{_band('sh[j]', second, b)} IN ({', '.join(f'{k}L' if k != -2**63 else str(k) for k in sorted(keys))})"
-                      for b, keys in enumerate(by_band))
+    key_of = [[_band("sh[j]", second, b)] for b in range(BANDS)] + [["sh[j]", second]]
+    hit = " OR ".join(f"{of} IN ({', '.join(f'{k}L' if k != -2**63 else str(k) for k in sorted(keys))})"
+                      for keys, of_band in zip(by_band, key_of) if keys for of in of_band)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     shingled = _shingled(text, "text").select("doc_id", "sh")
     # The outer form keeps the optimizer from putting a filter with the whole expression below.
     places = f"CASE WHEN size(sh) > 0 THEN filter(sequence(0, size(sh) - 1, 2), j -> {hit}) END"
     placed = shingled.withColumn("j", F.explode_outer(F.expr(places))).where("j IS NOT NULL")
     around = F.expr(f"slice(sh, greatest(j - {longest}, 0) + 1, {2 * longest + 2})")
-    keys = ", ".join(f"struct({b} AS band, {_band('sh[j]', second, b)} AS key)" for b in range(BANDS))
+    keys = ", ".join(f"struct({b} AS band, {of} AS key)" for b, of_band in enumerate(key_of) for of in of_band)
     windows = placed.select("doc_id", "j", around.alias("around"), F.expr(f"array({keys})").alias("keys"))
     each = windows.select("doc_id", "j", "around", F.inline("keys"))
     bands = templates(spark).select("template", "license", F.col("sh").alias("t_sh"), F.inline("keys"))

@@ -205,6 +205,11 @@ def test_license_scan_equals_brute_force(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_notice_of_one_shingle_is_found_beside_any_word(spark):
+    rows = spark.range(8000).selectExpr("id AS doc_id", "concat('a', id, ' Released under the MIT License. b', id) AS text")
+    assert licenses.scan(rows).where("template = 0 AND containment = 1").count() == 8000
+
+
 def test_license_scan_runs_no_python(spark):
     df = licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
