@@ -1,10 +1,10 @@
 """Shared array helpers: words and shingles of whole Arrow batches as 64-bit hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes after lower-casing A-Z (bytes of multi-byte
-characters are never white space, so byte and character splitting agree).  A word's hash is a
-polynomial over its bytes modulo 2**64, finished by a mixer; all words of a chunk are hashed
-together with one cumulative sum instead of a Python loop.  The hash depends on the bytes alone,
-so a recomputed task gives the same values.
+characters are never white space, so byte and character splitting agree).  The words of a chunk are
+told apart by their bytes, in one Arrow dictionary, and each different word is hashed once by XXH3,
+which mixes all bytes non-linearly.  The hash depends on the bytes alone, so a recomputed task gives
+the same values.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,17 +91,71 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and row of every word, in text order, and which bytes are separators."""
+    n = len(data)
+    space = separators[data]
+    if n == 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, space
+    first = np.empty(n, bool)
+    first[0] = True
+    first[1:] = space[:-1]
+    last = np.empty(n, bool)
+    last[-1] = True
+    last[:-1] = space[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
+    first[inner] = True
+    last[inner - 1] = True
+    starts, ends = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, space
+
+
+_LOWER_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER_BYTE[65:91] += 32
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, lower: bool = True
+               ) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Code and row of every word, in text order, and the different words (bytes) by code."""
+    starts, ends, row, space = spans(data, offsets, separators)
+    held = data[~space]
+    if lower:
+        held = _LOWER_BYTE[held]
+    at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts),
+                                             [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(held))])
+    coded = array.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), row, coded.dictionary
+
+
+#: Hashes of words: digests of 64 bits each for one and two streams.
+_DIGESTS = {1: xxhash.xxh3_64_digest, 2: xxhash.xxh3_128_digest}
+
+
+def word_hashes(different: pa.Array, streams: int = 1) -> np.ndarray:
+    """(streams, words): independent 64-bit hashes of each word, for one or two streams."""
+    digest = _DIGESTS[streams]
+    raw = b"".join([digest(w) for w in different.to_pylist()])
+    return np.frombuffer(raw, ">u8").reshape(-1, streams).T.astype(np.uint64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE
           ) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word, in text order.  ``offsets[0]`` is 0."""
-    h, row, _ = words_and_beginnings(data, offsets, separators, ())
-    return h, row
+    code, row, different = word_codes(data, offsets, separators)
+    return word_hashes(different)[0][code], row
 
 
 def words_and_beginnings(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lengths: tuple[int, ...]
                          ) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Hash and row of every word, and for each length the hash and row of the first so many bytes of
-    the words that are longer; in text order.  ``offsets[0]`` is 0."""
+    the words that are longer; in text order.  ``offsets[0]`` is 0.
+
+    These are features' hashes: polynomials over the bytes modulo 2**64, finished by a mixer, of which
+    a word and its beginnings share one cumulative sum.  Words can be built that collide."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
