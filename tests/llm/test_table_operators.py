@@ -413,7 +413,7 @@ def test_the_quality_query_returns_rejected_documents_too(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(corpus_pipeline.QUERIES) == {"pipeline"}
 
 
