@@ -19,13 +19,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_sql as O  # noqa: E402
 from supplyscope import operators as ops  # noqa: E402
+from supplyscope.operators.dropped import counts_table, observed  # noqa: E402
 from supplyscope.plans.scoring import (OUTPUT, from_predictions, score_orders,  # noqa: E402
                                        with_order_defaults, with_vendor_history)
-from supplyscope.plans.training import (SAMPLE_SIZE, evaluate, fit_both, metrics_of,  # noqa: E402
-                                        predict, training_features)
-from supplyscope.session import scratch_folder  # noqa: E402
-from supplyscope.sources import (fixture_views, read_summary, read_table,  # noqa: E402
-                                 write_summary, write_tables)
+from supplyscope.plans.training import (SAMPLE_SIZE, evaluate, fit_both, load_models, metrics_of,  # noqa: E402
+                                        predict, save_models, training_features)
+from supplyscope.plans import incremental  # noqa: E402
+from supplyscope.schemas import SOURCES  # noqa: E402
+from supplyscope.session import materialize, scratch_folder  # noqa: E402
+from supplyscope.sources import (fixture_views, load_sources, read_summary, read_table,  # noqa: E402
+                                 read_training_purchases, write_json, write_summary, write_tables)
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -52,6 +55,11 @@ def _vs(spark, sf_dir, **kw) -> DataFrame:
     return ops.vendor_summary_from(_views(spark, sf_dir), **kw)
 
 
+def _history(spark, sf_dir) -> DataFrame:
+    """What scoring and training look up of a vendor."""
+    return _vs(spark, sf_dir, sort=False, columns=ops.HISTORY_COLUMNS)
+
+
 def _vs_out(df: DataFrame) -> DataFrame:
     return _r6(df, "StdLeadTimeDays", "AvgSalesUnitPrice")
 
@@ -65,6 +73,34 @@ def q_purchase_metrics(spark, sf_dir):
     return _r6(ops.purchase_metrics(_views(spark, sf_dir)["purchases"]), "StdLeadTimeDays")
 
 
+def q_one_scan_tables(spark, sf_dir):
+    """Purchase metrics, monthly trends and top brands of one scan, stacked."""
+    t = ops.purchase_tables(_views(spark, sf_dir)["purchases"], MONTH_FROM, MONTH_TO)
+    none, long = F.lit(None).cast("double"), "bigint"
+    vendors = t["purchase_metrics"].select(
+        F.lit("vendor").alias("dataset"), F.col("VendorNumber").cast("string").alias("entity"), F.col("VendorName").alias("label"),
+        F.col("TotalPOs").cast(long).alias("counted"), F.col("TotalUnitsPurchased").alias("units"),
+        F.col("TotalSpendDollars").alias("spend"), F.col("AvgPurchaseUnitPrice").alias("mean_price"),
+        F.col("AvgLeadTimeDays").alias("mean_lead_time"), F.round("StdLeadTimeDays", 6).alias("std_lead_time"))
+    months = t["monthly_trends"].select(
+        F.lit("month"), "YearMonth", F.lit(None).cast("string"), F.col("ActiveVendors").cast(long), "MonthlyPurchasedUnits",
+        "MonthlySpendDollars", none, "MonthlyAvgLeadTime", none)
+    brands = t["top_brands"].select(
+        F.lit("brand"), F.col("Brand").cast("string"), F.concat_ws("|", "Description", "VendorName"), F.col("VendorNumber").cast(long),
+        "TotalPurchasedUnits", "TotalSpendDollars", "AvgPurchasePrice", none, none)
+    return vendors.union(months).union(brands)
+
+
+def q_filter_counts(spark, sf_dir):
+    """What the date, amount and lead-time filters drop, counted in the jobs that build the states."""
+    v = _views(spark, sf_dir)
+    lines, of_lines = observed(v["purchases"], "purchases")
+    invoices, of_invoices = observed(v["vendor_invoice"], "vendor_invoice")
+    ops.purchase_tables(lines, MONTH_FROM, MONTH_TO)
+    materialize(ops.invoice_metrics(invoices), "invoice-metrics")
+    return counts_table(spark, {"purchases": of_lines, "vendor_invoice": of_invoices})
+
+
 def q_invoice_metrics(spark, sf_dir):
     return ops.invoice_metrics(_views(spark, sf_dir)["vendor_invoice"])
 
@@ -96,22 +132,22 @@ def q_vendor_summary(spark, sf_dir):
 
 
 def q_vpi_components(spark, sf_dir):
-    return _r6(ops.vpi_components(_vs(spark, sf_dir, sort=False, with_components=True)),
+    return _r6(ops.vpi_components(_vs(spark, sf_dir, sort=False, columns=ops.SCORE_COLUMNS)),
                "LeadTimeScore", "MarginScore", "FreightScore", "VolumeScore")
 
 
 def q_exec_summary(spark, sf_dir):
     # The tier map is compared as its compact JSON text (most common tier first).
-    s = ops.exec_summary(_vs(spark, sf_dir, sort=False))
+    s = ops.exec_summary(_vs(spark, sf_dir, sort=False, columns=ops.EXEC_COLUMNS))
     return _r6(s.withColumn("tier_counts", F.to_json("tier_counts")), "avg_lead_time_days")
 
 
 def q_tier_counts(spark, sf_dir):
-    return ops.tier_counts(_vs(spark, sf_dir, sort=False))
+    return ops.tier_counts(_vs(spark, sf_dir, sort=False, columns=["VendorTier"]))
 
 
 def q_lead_time_histogram(spark, sf_dir):
-    return ops.lead_time_histogram(_vs(spark, sf_dir, sort=False))
+    return ops.lead_time_histogram(_vs(spark, sf_dir, sort=False, columns=ops.HISTOGRAM_COLUMNS))
 
 
 def q_directory_by_tier(spark, sf_dir):
@@ -132,12 +168,14 @@ def q_vendor_directory(spark, sf_dir):
 
 
 def q_vendor_picker(spark, sf_dir):
-    return (ops.vendor_directory(_vs(spark, sf_dir, sort=False), limit=30)
+    columns = ["VendorNumber", "VendorName", "TotalSpendDollars"]
+    return (ops.vendor_directory(_vs(spark, sf_dir, sort=False, columns=columns), limit=30)
             .select("VendorNumber", "VendorName"))
 
 
 def q_top_vendors_by_spend(spark, sf_dir):
-    return ops.top_vendors_by_spend(_vs(spark, sf_dir, sort=False), 10)
+    return ops.top_vendors_by_spend(_vs(spark, sf_dir, sort=False, columns=[
+        "VendorNumber", "VendorName", "TotalSpendDollars", "TotalSalesDollars"]), 10)
 
 
 def q_vendor_top_brands(spark, sf_dir):
@@ -150,15 +188,15 @@ def q_top_brands_per_vendor(spark, sf_dir):
 
 
 def q_margin_leadtime_points(spark, sf_dir):
-    return ops.margin_leadtime_points(_vs(spark, sf_dir, sort=False))
+    return ops.margin_leadtime_points(_vs(spark, sf_dir, sort=False, columns=ops.SCATTER_COLUMNS))
 
 
 def q_late_rate_by_vendor(spark, sf_dir):
-    return ops.late_rate_by_vendor(_vs(spark, sf_dir, sort=False), 10)
+    return ops.late_rate_by_vendor(_vs(spark, sf_dir, sort=False, columns=["VendorNumber", "VendorName", "LateDeliveryRate"]), 10)
 
 
 def q_vendor_report_rows(spark, sf_dir):
-    return ops.vendor_report_rows(_vs(spark, sf_dir, sort=False))
+    return ops.vendor_report_rows(_vs(spark, sf_dir, sort=False, columns=ops.REPORT_COLUMNS))
 
 
 def q_sample_purchases(spark, sf_dir):
@@ -173,7 +211,7 @@ def q_sample_tied_lines(spark, sf_dir):
 
 def _training(spark, sf_dir, n=SAMPLE_N):
     v = _views(spark, sf_dir)
-    return training_features(v["purchases"], _vs(spark, sf_dir, sort=False), n,
+    return training_features(v["purchases"], _history(spark, sf_dir), n,
                              SAMPLE_KEYS, seed=42)
 
 
@@ -189,7 +227,7 @@ def q_train_test_split(spark, sf_dir):
 
 def q_score_orders_rules(spark, sf_dir):
     v = _views(spark, sf_dir)
-    return score_orders(v["orders_to_score"], _vs(spark, sf_dir, sort=False), None,
+    return score_orders(v["orders_to_score"], _history(spark, sf_dir), None,
                         keep=["order_key", "line_number", "part_key"])
 
 
@@ -197,13 +235,13 @@ def q_score_orders_defaults(spark, sf_dir):
     v = _views(spark, sf_dir)
     keys = ["order_key", "line_number", "part_key"]
     orders = v["orders_to_score"].select(*keys, "vendor_number")
-    return score_orders(orders, _vs(spark, sf_dir, sort=False), None, keep=keys)
+    return score_orders(orders, _history(spark, sf_dir), None, keep=keys)
 
 
 def q_risk_from_predictions(spark, sf_dir):
     # Stand-in predictions from the row keys: what follows a prediction, without a model.
     v = _views(spark, sf_dir)
-    base = with_vendor_history(with_order_defaults(v["orders_to_score"]), _vs(spark, sf_dir, sort=False))
+    base = with_vendor_history(with_order_defaults(v["orders_to_score"]), _history(spark, sf_dir))
     days, probability = (F.col("order_key") % 160) / 10.0, (F.col("part_key") % 97) / 97.0
     return from_predictions(base, days, probability).select("order_key", "line_number", "part_key", *OUTPUT)
 
@@ -222,9 +260,54 @@ def q_stored_scorecard(spark, sf_dir):
     return _vs_out(read_table(spark, out, "vendor_summary"))
 
 
+def q_scorecard_after_merge(spark, sf_dir):
+    """Two loads, split by date (sales, which have none, by vendor), stored and merged."""
+    v = _views(spark, sf_dir)
+    cut, out = F.lit(MONTH_FROM).cast("date"), scratch_folder(spark, "loads")
+    sides = {"early": lambda c: F.coalesce(c < cut, F.lit(False)), "late": lambda c: F.coalesce(c >= cut, F.lit(True))}
+    middle = v["sales"].agg(F.avg("VendorNo")).first()[0] or 0.0
+    for load, side in sides.items():
+        sold = F.col("VendorNo") < middle
+        incremental.store_load(out, load, v["purchases"].where(side(F.col("PODate"))),
+                               v["vendor_invoice"].where(side(F.col("InvoiceDate"))),
+                               v["sales"].where(sold if load == "early" else ~sold | sold.isNull()), MONTH_FROM, MONTH_TO)
+    return _vs_out(incremental.scorecard(spark, out, v["begin_inventory"], v["end_inventory"], v["purchase_prices"]))
+
+
+def q_csv_scorecard(spark, sf_dir):
+    """The six inputs as CSV files with their columns in another order, read by name."""
+    out, v = scratch_folder(spark, "csv-inputs"), _views(spark, sf_dir)
+    for name, schema in SOURCES.items():
+        columns = [f.name for f in schema.fields]
+        (v[name].select(*reversed(columns), F.lit("unused").alias("Remark"))
+         .write.option("header", True).csv(f"{out}/{name}.csv"))
+    return _vs_out(ops.vendor_summary_from(load_sources(spark, out, register_views=False)))
+
+
+def q_csv_training_lines(spark, sf_dir):
+    """The training scan of a CSV file of purchases."""
+    out = scratch_folder(spark, "csv-training")
+    _views(spark, sf_dir)["purchases"].drop("LineNumber").write.option("header", True).csv(f"{out}/purchases.csv")
+    return read_training_purchases(spark, out)
+
+
+def q_json_records(spark, sf_dir):
+    """The scorecard as JSON records, read back."""
+    out, vs = scratch_folder(spark, "json-records"), _vs(spark, sf_dir, sort=False)
+    write_json(vs, out)
+    return _vs_out(spark.read.schema(vs.schema).json(out))
+
+
+def q_stored_projection(spark, sf_dir):
+    """Three columns of the stored scorecard."""
+    out = scratch_folder(spark, "stored-projection")
+    write_tables({"vendor_summary": _vs(spark, sf_dir, sort=False)}, out)
+    return read_table(spark, out, "vendor_summary", ["VendorNumber", "VPIScore", "VendorTier"])
+
+
 def q_stored_summary(spark, sf_dir):
     out = scratch_folder(spark, "stored-summary")
-    write_summary(ops.exec_summary(_vs(spark, sf_dir, sort=False)), out)
+    write_summary(ops.exec_summary(_vs(spark, sf_dir, sort=False, columns=ops.EXEC_COLUMNS)), out)
     s = read_summary(spark, out)
     return _r6(s.withColumn("tier_counts", F.to_json("tier_counts")), "avg_lead_time_days")
 
@@ -262,10 +345,19 @@ def q_model_metrics(spark, sf_dir):
     return evaluate(models, test)
 
 
+def q_reloaded_predictions(spark, sf_dir):
+    """Predictions of the held-out lines by the models after they were saved and loaded."""
+    models, test = _models(spark, sf_dir)
+    out = scratch_folder(spark, "models")
+    save_models(models, None, out)
+    again, _ = load_models(spark, out)
+    return predict(again, test).select(*SAMPLE_KEYS, "pred_days", "pred_delay", vector_to_array("prob_delay")[1].alias("p_delay"))
+
+
 def q_score_orders_model(spark, sf_dir):
     models, _ = _models(spark, sf_dir)
     v = _views(spark, sf_dir)
-    return score_orders(v["orders_to_score"], _vs(spark, sf_dir, sort=False), models,
+    return score_orders(v["orders_to_score"], _history(spark, sf_dir), models,
                         keep=["order_key", "line_number", "part_key"])
 
 
@@ -285,6 +377,8 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "monthly_trends": (q_monthly_trends, O.with_standins(O.MONTHLY_TRENDS)),
     "purchase_metrics": (q_purchase_metrics, O.with_standins(
         f"SELECT * REPLACE (round(StdLeadTimeDays, 6) AS StdLeadTimeDays) FROM ({O.PURCHASE_METRICS})")),
+    "one_scan_tables": (q_one_scan_tables, O.with_standins(O.ONE_SCAN_TABLES)),
+    "filter_counts": (q_filter_counts, O.with_standins(O.FILTER_COUNTS)),
     "invoice_metrics": (q_invoice_metrics, O.with_standins(O.INVOICE_METRICS)),
     "sales_metrics": (q_sales_metrics, O.with_standins(
         f"SELECT * REPLACE (round(AvgSalesUnitPrice, 6) AS AvgSalesUnitPrice) FROM ({O.SALES_METRICS})")),
@@ -295,6 +389,13 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "vendor_summary": (q_vendor_summary, O.with_vs(
         f"SELECT {O.SUMMARY_COLUMNS} FROM vs ORDER BY TotalSpendDollars DESC NULLS LAST, VendorNumber")),
     "stored_scorecard": (q_stored_scorecard, O.with_vs(f"SELECT {O.SUMMARY_COLUMNS} FROM vs")),
+    "scorecard_after_merge": (q_scorecard_after_merge, O.with_vs(f"SELECT {O.SUMMARY_COLUMNS} FROM vs")),
+    "csv_scorecard": (q_csv_scorecard, O.with_vs(f"SELECT {O.SUMMARY_COLUMNS} FROM vs")),
+    "csv_training_lines": (q_csv_training_lines, O.with_standins(
+        "SELECT VendorNumber, Store, Classification, Quantity, PurchasePrice, Dollars, PODate, ReceivingDate, "
+        "PONumber, Brand FROM purchases")),
+    "json_records": (q_json_records, O.with_vs(f"SELECT {O.SUMMARY_COLUMNS} FROM vs")),
+    "stored_projection": (q_stored_projection, O.with_vs("SELECT VendorNumber, VPIScore, VendorTier FROM vs")),
     "vpi_components": (q_vpi_components, O.with_vs(
         "SELECT VendorNumber, round(LeadTimeScore, 6) AS LeadTimeScore, round(MarginScore, 6) AS MarginScore, "
         "round(FreightScore, 6) AS FreightScore, round(VolumeScore, 6) AS VolumeScore, VPIScore, VendorTier FROM vs")),
@@ -367,6 +468,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "predict_lead_time": (q_predict_lead_time, None),
     "predict_delay": (q_predict_delay, None),
     "model_metrics": (q_model_metrics, None),
+    "reloaded_predictions": (q_reloaded_predictions, None),
     "score_orders_model": (q_score_orders_model, None),
 }
 

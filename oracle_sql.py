@@ -133,6 +133,29 @@ FROM purchases GROUP BY Brand"""
 TOP_BRANDS = f"""
 SELECT * FROM ({BRAND_SUMMARY}) ORDER BY TotalSpendDollars DESC NULLS LAST, Brand LIMIT 100"""
 
+# Rows that filters drop; a missing condition drops its row.
+FILTER_COUNTS = " UNION ALL ".join(
+    f"SELECT '{table}' AS input, '{name}' AS filter, COUNT(*) AS rows_in, "
+    f"COUNT(*) FILTER (WHERE NOT coalesce({condition}, false)) AS rows_dropped FROM {table}"
+    for table, name, condition in (
+        ("purchases", "dated", "PODate IS NOT NULL AND ReceivingDate IS NOT NULL"),
+        ("purchases", "positive", "Quantity > 0 AND Dollars > 0"),
+        ("purchases", "lead_time_in_range", f"{LT} BETWEEN 0 AND 60"),
+        ("vendor_invoice", "dated", "InvoiceDate IS NOT NULL AND PayDate IS NOT NULL")))
+
+# The three tables of one scan, stacked.
+ONE_SCAN_TABLES = f"""
+SELECT 'vendor' AS dataset, CAST(VendorNumber AS VARCHAR) AS entity, VendorName AS label, CAST(TotalPOs AS BIGINT) AS counted,
+       TotalUnitsPurchased AS units, TotalSpendDollars AS spend, AvgPurchaseUnitPrice AS mean_price,
+       AvgLeadTimeDays AS mean_lead_time, round(StdLeadTimeDays, 6) AS std_lead_time FROM ({PURCHASE_METRICS})
+UNION ALL
+SELECT 'month', YearMonth, NULL, CAST(ActiveVendors AS BIGINT), MonthlyPurchasedUnits, MonthlySpendDollars, NULL,
+       MonthlyAvgLeadTime, NULL FROM ({MONTHLY_TRENDS})
+UNION ALL
+SELECT 'brand', CAST(Brand AS VARCHAR), concat_ws('|', Description, VendorName), CAST(VendorNumber AS BIGINT),
+       TotalPurchasedUnits, TotalSpendDollars, AvgPurchasePrice, NULL, NULL FROM ({TOP_BRANDS})"""
+
+
 # One row per vendor: the full scorecard (K0-K13) as the original job computes it.
 VENDOR_SUMMARY_BODY = f"""
 pm AS ({PURCHASE_METRICS}),

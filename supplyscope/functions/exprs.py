@@ -70,46 +70,62 @@ def round1(c: ColumnOrName) -> Column:
 
 MICRO = 1_000_000
 FEMTO = 1_000_000_000  # of a millionth: units of 1e-15
-# What a double that stands for a decimal of at most six places may be off by, products included.
-_NOISE = 2e-15
-
-
-def micro_parts(c: ColumnOrName) -> tuple[Column, Column, Column]:
-    """Split a money-like double into whole units, millionths and 1e-15ths, all ``long``.
-
-    A rest that is only the binary image of a decimal of six places or fewer (a few units in the
-    last place) is no digit of the value and is left out; any other rest is kept.  NaN is missing;
-    a value beyond 2^63 raises."""
+# A value within so many units (relative to its size) of a decimal of six places stands for that
+# decimal: eight units in the last place, which products of three money factors stay within ...
+_TIGHT = 2.0 ** -50
+# ... and below this size the next such decimal is told apart.
+_TELLABLE = 2.0 ** 28
+_LIMB = 1 << 22
+#: Parts of a money value, in order; all are longs, and sums of each add up to the total.
+MONEY_PARTS = ("w", "m", "a", "b", "c")
+
+
+def money_parts(c: ColumnOrName) -> list[Column]:
+    """Split a double into whole units, millionths, and three limbs of 2^-22, 2^-44 and 2^-66, all ``long``.
+
+    Each value is judged by itself, at every size: one that is a decimal of at most six places, to
+    eight units in its last place, counts as that decimal (whole units and millionths); any other
+    counts by its binary digits, down to 2^-66 (whole units and limbs).  So stored amounts and their
+    products add up as decimals do, and no other digits are left out.  NaN is missing; a value beyond
+    2^63 raises.  A limb stays below 2^22, so a sum holds 2e12 values that aren't such decimals."""
     x = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
-    whole = F.floor(x)
-    scaled = (x - whole) * float(MICRO)
+    whole = x.cast("long")
+    rest = x - whole  # exact, as both have the same sign
+    scaled = rest * float(MICRO)
     micro = F.rint(scaled)
-    rest = scaled - micro
-    femto = F.when(F.abs(rest) > F.abs(x) * (_NOISE * MICRO), F.rint(rest * float(FEMTO))) \
-        .when(x.isNotNull(), F.lit(0.0))
-    return whole, micro.cast("long"), femto.cast("long")
+    size = F.abs(x)
+    tight = (F.abs(scaled - micro) <= size * (_TIGHT * MICRO)) & ((size < _TELLABLE) | (rest == 0.0))
+    loose = F.when(tight, F.lit(0.0)).otherwise(rest * float(_LIMB))
+    a = loose.cast("long")
+    second = (loose - a) * float(_LIMB)
+    b = second.cast("long")
+    return [whole, F.when(tight, micro).otherwise(F.lit(0.0)).cast("long"), a, b, F.rint((second - b) * float(_LIMB)).cast("long")]
 
 
-def combine_micro(whole_sum: Column, micro_sum: Column, femto_sum: Column) -> Column:
-    """``whole + micro / 10^6 + femto / 10^15`` as an exact decimal, returned as the nearest double."""
+def combine_money(sums: list[Column]) -> Column:
+    """The total of summed ``money_parts`` to 15 decimals, as the nearest double (below 10^22; beyond, an error)."""
     big = "decimal(38,0)"
-    total = ((whole_sum.cast(big) * F.lit(MICRO).cast(big) + micro_sum).cast(big)
-             * F.lit(FEMTO).cast(big) + femto_sum).cast(big)
+    whole, micro, a, b, c = (s.cast(big) for s in sums)
+    limb, unit = F.lit(_LIMB).cast(big), F.lit(str(_LIMB ** 3)).cast(big)
+    limbs = ((a * limb + b).cast(big) * limb + c).cast(big)
+    # Whole units that limbs add up to, and their rest in units of 1e-15.
+    over = F.floor(limbs / unit).cast(big)
+    femto = F.round(((limbs - over * unit).cast(big) * F.lit(MICRO * FEMTO).cast(big)).cast(big) / unit).cast(big)
+    total = (((whole + over).cast(big) * F.lit(MICRO).cast(big) + micro).cast(big) * F.lit(FEMTO).cast(big) + femto).cast(big)
     return F.concat(total.cast("string"), F.lit("e-15")).cast("double")
 
 
 def exact_sum(c: ColumnOrName) -> Column:
-    """Exact sum of a money-like double, to 15 decimals (sums below 10^22; beyond, an error).
+    """Exact sum of a double (``money_parts`` says what each value counts as), to 15 decimals.
 
-    Whole units, millionths and 1e-15ths are summed as 64-bit integers (fixed-width buffers, so
-    the aggregate stays a codegen hash aggregate with a map-side combine) and joined into one
-    decimal per group.  The result does not depend on partitioning or task order, so a
-    recomputed task gives the same bits."""
-    return combine_micro(*[F.sum(p) for p in micro_parts(c)])
+    The parts are summed as 64-bit integers (fixed-width buffers, so the aggregate stays a codegen
+    hash aggregate with a map-side combine) and joined into one decimal per group.  The result
+    does not depend on partitioning or task order, so a recomputed task gives the same bits."""
+    return combine_money([F.sum(p) for p in money_parts(c)])
 
 
 def exact_avg(c: ColumnOrName) -> Column:
-    """Mean of a money-like double: exact sum over the count of present values (NaN is missing)."""
+    """Mean of a double: exact sum over the count of present values (NaN is missing)."""
     x = _c(c)
     n = F.count(F.nanvl(x.cast("double"), F.lit(None).cast("double")))
     return F.when(n > 0, exact_sum(x) / n)

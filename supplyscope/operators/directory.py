@@ -23,6 +23,11 @@ SORTABLE = {
 DEFAULT_ORDER = ("TotalSpendDollars", False)
 
 
+# Columns that the chart and report datasets read.
+SCATTER_COLUMNS = ["VendorNumber", "VendorName", "GrossMarginPct", "AvgLeadTimeDays", "TotalSpendDollars", "VPIScore"]
+REPORT_COLUMNS = [*SCATTER_COLUMNS, "VendorTier", "TotalSalesDollars", "FreightRatioPct"]
+
+
 def filter_tier(vs: DataFrame, tier: str | None = "all", literal: bool = False) -> DataFrame:
     """Keep vendors whose tier label contains ``tier`` (case-insensitive; ``all`` keeps all).
 
@@ -93,8 +98,7 @@ def top_brands_per_vendor(brands: DataFrame, k: int = 10) -> DataFrame:
 
 def margin_leadtime_points(vs: DataFrame) -> DataFrame:
     """Scatter dataset: name, margin, lead time, spend and score per vendor."""
-    return vs.select("VendorNumber", "VendorName", "GrossMarginPct", "AvgLeadTimeDays",
-                     "TotalSpendDollars", "VPIScore")
+    return vs.select(*SCATTER_COLUMNS)
 
 
 def late_rate_by_vendor(vs: DataFrame, n: int = 10) -> DataFrame:

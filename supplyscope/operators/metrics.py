@@ -1,9 +1,8 @@
 """Per-vendor, per-month and per-brand aggregates.
 
-Every aggregate is a single ``groupBy().agg()``: Spark adds a map-side partial aggregate, so
-the shuffle carries one row per (task, group) even when one vendor holds a third of all rows.
-Money sums are exact (``exact_sum``: two 64-bit integer sums per column), so results do not
-depend on task order.
+Line-level inputs are read in one pass and added up by hash aggregates with a map-side combine
+(``states``), so the shuffle carries one row per (task, group) even when one vendor holds a third of
+all rows.  Money sums are exact (``money_parts``: integer sums), so results do not depend on task order.
 """
 
 from __future__ import annotations
@@ -13,82 +12,39 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (combine_micro, days_between, exact_avg, exact_sum, micro_parts,
-                         safe_ratio, year_month)
+from ..functions import MONEY_PARTS, combine_money, money_parts, safe_ratio
+from ..session import materialize
+from . import states
 
-LATE_AFTER_DAYS = 10
 
+def with_late_rate(vendors: DataFrame) -> DataFrame:
+    """Late deliveries in percent of the counted lines."""
+    return vendors.withColumn("LateDeliveryRate", safe_ratio("LateDeliveriesCount", "TotalPurchaseRecords", 100.0))
 
-def _money_partials(column: str, prefix: str) -> list:
-    """Mergeable sums of a money column and the count of its present values (``<prefix>n``)."""
-    parts = micro_parts(column)
-    return ([F.sum(p).alias(f"{prefix}{i}") for i, p in enumerate(parts)]
-            + [F.count(parts[0]).alias(f"{prefix}n")])
 
+def _as_in(lines: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """States hold keys as longs; give them the type that they have in the lines."""
+    return table.withColumns({k: F.col(k).cast(lines.schema[k].dataType) for k in keys})
 
-def _money_total(prefix: str):
-    """The sum of the partials of ``_money_partials``."""
-    return combine_micro(*[F.sum(f"{prefix}{i}") for i in range(3)])
 
-
-def purchase_metrics(purchases: DataFrame) -> DataFrame:
+def purchase_metrics(purchases: DataFrame, orders: bool = True, names: bool = True) -> DataFrame:
     """Purchasing and lead-time metrics per vendor (A1, A1a-c).
 
-    Only lines with both a PO date and a receipt date count (P1).  One pass over the lines: a
-    hash aggregate with a map-side combine to (vendor, PO, name) partials, from which the numbers,
-    the distinct POs and the name maximum (which Spark can only aggregate by sorting) follow.  All
-    sums are of integers, so the standard deviation is exact up to its last division and root."""
-    lt = days_between("PODate", "ReceivingDate").cast("long")
-    partials = (purchases
-                .filter(F.col("PODate").isNotNull() & F.col("ReceivingDate").isNotNull())
-                .select("VendorNumber", "VendorName", "PONumber", "Quantity", "Dollars",
-                        "PurchasePrice", lt.alias("_lt"))
-                .groupBy("VendorNumber", "PONumber", "VendorName")
-                .agg(F.count(F.lit(1)).alias("_n"), F.sum("Quantity").alias("_q"),
-                     *_money_partials("Dollars", "_d"), *_money_partials("PurchasePrice", "_p"),
-                     F.sum("_lt").alias("_s"), F.sum(F.col("_lt") * F.col("_lt")).alias("_ss"),
-                     F.max("_lt").alias("_hi"), F.min("_lt").alias("_lo"),
-                     F.count_if(F.col("_lt") > LATE_AFTER_DAYS).alias("_late")))
-    n, s = F.sum("_n"), F.sum("_s")
-    big = "decimal(38,0)"
-    # (n Σx² - (Σx)²) / (n (n - 1)); the numerator is an exact integer.
-    spread = (n.cast(big) * F.sum("_ss") - s.cast(big) * s).cast("double")
-    return (partials
-            .groupBy("VendorNumber")
-            .agg(F.max("VendorName").alias("VendorName"),
-                 F.count_distinct("PONumber").alias("TotalPOs"),
-                 n.alias("TotalPurchaseRecords"),
-                 F.sum("_q").cast("double").alias("TotalUnitsPurchased"),
-                 _money_total("_d").alias("TotalSpendDollars"),
-                 F.when(F.sum("_pn") > 0, _money_total("_p") / F.sum("_pn"))
-                 .alias("AvgPurchaseUnitPrice"),
-                 (s / n).alias("AvgLeadTimeDays"),
-                 F.max("_hi").alias("MaxLeadTimeDays"),
-                 F.min("_lo").alias("MinLeadTimeDays"),
-                 F.when(n > 1, F.sqrt(spread / (n * (n - 1.0)))).alias("StdLeadTimeDays"),
-                 F.sum("_late").alias("LateDeliveriesCount"))
-            .withColumn("LateDeliveryRate",
-                        safe_ratio("LateDeliveriesCount", "TotalPurchaseRecords", 100.0)))
+    Only lines with both a PO date and a receipt date count (P1).  One pass over the lines, which emits
+    vendor sums and bare (vendor, PO) pairs.  ``orders`` and ``names``: without TotalPOs or VendorName
+    the pairs, or the names as keys, aren't made."""
+    held = states.purchase_states(purchases, ["vendor", "order"] if orders else ["vendor"], names=names)
+    return _as_in(purchases, with_late_rate(states.vendor_table(held, orders, names)), "VendorNumber")
 
 
 def invoice_metrics(vendor_invoice: DataFrame) -> DataFrame:
     """Freight, invoiced dollars and mean days from invoice to payment per vendor."""
-    return (vendor_invoice
-            .filter(F.col("InvoiceDate").isNotNull() & F.col("PayDate").isNotNull())
-            .groupBy("VendorNumber")
-            .agg(exact_sum("Freight").alias("TotalFreightDollars"),
-                 exact_sum("Dollars").alias("TotalInvoiceDollars"),
-                 F.avg(days_between("InvoiceDate", "PayDate")).alias("AvgPaymentLeadTimeDays")))
+    return states.invoice_table(states.invoice_states(vendor_invoice))
 
 
 def sales_metrics(sales: DataFrame) -> DataFrame:
     """Units, revenue, mean unit price and excise tax per vendor."""
-    return (sales
-            .groupBy(F.col("VendorNo").alias("VendorNumber"))
-            .agg(F.sum("SalesQuantity").cast("double").alias("TotalUnitsSold"),
-                 exact_sum("SalesDollars").alias("TotalSalesDollars"),
-                 F.avg("SalesPrice").alias("AvgSalesUnitPrice"),
-                 exact_sum("ExciseTax").alias("TotalExciseTaxDollars")))
+    return states.sales_table(states.sales_states(sales))
 
 
 def inventory_metrics(inventory: DataFrame, purchase_prices: DataFrame,
@@ -99,7 +55,7 @@ def inventory_metrics(inventory: DataFrame, purchase_prices: DataFrame,
     including the fan-out of a Brand listed several times, but both sides are first reduced
     to one row per Brand (resp. per Brand and vendor).  The join then never multiplies raw
     rows, and a Brand that holds many inventory rows (one per store) is not a hot key."""
-    parts = micro_parts(F.col("onHand") * F.col("Price"))
+    parts = money_parts(F.col("onHand") * F.col("Price"))
     inv = (inventory.filter(F.col("Brand").isNotNull())
            .groupBy("Brand")
            .agg(F.sum("onHand").alias("_units"),
@@ -111,7 +67,7 @@ def inventory_metrics(inventory: DataFrame, purchase_prices: DataFrame,
     return (inv.join(links, "Brand", "inner")
             .groupBy("VendorNumber")
             .agg(F.sum(F.col("_units") * F.col("_links")).cast("double").alias(units),
-                 combine_micro(*[F.sum(F.col(f"_v{i}") * F.col("_links")) for i in range(3)])
+                 combine_money([F.sum(F.col(f"_v{i}") * F.col("_links")) for i in range(len(MONEY_PARTS))])
                  .alias(value)))
 
 
@@ -123,8 +79,8 @@ def inventory_metrics_both(begin_inventory: DataFrame, end_inventory: DataFrame,
     per Brand together, so the price list is scanned, reduced and joined once.  A snapshot a
     Brand is absent from contributes missing (not zero) sums, as a missing join row would."""
     def side(df: DataFrame, tag: str) -> DataFrame:
-        parts = micro_parts(F.col("onHand") * F.col("Price"))
-        cols = {f"_{t}{k}": F.lit(None).cast("long") for t in ("b", "e") for k in "u012"}
+        parts = money_parts(F.col("onHand") * F.col("Price"))
+        cols = {f"_{t}{k}": F.lit(None).cast("long") for t in ("b", "e") for k in ["u", *range(len(MONEY_PARTS))]}
         cols[f"_{tag}u"] = F.col("onHand").cast("long")
         cols.update({f"_{tag}{i}": p for i, p in enumerate(parts)})
         return df.filter(F.col("Brand").isNotNull()).select("Brand", *[v.alias(k) for k, v in
@@ -138,9 +94,9 @@ def inventory_metrics_both(begin_inventory: DataFrame, end_inventory: DataFrame,
     return (inv.join(links, "Brand", "inner")
             .groupBy("VendorNumber")
             .agg(per("_bu").cast("double").alias("BeginInventoryUnits"),
-                 combine_micro(*[per(f"_b{i}") for i in range(3)]).alias("BeginInventoryValue"),
+                 combine_money([per(f"_b{i}") for i in range(len(MONEY_PARTS))]).alias("BeginInventoryValue"),
                  per("_eu").cast("double").alias("EndInventoryUnits"),
-                 combine_micro(*[per(f"_e{i}") for i in range(3)]).alias("EndInventoryValue")))
+                 combine_money([per(f"_e{i}") for i in range(len(MONEY_PARTS))]).alias("EndInventoryValue")))
 
 
 def monthly_trends(purchases: DataFrame, date_from: str | dt.date = "2024-01-01",
@@ -148,39 +104,33 @@ def monthly_trends(purchases: DataFrame, date_from: str | dt.date = "2024-01-01"
     """Active vendors, units, spend and mean lead time per ``YYYY-MM`` in an inclusive date
     window, in month order (A6, P3, L6).  Lines without a receipt still count, except in the
     mean lead time."""
-    lo, hi = F.lit(date_from).cast("date"), F.lit(date_to).cast("date")
-    po = F.col("PODate").cast("date")
-    return (purchases
-            .filter(po.isNotNull() & (po >= lo) & (po <= hi))
-            .groupBy(year_month(po).alias("YearMonth"))
-            .agg(F.count_distinct("VendorNumber").alias("ActiveVendors"),
-                 F.sum("Quantity").cast("double").alias("MonthlyPurchasedUnits"),
-                 exact_sum("Dollars").alias("MonthlySpendDollars"),
-                 F.avg(days_between("PODate", "ReceivingDate")).alias("MonthlyAvgLeadTime"))
-            .orderBy("YearMonth"))
+    return states.month_table(states.purchase_states(purchases, ["month", "active"], date_from, date_to))
 
 
 def brand_summary(purchases: DataFrame) -> DataFrame:
     """Per-Brand description, vendor name and number (independent maxima), units, spend and
     mean price over all lines (A7).
 
-    Two aggregation levels, no join: first per (Brand, Description, VendorName) with
-    mergeable numeric partials (hash aggregate, map-side combine), then per Brand, where the
-    string maxima see one row per distinct combination instead of every line."""
-    combos = (purchases
-              .groupBy("Brand", "Description", "VendorName")
-              .agg(F.max("VendorNumber").alias("_vn"), F.sum("Quantity").alias("_q"),
-                   *_money_partials("Dollars", "_d"), *_money_partials("PurchasePrice", "_p")))
-    n_prices = F.sum("_pn")
-    return (combos
-            .groupBy("Brand")
-            .agg(F.max("Description").alias("Description"),
-                 F.max("VendorName").alias("VendorName"),
-                 F.max("_vn").alias("VendorNumber"),
-                 F.sum("_q").cast("double").alias("TotalPurchasedUnits"),
-                 _money_total("_d").alias("TotalSpendDollars"),
-                 F.when(n_prices > 0, _money_total("_p") / n_prices)
-                  .alias("AvgPurchasePrice")))
+    Two aggregation levels, no join: first per (Brand, Description, VendorName) with mergeable sums
+    (hash aggregate, map-side combine), then per Brand, where the string maxima, which Spark can only
+    aggregate by sorting, see one row per distinct combination instead of every line."""
+    return _as_in(purchases, states.brand_table(states.purchase_states(purchases, ["brand"])), "Brand", "VendorNumber")
+
+
+def purchase_tables(purchases: DataFrame, date_from: str | dt.date = "2024-01-01",
+                    date_to: str | dt.date = "2024-12-31", top: int = 100) -> dict[str, DataFrame]:
+    """Purchase metrics, monthly trends and top brands (A1, A6, A7, L5) from one scan of the purchases.
+
+    The states of all grains are stored once in the shared checkpoint folder; the three tables
+    are read from there."""
+    held = materialize(states.purchase_states(purchases, list(states.GRAINS), date_from, date_to), "purchase-states")
+    return tables_of(held, top)
+
+
+def tables_of(held: DataFrame, top: int = 100) -> dict[str, DataFrame]:
+    """The three tables of (stored, perhaps merged) purchase states."""
+    return {"purchase_metrics": with_late_rate(states.vendor_table(held)), "monthly_trends": states.month_table(held),
+            "top_brands": top_brands(states.brand_table(held), top)}
 
 
 def top_brands(purchases_or_brands: DataFrame, k: int = 100) -> DataFrame:

@@ -109,43 +109,56 @@ def vendor_tier(score: Column | str) -> Column:
     return expr.otherwise(LOWEST_TIER)
 
 
-def merged_metrics(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataFrame,
-                   begin_inventory: DataFrame, end_inventory: DataFrame,
-                   purchase_prices: DataFrame) -> tuple[DataFrame, dict]:
-    """A1 ⟕ A2 ⟕ A3 ⟕ (A4, A5) on VendorNumber, null-safe like a pandas merge (J3-J6), with the
-    defaults of K1 applied as ``coalesce`` expressions.  Returns the joined frame and the
-    metric columns by name (bound to their side of the join)."""
-    pm = purchase_metrics(purchases)
-    rights = [invoice_metrics(vendor_invoice), sales_metrics(sales),
-              inventory_metrics_both(begin_inventory, end_inventory, purchase_prices)]
-    joined = pm
-    for r in rights:
-        joined = joined.join(r, pm["VendorNumber"].eqNullSafe(r["VendorNumber"]), "left")
-    cols = {n: pm[n] for n in pm.columns}
-    for r in rights:
-        cols.update({n: r[n] for n in r.columns if n != "VendorNumber"})
-    cols = {k: F.coalesce(v, F.lit(FILL_DEFAULTS[k])) if k in FILL_DEFAULTS else v
-            for k, v in cols.items()}
-    return joined, cols
+#: The columns that each derived one is made of.
+_MADE_OF = {
+    "GrossProfitDollars": ("TotalSalesDollars", "TotalSpendDollars"),
+    "GrossMarginPct": ("GrossProfitDollars",), "FreightRatioPct": ("TotalFreightDollars", "TotalSpendDollars"),
+    "AvgInventoryValue": ("BeginInventoryValue", "EndInventoryValue"),
+    "InventoryTurnoverRatio": ("TotalSpendDollars", "AvgInventoryValue"), "DaysSalesOfInventory": ("InventoryTurnoverRatio",),
+    "LeadTimeScore": ("AvgLeadTimeDays", "LateDeliveryRate"), "MarginScore": ("GrossMarginPct",),
+    "FreightScore": ("FreightRatioPct",), "VolumeScore": ("TotalSpendDollars",),
+    "VPIScore": ("LeadTimeScore", "MarginScore", "FreightScore", "VolumeScore"), "VendorTier": ("VPIScore",),
+}
+_INVOICE = {"TotalFreightDollars", "TotalInvoiceDollars", "AvgPaymentLeadTimeDays"}
+_SALES = {"TotalUnitsSold", "TotalSalesDollars", "AvgSalesUnitPrice", "TotalExciseTaxDollars"}
+_INVENTORY = {"BeginInventoryUnits", "BeginInventoryValue", "EndInventoryUnits", "EndInventoryValue"}
 
 
-def vendor_summary(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataFrame,
-                   begin_inventory: DataFrame, end_inventory: DataFrame,
-                   purchase_prices: DataFrame, sort: bool = True,
-                   with_components: bool = False) -> DataFrame:
-    """The 32-column vendor scorecard (K0), highest spend first (L1; ties by VendorNumber).
+def needed_columns(columns: list[str]) -> set[str]:
+    """The columns and all that they are made of."""
+    todo, found = list(columns), set()
+    while todo:
+        c = todo.pop()
+        if c not in found:
+            found.add(c)
+            todo += _MADE_OF.get(c, ())
+    return found
+
+
+def scorecard_of(purchases: DataFrame, invoices: DataFrame | None, sales: DataFrame | None, inventory: DataFrame | None,
+                 columns: list[str] | None = None, sort: bool = True, with_components: bool = False) -> DataFrame:
+    """The scorecard from its metric tables: A1 ⟕ A2 ⟕ A3 ⟕ (A4, A5) on VendorNumber, null-safe like a
+    pandas merge (J3-J6), with the defaults of K1, the measures K2-K13, and the highest spend first
+    (L1; ties by VendorNumber).  A table that no wanted column needs may be None.
 
     Everything after the joins is one projection of composed expressions, so the driver
     builds and analyses the plan once rather than once per derived column."""
-    joined, c = merged_metrics(purchases, vendor_invoice, sales, begin_inventory,
-                               end_inventory, purchase_prices)
+    joined = purchases
+    c = {n: purchases[n] for n in purchases.columns}
+    for r in (invoices, sales, inventory):
+        if r is not None:
+            joined = joined.join(r, purchases["VendorNumber"].eqNullSafe(r["VendorNumber"]), "left")
+            c.update({n: r[n] for n in r.columns if n != "VendorNumber"})
+    c = {k: F.coalesce(v, F.lit(FILL_DEFAULTS[k])) if k in FILL_DEFAULTS else v for k, v in c.items()}
+    # Columns of an absent table are only named by measures that aren't selected.
+    absent = {n: F.lit(None).cast("double") for n in (*SUMMARY_COLUMNS, *FILL_DEFAULTS) if n not in c}
+    c = {**absent, **c}
     c.update(kpi_columns(c))
     comp = component_columns(c)
     c["VPIScore"] = vpi_column(comp)
     c["VendorTier"] = vendor_tier(c["VPIScore"])
-    if with_components:
-        c.update(comp)
-    names = SUMMARY_COLUMNS + (list(comp) if with_components else [])
+    c.update(comp)
+    names = list(columns or SUMMARY_COLUMNS) + (list(comp) if with_components else [])
     out = joined.select(*[c[n].alias(n) for n in names])
     if sort:
         out = out.orderBy(F.col("TotalSpendDollars").desc_nulls_last(),
@@ -153,12 +166,37 @@ def vendor_summary(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataF
     return out
 
 
+def vendor_summary(purchases: DataFrame, vendor_invoice: DataFrame, sales: DataFrame,
+                   begin_inventory: DataFrame, end_inventory: DataFrame,
+                   purchase_prices: DataFrame, sort: bool = True,
+                   with_components: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """The 32-column vendor scorecard (K0), highest spend first (L1; ties by VendorNumber).
+
+    ``columns`` asks for some of them only (sorted ones must hold the sort columns): metric tables, names and
+    distinct POs that they don't need are left out of the plan, which pruning alone can't do, as
+    left joins and grouping keys decide on rows."""
+    needed = needed_columns((columns or SUMMARY_COLUMNS)
+                            + (["LeadTimeScore", "MarginScore", "FreightScore", "VolumeScore"] if with_components else []))
+    pm = purchase_metrics(purchases, "TotalPOs" in needed, "VendorName" in needed)
+    inventory = (inventory_metrics_both(begin_inventory, end_inventory, purchase_prices) if needed & _INVENTORY else None)
+    return scorecard_of(pm, invoice_metrics(vendor_invoice) if needed & _INVOICE else None,
+                        sales_metrics(sales) if needed & _SALES else None, inventory, columns, sort, with_components)
+
+
 def vendor_summary_from(sources: dict[str, DataFrame], **kw) -> DataFrame:
     return vendor_summary(sources["purchases"], sources["vendor_invoice"], sources["sales"],
                           sources["begin_inventory"], sources["end_inventory"],
                           sources["purchase_prices"], **kw)
 
 
+# Columns that the consumers of a scorecard read.
+EXEC_COLUMNS = ["TotalSpendDollars", "TotalSalesDollars", "GrossProfitDollars", "TotalFreightDollars", "AvgLeadTimeDays",
+                "VendorTier"]
+HISTOGRAM_COLUMNS = ["AvgLeadTimeDays"]
+HISTORY_COLUMNS = ["VendorNumber", "AvgLeadTimeDays", "LateDeliveryRate", "VPIScore"]
+SCORE_COLUMNS = ["VendorNumber", "LeadTimeScore", "MarginScore", "FreightScore", "VolumeScore", "VPIScore", "VendorTier"]
+
+
 def vpi_components(vs_with_components: DataFrame) -> DataFrame:
     """Per-vendor component scores next to the final score and tier."""
     return vs_with_components.select("VendorNumber", "LeadTimeScore", "MarginScore",

@@ -1,8 +1,10 @@
 """The batch ETL job: inputs → scorecard, monthly trends, top brands, summary → stored tables.
 
-Lineage is cut twice with written tables: the purchases input is stored once as parquet
-(three aggregates and the training sample scan it), and downstream summaries read the stored
-scorecard back, so a lost executor re-reads files instead of re-running the whole job.
+Purchases are scanned once for the scorecard, the monthly trends and the top brands, whose states are
+stored (``purchase_tables``).  Lineage is cut there, at the purchases input, which is stored once as
+parquet (the training sample reads it too), and at the scorecard, which the summary reads back, so a
+lost executor re-reads files instead of re-running the whole job.  Result tables are new versions that
+replace the old ones when they are whole; what filters drop is counted in the same pass.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import (brand_summary, exec_summary, monthly_trends, top_brands, vendor_summary)
+from ..operators import (exec_summary, inventory_metrics_both, invoice_metrics, purchase_tables, sales_metrics,
+                         scorecard_of)
+from ..operators.dropped import counts_table, observed
 from ..sources import read_table, write_json, write_summary, write_tables
 
 
@@ -20,7 +24,7 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
             month_from: str = "2024-01-01", month_to: str = "2024-12-31",
             top_k: int = 100, json_dir: str | None = None,
             materialize_purchases: bool = True) -> dict[str, DataFrame]:
-    """Build and store ``vendor_summary``, ``monthly_trends``, ``top_brands`` and the
+    """Build and store ``vendor_summary``, ``monthly_trends``, ``top_brands``, ``filter_counts`` and the
     executive summary under ``out_dir``; returns the stored tables re-read (S4-S7).
 
     The purchases input is stored under ``out_dir`` as well, replacing the last run's copy, unless
@@ -29,15 +33,19 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     if materialize_purchases:
         write_tables({"purchases": purchases}, out_dir)
         purchases = read_table(spark, out_dir, "purchases")
-    vs = vendor_summary(purchases, sources["vendor_invoice"], sources["sales"],
-                        sources["begin_inventory"], sources["end_inventory"],
-                        sources["purchase_prices"])
+    lines, of_lines = observed(purchases, "purchases")
+    invoices, of_invoices = observed(sources["vendor_invoice"], "vendor_invoice")
+    found = purchase_tables(lines, month_from, month_to, top_k)
+    inventory = inventory_metrics_both(sources["begin_inventory"], sources["end_inventory"], sources["purchase_prices"])
     tables = {
-        "vendor_summary": vs,
-        "monthly_trends": monthly_trends(purchases, month_from, month_to),
-        "top_brands": top_brands(brand_summary(purchases), top_k),
+        "vendor_summary": scorecard_of(found["purchase_metrics"], invoice_metrics(invoices), sales_metrics(sources["sales"]),
+                                       inventory),
+        "monthly_trends": found["monthly_trends"],
+        "top_brands": found["top_brands"],
     }
     write_tables(tables, out_dir)
+    tables["filter_counts"] = counts_table(spark, {"purchases": of_lines, "vendor_invoice": of_invoices})
+    write_tables({"filter_counts": tables["filter_counts"]}, out_dir)
     stored = {k: read_table(spark, out_dir, k) for k in tables}
     summary = exec_summary(stored["vendor_summary"])
     write_summary(summary, out_dir)
@@ -50,7 +58,7 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
             "top_brands": [F.col("TotalSpendDollars").desc_nulls_last(),
                            F.col("Brand").asc_nulls_last()],
         }
-        for k, df in stored.items():
+        for k, df in ((k, stored[k]) for k in order):
             write_json(df.orderBy(*order[k]), os.path.join(json_dir, k))
     stored["exec_summary"] = summary
     stored["purchases"] = purchases

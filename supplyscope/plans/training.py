@@ -20,6 +20,7 @@ from pyspark.ml.regression import GBTRegressor
 from ..functions import days_between, month_of, weekday0
 from ..operators.sampling import sample_n, train_test_split
 from ..session import materialize
+from ..sources.versions import commit, current, names, new_version
 
 # Fixed values that must equal the original job ------------------------------------------
 FEATURES = ["VendorNumber", "Store", "Classification", "Quantity", "PurchasePrice", "Dollars",
@@ -188,29 +189,45 @@ def train_models(purchases: DataFrame, vs: DataFrame, n: int | None = SAMPLE_SIZ
 
 
 def save_models(models: dict, metrics: DataFrame | None, path: str) -> str:
-    """Both pipelines (feature list inside) and the metrics row, replacing what was there."""
+    """Both pipelines, the feature list and the metrics row as one artifact.
+
+    They are a new version under ``path``, committed when all of it is there: a reader gets the old
+    artifact or the new one, never parts of both, and a save that fails leaves the old one."""
+    spark = SparkSession.getActiveSession()
+    version = new_version(spark, path)
+    at = os.path.join(path, version)
     for k, m in models.items():
-        m.write().overwrite().save(os.path.join(path, k))
+        m.write().save(os.path.join(at, k))
     if metrics is not None:
-        metrics.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "metrics"))
+        metrics.coalesce(1).write.parquet(os.path.join(at, "metrics"))
+    manifest = [(sorted(models), FEATURES, metrics is not None)]
+    (spark.createDataFrame(manifest, MANIFEST).coalesce(1).write.json(os.path.join(at, "manifest")))
+    commit(spark, path, version)
     return path
 
 
-def load_models(spark: SparkSession, path: str) -> tuple[dict, DataFrame | None]:
-    """Load both pipelines that ``save_models`` wrote, and the metrics row if it was saved.
+MANIFEST = "models array<string>, features array<string>, metrics boolean"
 
-    A pipeline that is absent or unreadable raises, with its path in the message."""
+
+def load_models(spark: SparkSession, path: str) -> tuple[dict, DataFrame | None]:
+    """Load the artifact that ``save_models`` committed last, and its metrics row if it was saved.
+
+    A pipeline that is absent or unreadable raises, with its path in the message, and so does an artifact
+    whose models were fitted on other features than this code prepares."""
+    at = current(spark, path)
+    saved = names(spark, os.path.join(at, "manifest"))
+    manifest = spark.read.schema(MANIFEST).json(os.path.join(at, "manifest")).first() if saved else None
+    if manifest is not None and list(manifest.features) != FEATURES:
+        raise ValueError(f"the models at {at} take the features {list(manifest.features)}, not {FEATURES}")
     models = {}
     for k in ("reg", "cls"):
-        where = os.path.join(path, k)
+        where = os.path.join(at, k)
         try:
             models[k] = PipelineModel.load(where)
         except Exception as e:
             raise FileNotFoundError(f"no saved model can be read at {where}") from e
-    where = os.path.join(path, "metrics")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(where)
-    saved = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return models, spark.read.parquet(where) if saved else None
+    where = os.path.join(at, "metrics")
+    return models, spark.read.parquet(where) if names(spark, where) else None
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import exact_sum
+from .versions import current
 
 # Driver (star-schema) tables read by the stand-in views, with the columns they use.  Declaring
 # the read schema skips the footer-reading inference job per table and prunes at the scan.
@@ -244,10 +245,10 @@ def fixture_etl_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame
 def read_table(spark: SparkSession, path: str, name: str, columns: list[str] | None = None,
                fmt: str = "parquet") -> DataFrame:
     """Re-read a stored result table whole (S7) or projected (S8; pruned at the scan)."""
-    df = spark.read.format(fmt).load(os.path.join(path, name))
+    df = spark.read.format(fmt).load(current(spark, os.path.join(path, name)))
     return df.select(*columns) if columns else df
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Re-read the stored executive summary."""
-    return spark.read.schema(schemas.EXEC_SUMMARY).json(os.path.join(path, "exec_summary"))
+    return spark.read.schema(schemas.EXEC_SUMMARY).json(current(spark, os.path.join(path, "exec_summary")))

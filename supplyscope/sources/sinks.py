@@ -6,20 +6,17 @@ import os
 
 from pyspark.sql import DataFrame
 
+from .versions import write_version
+
 
 def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
                  partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
-    """Write each table to ``<path>/<name>``, replacing what was there."""
-    out = {}
-    for name, df in tables.items():
-        target = os.path.join(path, name)
-        w = df.write.mode("overwrite").format(fmt)
-        cols = (partition_by or {}).get(name)
-        if cols:
-            w = w.partitionBy(*cols)
-        w.save(target)
-        out[name] = target
-    return out
+    """Write each table as a new version of ``<path>/<name>``, which replaces the one before.
+
+    Readers (``read_table``) have the old table until the new one is whole; a write that fails
+    changes nothing for them.  Returns the folder of each new version."""
+    return {name: write_version(df, os.path.join(path, name), fmt, (partition_by or {}).get(name))
+            for name, df in tables.items()}
 
 
 def write_json(df: DataFrame, path: str) -> str:
@@ -31,7 +28,5 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 def write_summary(summary: DataFrame, path: str) -> str:
-    """Write the one-row executive summary as a single JSON object."""
-    target = os.path.join(path, "exec_summary")
-    summary.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(target)
-    return target
+    """Write the one-row executive summary as a single JSON object, as a new version like a table."""
+    return write_version(summary.coalesce(1), os.path.join(path, "exec_summary"), "json", ignoreNullFields=False)
