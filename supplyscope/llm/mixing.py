@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from supplyscope.llm import textops as T
 
-#: No source is repeated more often than this.
+#: No source is repeated more often than this, whatever the budget (unless an entropy is asked for).
 REPETITION = 2.0
 SEED = 20240
 _CUTS = 16
@@ -60,8 +60,10 @@ def _bisect(sources: DataFrame, repetition: float | None, entropy: float | None)
     lo, hi = 0.0, 1.0
     for _ in range(_ROUNDS):
         cuts = [lo + (hi - lo) * i / _CUTS for i in range(_CUTS + 1)]
-        sums = sources.agg(*[F.sum(F.pow(share, F.lit(a))).alias(f"z{i}") for i, a in enumerate(cuts)],
-                           *[F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"l{i}") for i, a in enumerate(cuts)]).first()
+        # The repetition follows from the largest and the smallest source, the entropy from sums over all.
+        sums = None if repetition is not None else sources.agg(
+            *[F.sum(F.pow(share, F.lit(a))).alias(f"z{i}") for i, a in enumerate(cuts)],
+            *[F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"l{i}") for i, a in enumerate(cuts)]).first()
 
         def kept(i: int) -> bool:
             if repetition is not None:
@@ -96,6 +98,10 @@ def plan(thin: DataFrame, repetition: float | None = REPETITION, entropy: float
     z = counted.agg(F.sum(power)).first()[0] or 1.0
     # The least budget that uses every document: that of the largest source's own tokens.
     full = float(budget) if budget is not None else top * z
+    if entropy is None and repetition is not None:
+        # A budget beyond what the limit allows is lowered: the most repeated source is repeated as often as it may be.
+        most = counted.agg(F.max(power / F.lit(z) / F.col("tokens"))).first()[0]
+        full = min(full, repetition / most) if most else full
     repeats = F.when(F.col("tokens") > 0, F.lit(full) * power / F.lit(z) / F.col("tokens")).otherwise(F.lit(1.0))
     quota = (sources.withColumn("weight", F.when(F.col("tokens") > 0, power / F.lit(z)).otherwise(F.lit(0.0)))
              .withColumn("repeats", repeats)
