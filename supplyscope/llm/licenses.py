@@ -12,7 +12,9 @@ both shingles of every window as they are, so it isn't missed at all.
 
 Windows with a band key of any template are few; they meet the templates in a join by band key, and the
 text around the window (as many shingles as the longest template has, on both sides) is checked for the
-exact share of the template's shingles, which must reach ``CONTAINMENT``.
+exact share of the template's shingles, which must reach ``CONTAINMENT``.  Templates that share much of their
+text (``SIBLINGS``; versions of one notice) can both reach it at the same place; of those that do, the place
+counts for the ones with the largest share alone, so a notice of one version isn't one of another.
 
 Defined results: null and empty texts and texts of fewer than five words match nothing; one row for each
 doc_id and template, with the largest containment and the first word of its first window; rows that
@@ -25,13 +27,15 @@ fixed and few, so that Spark broadcasts their table by its size; matches are pre
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS = 5
 BANDS = 10
 SHORT = 2
 CONTAINMENT = 0.8
+#: Templates are siblings if they share so much of the shorter one's shingles.
+SIBLINGS = 0.5
 
 # Short standard notices by license.
 TEMPLATES = [
@@ -91,6 +95,17 @@ def templates(spark: SparkSession) -> DataFrame:
                               F.expr(f"transform(filter(sh, x -> size(sh) <= {SHORT}), x -> struct({BANDS} AS band, x AS key))"))).alias("keys"))
 
 
+def families(sets: list[set[int]]) -> list[int]:
+    """The family of each template: the first of those that siblings connect it with."""
+    family = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= SIBLINGS * min(len(a), len(b)):
+                old, new = max(family[i], family[j]), min(family[i], family[j])
+                family = [new if f == old else f for f in family]
+    return family
+
+
 def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, template, license, containment and word (place of the first matching window's first word)."""
     spark = docs.sparkSession
@@ -116,7 +131,13 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     bands = templates(spark).select("template", "license", F.col("sh").alias("t_sh"), F.inline("keys"))
     met = each.join(bands, ["band", "key"])
     share = F.size(F.array_intersect("around", "t_sh")) / F.size("t_sh")
-    return (met.withColumn("containment", share).where(F.col("containment") >= containment)
+    family = F.array(*[F.lit(f) for f in families([set(t["sh"]) for t in sorted(known, key=lambda t: t["template"])])])
+    # One row for each place (a text's hash tells repeated doc_ids apart) and template, added up before the shuffle.
+    found = (met.withColumn("containment", share).where(F.col("containment") >= containment)
+             .groupBy("doc_id", "j", F.xxhash64("around").alias("place"), "template", "license")
+             .agg(F.max("containment").alias("containment")).withColumn("family", family[F.col("template")]))
+    at_place = Window.partitionBy("doc_id", "j", "place", "family")  # at most the templates of a family
+    return (found.withColumn("most", F.max("containment").over(at_place)).where("containment = most")
             .groupBy("doc_id", "template", "license", "containment").agg(F.min("j").alias("word"))
             .groupBy("doc_id", "template", "license").agg(
                 F.max(F.struct("containment", (-F.col("word")).alias("word"))).alias("m"))

@@ -64,6 +64,56 @@ def test_mixing_with_a_budget_and_an_entropy(spark):
     assert mixing.schedule(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("budget", [100.0, 3060.0, 12_000.0])
+def test_no_budget_breaks_the_repetition_limit(spark, budget):
+    rows = [(i, "w " * 30, "en", "large", 0) for i in range(100)] + [(1000 + i, "w " * 20, "en", "small", 0) for i in range(3)]
+    out = mixing.schedule(spark.createDataFrame(rows, DOCS), budget=budget).select("doc_id", "source", "mix.n_tokens").toPandas()
+    assert out.n_tokens.sum() <= budget
+    assert out.groupby("doc_id").size().max() <= mixing.REPETITION
+    # A budget that the limit can't meet is lowered to the largest that it can.
+    if budget == 12_000.0:
+        assert (out.groupby("doc_id").size()[1000:] == 2).all()
+
+
+def permutation_brute(rows, spark, quotas):
+    """The copies of each document: whole epochs, then the last one's in order of their keys while they fit."""
+    from collections import Counter
+    df = spark.createDataFrame(rows, DOCS)
+    h = F.xxhash64(*df.columns)
+    keyed = df.select("doc_id", "source", mixing.n_words(F.col("text")).alias("t"),
+                      *[mixing._key(h, F.lit(e), mixing.SEED).alias(f"e{e}") for e in range(4)]).collect()
+    copies = Counter()
+    for source, repeats in quotas.items():
+        mine = [r for r in keyed if r.source == source]
+        epochs = int(repeats + 1e-9)
+        left = (repeats - epochs) * sum(r.t for r in mine)
+        copies.update({r.doc_id: epochs for r in mine if epochs})
+        for r in sorted(mine, key=lambda r: r[f"e{epochs}"]):
+            if r.t > left:
+                break
+            left -= r.t
+            copies[r.doc_id] += 1
+    return copies
+
+
+def test_mixing_takes_the_documents_that_the_permutation_names(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["w"] * rnd.randrange(1, 30)), "en", "a" if i < 200 else "b" if i < 260 else "c", 0) for i in range(290)]
+    tokens = {}
+    for r in rows:
+        tokens[r[3]] = tokens.get(r[3], 0) + len(r[1].split())
+    top, low = max(tokens.values()), min(tokens.values())
+    for budget in (None, 1500.0):
+        power = 1 - np.log(mixing.REPETITION) / np.log(top / low)
+        z = sum((t / top) ** power for t in tokens.values())
+        full = budget or top * z
+        want = permutation_brute(rows, spark, {s: full * (t / top) ** power / z / t for s, t in tokens.items()})
+        got = mixing.schedule(spark.createDataFrame(rows, DOCS), budget=budget).groupBy("doc_id").count().collect()
+        # The exponent is known to 16**-7, which may decide on one document a source.
+        other = {r.doc_id: r["count"] for r in got}
+        assert sum(abs(other.get(i, 0) - want.get(i, 0)) for i in range(290)) <= 3
+
+
 def test_words_are_counted_like_split(spark):
     texts = [None, "", " ", "a", " a  b\tc\n", "x\x0by"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.n_words(F.col("t")).alias("n")).collect()
