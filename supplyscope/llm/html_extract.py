@@ -4,14 +4,18 @@ A page is read into a tree of its block elements and a list of text runs in page
 text of one block between two block boundaries; inline elements only mark link text).  Elements that
 never hold the article are left out with all they hold: scripts, styles, forms, menus, page headers,
 footers, sidebars, hidden parts, and elements whose class, id or role names such a part, unless a name says
-that they are content or they hold the page's only article, main or h1 element.  Then
+that they are content or they hold the page's only article, main or h1 element.  Within an article or main
+element only a class or role that is such a part's name and nothing else counts (ids may be anchors of
+sections), for headings and paragraphs only that of an advert, comment or consent notice.  A form is left out
+like a named part, so not where it holds the article or outscores the rest of the page.  Then
 
 1. each run of 25 characters or more gets points: one, one for each comma, and one for each 100
    characters up to three, less the share of its characters that are links;
 2. the points go to the block that holds the paragraph, half of them to that one's parent, and less
    to the next ancestors; a container's sum is discounted by its own share of link characters;
 3. the best container is kept (the article or main element around it, if there is one; else the largest one
-   around it whose other parts are no menus), and of its siblings those with a fifth of its score, paragraphs that
+   around it whose other parts are no menus), and beside an article the articles next to it that aren't mostly links; of
+   other containers' siblings those with a fifth of its score, paragraphs that
    read like text, what lies between these and isn't mostly links, and headings, lists and short paragraphs
    right before them;
 4. parts of them that are mostly links are left out at the end and, without an article or main element, at the start.
@@ -25,12 +29,14 @@ the page; text without any markup is one block.  If the class names would leave
 read again without them; if the largest part that they leave out has more points than all that is left of a page without
 an article or main element, it is kept (not advertisements, comments and cookie notices).  Repeated rows give repeated rows; an empty table gives an empty result.
 
-Scale: one pass, no shuffle; a task holds one page's tree.
+Scale: one pass, no shuffle; a task holds one page's tree, which is built and scored in time that grows with the
+page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,7 +49,7 @@ from supplyscope.llm import textops as T
 # Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea iframe title svg object annotation annotation-xml noembed noframes xmp".split())
-INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s
+INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s
 samp small span strike strong sub sup time tt u var wbr nobr center math semantics mrow mi mn mo ms mtext mspace
 mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts
 mtable mtr mtd""".split()) - {"center"}
@@ -53,7 +59,7 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: What is kept right before the first kept block.
 BEFORE = HEADINGS | set("p pre blockquote ul ol dl hgroup".split())
 #: Elements that never hold the article.
-NEVER = set("nav footer aside form button select option menu dialog fieldset head datalist audio video canvas map".split())
+NEVER = set("nav footer aside label button select option menu dialog fieldset head datalist audio video canvas map".split())
 CLOSES_P = set("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul""".split())
 #: A start tag of the first kind ends an open element of the second, unless one of the third is in between.
@@ -74,6 +80,13 @@ NOT_NAMING = {"has", "with", "no", "without"}
 #: Parts that are left out by name, however much text they have.
 SURE_PARTS = set("""ad ads advert adverts advertisement advertising adsense outbrain taboola sponsor sponsored comment comments
 commentlist replies respond disqus cookie cookies consent gdpr""".split())
+#: What names leave out within an article or main element too, as a class of nothing but such words.
+INSIDE_PARTS = SURE_PARTS | set("""alert banner breadcrumb breadcrumbs dialog infobar menu modal nav navbar navigation newsletter
+notification notifications pager pagination paywall popup promo promotion recommended related share sharing sidebar signup
+social subscribe subscription toolbar tooltip widget widgets""".split())
+#: Words that tell where or how a part is laid out, not what it is.
+LAYOUT = set("""area bar block bottom box button buttons card col column container content group header inner item items left line
+link links list panel right row section slot top unit wrap wrapper""".split())
 #: Points of a part left out by name that is taken for the article if all else has fewer.
 LEAST_PART = 5.0
 
@@ -87,19 +100,21 @@ LEAST_RUN = 25
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "good", "named", "sure", "score", "chars", "links")
+    __slots__ = ("tag", "parent", "dropped", "good", "named", "sure", "score", "chars", "links", "outer", "mark")
 
     def __init__(self, tag, parent, dropped, good, named=False, sure=False):
         self.tag, self.parent, self.dropped, self.good, self.named, self.sure = tag, parent, dropped, good, named, sure
         self.score, self.chars, self.links = 0.0, 0, 0
+        self.outer = self.mark = None
 
 
-def _marks(attributes: str) -> tuple[set[str], bool, bool]:
-    """Words of class, id and role, whether the element is hidden, and whether a name says that it is content.
+def _marks(attributes: str) -> tuple[set[str], bool, bool, bool]:
+    """Words of class, id and role, whether the element is hidden, whether a name says that it is content, and
+    whether a class or role is nothing but the name of another part (an id may be a section's anchor).
 
     A name is what its last word says (``main-content``, but not ``content-ads``); a header is part of what it heads."""
     words: set[str] = set()
-    hidden = content = False
+    hidden = content = bare = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
@@ -107,6 +122,8 @@ def _marks(attributes: str) -> tuple[set[str], bool, bool]:
                 own = _WORD.findall(token)
                 own = own[:next((i for i, w in enumerate(own) if w in NOT_NAMING), len(own))]
                 words.update(own)
+                bare |= name != "id" and (bool(own) and own[-1] in SURE_PARTS or not INSIDE_PARTS.isdisjoint(own)
+                                          and (INSIDE_PARTS | LAYOUT).issuperset(own))
                 content |= bool(own) and (own[-1] in CONTENT or own[-1] == "header" and not CONTENT.isdisjoint(own))
         elif name == "hidden":
             hidden |= value.lower() != "until-found"
@@ -114,13 +131,14 @@ def _marks(attributes: str) -> tuple[set[str], bool, bool]:
             hidden |= value.lower() == "true"
         else:
             hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-    return words, hidden, content
+    return words, hidden, content, bare
 
 
 def _read(html: str, by_names: bool) -> tuple[list[_Element], list[tuple[_Element, str, int]]]:
     """The elements, parents first, and the runs (element, text, link characters) outside dropped ones."""
     root = _Element("#page", None, False, False)
     elements, stack, runs = [root], [root], []
+    places: dict[str, list[int]] = {}  # places of open elements by tag, so that none is searched for
     texts: list[tuple[str, bool]] = []
     link = 0
 
@@ -140,9 +158,15 @@ def _read(html: str, by_names: bool) -> tuple[list[_Element], list[tuple[_Elemen
     def pop_to(i: int):
         nonlocal link
         end_run()
+        for e in stack[i:]:
+            places[e.tag].pop()
         del stack[i:]
         link = 0
 
+    def last(tags) -> int:
+        """The place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     at = 0
     while (m := _TOKEN.search(html, at)) is not None:
         add(html[at:m.start()])
@@ -157,7 +181,7 @@ def _read(html: str, by_names: bool) -> tuple[list[_Element], list[tuple[_Elemen
             elif tag == "br":
                 add(" ")
             elif tag not in INLINE:
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+                i = last((tag,))
                 if i:
                     pop_to(i)
             continue
@@ -176,35 +200,34 @@ def _read(html: str, by_names: bool) -> tuple[list[_Element], list[tuple[_Elemen
         if tag in INLINE:
             continue
         if tag in CLOSES_P:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("p", "td", "th", "button", "table")), 0)
+            i = last(("p", "td", "th", "button", "table"))
             if i and stack[i].tag == "p":
                 pop_to(i)
         if tag in ENDS:
             ended, barrier = ENDS[tag]
-            low = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in barrier:
-                    break
-                if stack[i].tag in ended:
-                    low = i
+            above = last(barrier)
+            low = min((places[t][i] for t in ended if places.get(t) and (i := bisect_right(places[t], above)) < len(places[t])),
+                      default=0)
             if low:
                 pop_to(low)
         if tag in VOID:
             end_run()
             continue
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         end_run()
         parent = stack[-1]
-        inside = any(e.tag in ("article", "main") for e in stack) if tag == "header" else False
+        inside = last(("article", "main")) > 0
         dropped = parent.dropped or tag in NEVER or (tag == "header" and not inside)
-        good = named = sure = False
+        good = sure = False
+        named = tag == "form"  # left out, unless it holds the article (a template may wrap the whole page in one)
         if not dropped and attributes:
-            words, hidden, content = _marks(attributes)
+            words, hidden, content, bare = _marks(attributes)
             parts = words & OTHER_PARTS
-            if "header" in parts and any(e.tag in ("article", "main") for e in stack):
-                parts.remove("header")
-            named = by_names and bool(parts) and not content and tag not in ("html", "body", "main", "header")
+            if inside:
+                # Within the article only by a class that is a part's name, and no heading or paragraph but adverts.
+                parts = parts & (SURE_PARTS if tag in PARAGRAPH else INSIDE_PARTS) if bare else set()
+            named = named or by_names and bool(parts) and not content and tag not in ("html", "body", "main", "header")
             if tag == "article" and not words & {"comment", "comments", "sponsored", "ad", "promo", "related"}:
                 named = False
             dropped = hidden
@@ -212,6 +235,7 @@ def _read(html: str, by_names: bool) -> tuple[list[_Element], list[tuple[_Elemen
             good = bool(words & CONTENT)
         element = _Element(tag, parent, dropped, good, named, sure)
         elements.append(element)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(element)
     add(html[at:])
     end_run()
@@ -245,34 +269,32 @@ def _without_named(elements: list[_Element], runs: list[tuple[_Element, str, int
         if all(around):
             for e in (e for found in around for e in found if not e.sure or tags != ("h1",)):
                 e.named = False
+    # The outermost named element around each (parents first), whether a sure one is around, and an article.
+    for e in elements:
+        up = e.parent
+        e.outer = up.outer if up is not None and up.outer is not None else e if e.named else None
+        around_sure, around_article = up.mark if up is not None else (False, False)
+        e.mark = (around_sure or e.named and e.sure, around_article or e.tag in ("article", "main"))
     left, parts = 0.0, {}
     bounded = False
     for element, text, links in runs:
-        found = _named_around(element)
         points = _points(text, links)
-        if not found:
+        sure, within = element.mark
+        if element.outer is None:
             left += points
-            bounded = bounded or _within_tag(element, ("article", "main"))
-        elif not any(e.sure for e in found):
-            outer, before = parts.get(id(found[-1]), (found, 0.0))
-            parts[id(found[-1])] = outer, before + points
+            bounded = bounded or within
+        elif not sure:
+            outer, before = parts.get(id(element.outer), (element.outer, 0.0))
+            parts[id(element.outer)] = outer, before + points
     if parts and not bounded:
         found, points = max(parts.values(), key=lambda x: x[1])
         if points >= LEAST_PART and points > left:
-            found[-1].named = False
+            found.named = False
     for e in elements:  # parents first
         e.dropped = e.dropped or e.named or (e.parent is not None and e.parent.dropped)
     return elements, [r for r in runs if not r[0].dropped]
 
 
-def _within_tag(element: _Element | None, tags: tuple[str, ...]) -> bool:
-    while element is not None:
-        if element.tag in tags:
-            return True
-        element = element.parent
-    return False
-
-
 def _holder(element: _Element) -> _Element:
     """The container that a run's points go to."""
     while element.tag in PARAGRAPH and element.parent is not None:
@@ -280,27 +302,29 @@ def _holder(element: _Element) -> _Element:
     return element
 
 
-def _within(element: _Element | None, chosen: set[int]) -> bool:
-    while element is not None:
-        if id(element) in chosen:
-            return True
-        element = element.parent
-    return False
+def _inside(elements: list[_Element], chosen: set[int]) -> set[int]:
+    """The chosen elements and all below them."""
+    found = set()
+    for e in elements:  # parents first
+        if id(e) in chosen or e.parent is not None and id(e.parent) in found:
+            found.add(id(e))
+    return found
 
 
 def _choose(elements: list[_Element], runs: list[tuple[_Element, str, int]]) -> set[int]:
     """The elements whose text is kept."""
     for element, text, links in runs:
         points = _points(text, links)
-        holder, level = _holder(element), 0
-        e = element
-        while e is not None:
-            e.chars += len(text)
-            e.links += links
-            e = e.parent
+        element.chars += len(text)
+        element.links += links
+        holder, level = _holder(element) if points else None, 0
         while holder is not None and points and level < 5:
             holder.score += points / (1, 2, 6, 9, 12)[level]
             holder, level = holder.parent, level + 1
+    for e in reversed(elements):  # children first
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.links += e.links
 
     def score(e: _Element) -> float:
         own = e.score + (5 if e.good and e.score else 0)
@@ -326,25 +350,25 @@ def _choose(elements: list[_Element], runs: list[tuple[_Element, str, int]]) ->
     while around is None and best.parent is not None and best.tag != "body" \
             and not any(dense(e) for e in children[id(best.parent)] if e is not best):
         best = best.parent
+    if around is not None and around.tag == "article" and around.parent is not None:
+        # A page of several articles, side by side; not lists of links to others.
+        return {id(e) for e in children[id(around.parent)] if e is around or e.tag == "article" and not dense(e)}
     if best.parent is None or best.tag in ("body", "main"):
         return {id(best)}
     least, row = max(10.0, 0.2 * score(best)), children[id(best.parent)]
     kept = [e is best or score(e) >= least and not dense(e) or e.tag == "p" and e.links < 0.25 * e.chars and e.chars > 80
             for e in row]
     first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
-    headed = {id(a) for e in elements if e.tag in HEADINGS and e.chars for a in _up(e)}
+    headed = set()
+    for e in reversed(elements):  # children first
+        if e.chars and e.tag in HEADINGS or id(e) in headed:
+            headed.add(id(e))
+            headed.add(id(e.parent))
     while around is None and first and not dense(row[first - 1]) and (row[first - 1].tag in BEFORE or id(row[first - 1]) in headed):
         first -= 1
     return {id(e) for e, k in zip(row[first:last + 1], kept[first:last + 1]) if k or not dense(e)}
 
 
-def _up(element: _Element | None) -> Iterator[_Element]:
-    """The element and its ancestors."""
-    while element is not None:
-        yield element
-        element = element.parent
-
-
 def extract(html: str | None) -> str:
     """The main text of a page: its blocks in page order, joined by two line ends."""
     if not html:
@@ -356,12 +380,14 @@ def extract(html: str | None) -> str:
     else:
         return ""
     chosen = _choose(elements, runs)
-    kept = [r for r in runs if _within(r[0], chosen)]
+    inside = _inside(elements, chosen)
+    kept = [r for r in runs if id(r[0]) in inside]
     # Parts that are mostly links at the end (lists of related pages, shares, tags), or before all else on pages
     # without an article; those between are part of the text.
     menus = {id(e) for e in elements if e.tag in ("ul", "ol", "dl", "table", "div", "section") and id(e) not in chosen
              and e.chars and e.links > 0.5 * e.chars}
-    prose = [i for i, (element, _, _) in enumerate(kept) if not menus or not _within(element, menus)]
+    listed = _inside(elements, menus) if menus else set()
+    prose = [i for i, (element, _, _) in enumerate(kept) if id(element) not in listed]
     if prose:
         bounded = any(e.tag in ("article", "main") for e in elements if id(e) in chosen)
         kept = kept[0 if bounded else prose[0]:prose[-1] + 1]

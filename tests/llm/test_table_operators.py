@@ -166,6 +166,33 @@ def test_html_names_do_not_drop_the_article(html, text):
     assert html_extract.extract(html.format(LONG)) in (text.format(LONG.strip()), text.format(LONG.strip()).removeprefix("Some run\n\n"))
 
 
+@pytest.mark.parametrize("html, text", [
+    # Ids and classes of sections and headings within an article are no parts of the page.
+    ('<article><h2 id="login">H</h2><p>{0}<h2 id="social">I</h2><p>{0}</article>', "H\n\n{0}\n\nI\n\n{0}"),
+    ('<article><p id="legal">{0}<section id="search"><p>{0}</section></article>', "{0}\n\n{0}"),
+    ('<article><section class="copyright-law"><p>{0}</section><div class="legal"><p>{0}</div></article>', "{0}\n\n{0}"),
+    ('<article><p class="notice">{0}<p class="ad">Buy, buy, buy, buy, buy, buy, buy, buy!<div class="share-buttons">Tell others</div></article>', "{0}"),
+    ('<main><p>{0}<div class="newsletter box"><p>{0}</div><div id="related"><p>{0}</div></main>', "{0}\n\n{0}"),
+    # A form around the page, and forms within it.
+    ('<body><form action="/x"><nav>Home</nav><article><h1>T</h1><p>{0}</article><input><button>Go</button></form>', "T\n\n{0}"),
+    ('<body><form action="/x"><div><h1>T</h1><p>{0}<p>{0}</div><label>Your name</label><button>Go</button></form>', "T\n\n{0}\n\n{0}"),
+    ('<article><p>{0}<form><label>Mail</label><p>Write to us, please.</form></article>', "{0}"),
+    # Several articles of a page; not lists of links.
+    ('<main><article><h1>A</h1><p>{0}</article><article><h1>B</h1><p>Short.</article></main>', "A\n\n{0}\n\nB\n\nShort."),
+    ('<main><article><p>{0}</article><article><a href=1>Another one</a></article></main>', "{0}"),
+])
+def test_html_keeps_what_an_article_holds(html, text):
+    assert html_extract.extract(html.format(LONG)) == text.format(LONG.strip())
+
+
+@pytest.mark.parametrize("open_, close", [("<div>", ""), ("<div><p>some words here", ""), ("<table><tr><td>", ""), ("<ul><li>a", ""), ("<div>a", "</div>")])
+def test_html_takes_time_in_proportion_to_the_page(open_, close):
+    import time
+    start = time.process_time()
+    html_extract.extract((open_ + "x") * 16_000 + LONG + close * 16_000)
+    assert time.process_time() - start < 4  # 60 s and more if each element walked up the tree
+
+
 MENU = "<ul><li><a href=1>One page</a><li><a href=2>Another page</a></ul>"
 
 
