@@ -30,6 +30,7 @@ hundred numbers), and the sample's doc_ids are a bounded table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,8 @@ BITS = 20
 #: Bound of the labelled documents that the model is fitted on.
 MAX_LABELLED = 10_000
 MIN_DOCUMENTS = 4
+#: Labelled documents whose features are worked on together.
+BLOCK_ROWS = 1000
 #: Bytes of the word beginnings that are features beside the whole words.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 #: Steps with the penalty and, for the picked features alone, without.
@@ -126,14 +129,20 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     top = int(grades.max()) if len(grades) else 0
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(max(top, 2), -np.inf))
-    index = np.concatenate(rows)
-    seen = np.bincount(index, minlength=1 << BITS)
-    column = np.full(1 << BITS, -1)
+    # Blocks of rows: what a step needs beside the features themselves is then one block's only.
+    groups = [(i, rows[i:i + BLOCK_ROWS]) for i in range(0, len(rows), BLOCK_ROWS)]
+    seen = np.zeros(1 << BITS, np.int64)
+    for _, group in groups:
+        seen += np.bincount(np.concatenate(group), minlength=1 << BITS)
+    column = np.full(1 << BITS, -1, np.int32)
     used = np.flatnonzero(seen >= MIN_DOCUMENTS)
     column[used] = np.arange(len(used))
-    index = column[index]
-    held = index >= 0
-    row, index = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[held], index[held]
+    blocks = []
+    for i, group in groups:
+        index = column[np.concatenate(group)]
+        held = index >= 0
+        row = np.repeat(np.arange(i, i + len(group), dtype=np.int32), [len(r) for r in group])
+        blocks.append((row[held], index[held]))
     n = len(rows)
     weights = np.zeros(len(used))
     # Start at the thresholds that give the shares of the grades without any feature.
@@ -146,14 +155,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     # First with the penalty, which picks the features; then those alone, with a small square penalty.
     for penalty, shrink, rounds in ((PENALTY, 0.0, ROUNDS), (0.0, SHRINK, MORE_ROUNDS)):
         if shrink:
-            picked = weights[index] != 0
-            row, index = row[picked], index[picked]
+            blocks = [(row[picked], index[picked]) for row, index in blocks for picked in [weights[index] != 0]]
         first, second = (np.zeros(len(used) + top) for _ in range(2))
         free = weights != 0 if shrink else np.ones(len(used), bool)
         for t in range(1, rounds + 1):
             gaps = np.exp(steps[1:])
             thresholds = np.concatenate([steps[:1], steps[0] + np.cumsum(gaps)])
-            score = np.bincount(row, weights[index], n)
+            score = np.zeros(n)
+            for row, index in blocks:
+                score += np.bincount(row, weights[index], n)
             upper = np.concatenate([thresholds, [np.inf]])[grades] - score
             lower = np.concatenate([[-np.inf], thresholds])[grades] - score
             a, b = _sigmoid(upper), _sigmoid(lower)
@@ -162,8 +172,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
             by_upper, by_lower = -a * (1 - a) / p / n, b * (1 - b) / p / n
             by_threshold = (np.bincount(grades, by_upper, top + 1)[:top] + np.bincount(grades, by_lower, top + 1)[1:])
             later = np.cumsum(by_threshold[::-1])[::-1]
-            gradient = np.concatenate([np.bincount(index, by_score[row], len(used)) + shrink * weights,
-                                       later[:1], later[1:] * gaps])
+            by_weight = shrink * weights
+            for row, index in blocks:
+                by_weight = by_weight + np.bincount(index, by_score[row], len(used))
+            gradient = np.concatenate([by_weight, later[:1], later[1:] * gaps])
             first = 0.9 * first + 0.1 * gradient
             second = 0.999 * second + 0.001 * gradient ** 2
             rate = RATE / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-9)
@@ -212,9 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     # The sample has at most ``most`` rows of two numbers, small enough for Spark to broadcast it by its size.
     sample = (texts.join(chosen, "doc_id").select("doc_id", "grade", "text")
               .mapInArrow(featured, "doc_id long, grade int, features binary"))
-    rows = sorted((r["doc_id"], r["grade"], bytes(r["features"])) for r in sample.collect())
-    return fit([np.frombuffer(f, "<i4") for _, _, f in rows],
-               np.array([g for _, g, _ in rows], np.int64))
+    rows = sample.collect()
+    # Equal keys have equal features, or their order makes no difference worth a copy of all.
+    rows.sort(key=lambda r: (r["doc_id"], r["grade"], len(r["features"]), zlib.crc32(r["features"])))
+    return fit([np.frombuffer(r["features"], "<i4") for r in rows], np.array([r["grade"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", grade: str = "expected_grade",
