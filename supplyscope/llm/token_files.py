@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,12 @@ LAYOUT = [(1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
           (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNTS = np.array([n for n, _ in LAYOUT], np.int64)
 SECTION = 16_384
-#: Chunks, and matches of the tokenizer's split, whose ids a worker keeps.
-KEPT_CHUNKS = 300_000
-KEPT_MATCHES = 100_000
+#: Chunks whose ids a worker keeps.
+KEPT_CHUNKS = 200_000
+#: A letter and the signs that follow it up to a space or the end.
+END_SIGNS = r"([a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(?: |$)"
+#: Texts of about so many bytes are encoded together.
+SLICE_BYTES = 2 << 20
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 262_144
 
@@ -84,12 +88,17 @@ def _pack(ids: np.ndarray, escapes: list[int]) -> np.ndarray:
             break  # fewer bits fit in no longer run either
         selector[fits] = s
     selector[large] = 0
-    step = (np.arange(n) + _COUNTS[selector]).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = step[i]
-    at = np.array(starts, np.int64)
+    # The places where words start, from the first on: each pass takes as many steps as all before it.
+    jump = np.append(np.minimum(np.arange(n) + _COUNTS[selector], n), n)
+    at = np.zeros(1, np.int64)
+    while True:
+        more = jump[at]
+        more = more[more < n]
+        if not len(more):
+            break
+        at = np.concatenate([at, more])
+        jump = jump[jump]
+    at.sort()
     of = selector[at]
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
     out = of.astype(np.uint64) << np.uint64(60)
@@ -185,7 +194,6 @@ class TextTokenizer:
             rest = [b for b in range(256) if b not in set(own)]
             self.letters = {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
             self.chunks = Chunks(self._chunk, KEPT_CHUNKS)
-            self.matches = Chunks(self._match, KEPT_MATCHES)
 
     @staticmethod
     def _split_pattern(content: str) -> str | None:
@@ -207,14 +215,11 @@ class TextTokenizer:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            body, end = chunk[:-1], chunk[-1]
-            if chunk.isalpha():
-                return self.matches[chunk.lower()]
-            if end in ".," and body.isalpha():
-                return self.matches[body.lower()] + self.matches[end]
+        if chunk.isascii() and chunk.isalpha():
+            return self._match(chunk.lower())
         if self.plain(chunk):
-            return b"".join(map(self.matches.__getitem__, self.find(chunk.lower())))
+            matches = self.find(chunk.lower())
+            return self._match(matches[0]) if len(matches) == 1 else b"".join(map(self.chunks.__getitem__, matches))
         return self._whole(chunk)
 
     def _whole(self, text: str) -> bytes:
@@ -222,11 +227,44 @@ class TextTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.local or self.holds_added is not None and self.sign in text and self.holds_added(text):
-            return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array (null: none).
+
+        The texts' chunks are told apart by Arrow, so each distinct one is looked up once, and the ids
+        of all are gathered by array.  A to Z are lower-cased before, and signs at the end of a Latin
+        word cut off, as the split does, so fewer chunks are distinct."""
+        texts = pc.fill_null(texts, "")
+        whole = np.ones(len(texts), bool)
+        if self.local:
+            whole[:] = False
+            if self.holds_added is not None:
+                for i in np.flatnonzero(pc.match_substring(texts, self.sign).to_numpy(zero_copy_only=False)):
+                    whole[i] = self.holds_added(texts[int(i)].as_py()) is not None
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        for i in np.flatnonzero(whole):
+            out[i] = np.frombuffer(self._whole(texts[int(i)].as_py()), "<u4")
+        plain = np.flatnonzero(~whole)
+        if not len(plain):
+            return out
+        lines = pc.replace_substring(pc.ascii_lower(texts.take(pa.array(plain))), "\n", " ")
+        pieces = pc.split_pattern(pc.replace_substring_regex(lines, END_SIGNS, r"\1 \2 "), " ")
+        ends = pieces.offsets.to_numpy()
+        told = pieces.values.dictionary_encode()
+        which = told.indices.to_numpy()
+        found = [self.chunks[c] if c else b"" for c in told.dictionary.to_numpy(zero_copy_only=False)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        begins = np.cumsum(sizes) - sizes
+        held = sizes[which]
+        at = np.concatenate([[0], np.cumsum(held)])
+        places = np.repeat(begins[which] - at[:-1], held)
+        places += np.arange(at[-1])
+        ids = ids[places]
+        for i, lo, hi in zip(plain, at[ends[:-1]], at[ends[1:]]):
+            out[i] = ids[lo:hi]
+        return out
 
 
 def tokenizer(content: str) -> TextTokenizer:
@@ -255,24 +293,27 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(content)
-        end = np.array([end_id], "<u4").tobytes()
-        names, found, size, before, number, mine = [], [], 0, 0, 0, None
+        end = np.array([end_id], np.uint32)
+        names, found, sizes, size, before, number, mine = [], [], [], 0, 0, 0, None
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(found), "<u4")
-            row = {"part": mine, "block": number, "ids_before": before, "n_docs": len(found), "n_ids": len(ids),
-                   "payload": pack(ids), "doc_id": names, "doc_ids": [len(x) // 4 for x in found]}
+            ids = np.concatenate(found)
+            row = {"part": mine, "block": number, "ids_before": before, "n_docs": len(names), "n_ids": len(ids),
+                   "payload": pack(ids), "doc_id": names, "doc_ids": sizes}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for p, d, text in zip(*batch.columns):
-                mine = p.as_py()
-                names.append(d.as_py())
-                found.append(t.encode(text.as_py() or "") + end)
-                size += len(found[-1]) // 4
-                if size >= BLOCK_IDS:
-                    yield block()
-                    names, found, size, before, number = [], [], 0, before + size, number + 1
+            parts, doc_ids, texts = batch.columns
+            for lo, hi in T.chunks(T.utf8(texts)[1], SLICE_BYTES):
+                for i, ids in zip(range(lo, hi), t.encode_all(texts.slice(lo, hi - lo))):
+                    mine = parts[i].as_py()
+                    names.append(doc_ids[i].as_py())
+                    found += [ids, end]
+                    sizes.append(len(ids) + 1)
+                    size += len(ids) + 1
+                    if size >= BLOCK_IDS:
+                        yield block()
+                        names, found, sizes, size, before, number = [], [], [], 0, before + size, number + 1
         if found:
             yield block()
 
