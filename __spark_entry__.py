@@ -25,6 +25,7 @@ from supplyscope.plans.scoring import (OUTPUT, from_predictions, score_orders,
 from supplyscope.plans.training import (SAMPLE_SIZE, evaluate, fit_both, load_models, metrics_of,  # noqa: E402
                                         predict, save_models, training_features)
 from supplyscope.plans import incremental  # noqa: E402
+from supplyscope.plans.boosting import curve_table  # noqa: E402
 from supplyscope.schemas import SOURCES  # noqa: E402
 from supplyscope.session import materialize, scratch_folder  # noqa: E402
 from supplyscope.sources import (fixture_views, load_sources, read_summary, read_table,  # noqa: E402
@@ -313,6 +314,7 @@ def q_stored_summary(spark, sf_dir):
 
 
 _MODELS: dict = {}
+_CURVES: dict = {}
 
 
 def _models(spark, sf_dir):
@@ -322,8 +324,10 @@ def _models(spark, sf_dir):
         # Fitted on a sample of fixed size; evaluated on every held-out line.
         train, _ = ops.train_test_split(_training(spark, sf_dir, SAMPLE_SIZE), SAMPLE_KEYS, SPLIT_SEED)
         _, test = ops.train_test_split(_training(spark, sf_dir, None), SAMPLE_KEYS, SPLIT_SEED)
-        models = fit_both(train)
+        curves: dict = {}
+        models = fit_both(train, keys=SAMPLE_KEYS, curves=curves)
         _MODELS[key] = (models, test)
+        _CURVES[key] = curves
     return _MODELS[key]
 
 
@@ -345,6 +349,12 @@ def q_model_metrics(spark, sf_dir):
     return evaluate(models, test)
 
 
+def q_boosting_curve(spark, sf_dir):
+    """Held-out loss after each boosting round of both models, and where the ensembles are cut."""
+    _models(spark, sf_dir)
+    return curve_table(spark, _CURVES[(spark.sparkContext.applicationId, sf_dir)])
+
+
 def q_reloaded_predictions(spark, sf_dir):
     """Predictions of the held-out lines by the models after they were saved and loaded."""
     models, test = _models(spark, sf_dir)
@@ -468,6 +478,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "predict_lead_time": (q_predict_lead_time, None),
     "predict_delay": (q_predict_delay, None),
     "model_metrics": (q_model_metrics, None),
+    "boosting_curve": (q_boosting_curve, None),
     "reloaded_predictions": (q_reloaded_predictions, None),
     "score_orders_model": (q_score_orders_model, None),
 }

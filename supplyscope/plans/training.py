@@ -21,6 +21,7 @@ from ..functions import days_between, month_of, weekday0
 from ..operators.sampling import sample_n, train_test_split
 from ..session import materialize
 from ..sources.versions import commit, current, names, new_version
+from .boosting import STOPS_ABOVE_ROWS, cut_ensemble, held_out_flag
 
 # Fixed values that must equal the original job ------------------------------------------
 FEATURES = ["VendorNumber", "Store", "Classification", "Quantity", "PurchasePrice", "Dollars",
@@ -149,21 +150,36 @@ def evaluate(models: dict, test: DataFrame) -> DataFrame:
 ROWS_PER_TRAINING_PARTITION = 50_000
 
 
-def fit_both(train: DataFrame, max_iter: int = BOOST_ROUNDS) -> dict:
+def fit_both(train: DataFrame, max_iter: int = BOOST_ROUNDS, keys: list[str] | None = None,
+             curves: dict | None = None) -> dict:
     """Fit the two models concurrently on one persisted copy of the training rows.
 
     The training set is a bounded sample, so it is packed into ``ceil(rows / 50,000)``
     partitions: each boosting round is a few small jobs, and fewer, fuller tasks cut the
     per-round scheduling cost.  The two fits are independent Spark jobs, so they share the
     executors from two driver threads.  Spark ML checkpoints the boosting state every 10 rounds
-    to the shared checkpoint folder, so a lost executor does not restart the fit."""
+    to the shared checkpoint folder, so a lost executor does not restart the fit.
+
+    Of more than 10,000 rows a tenth (by row ``keys``) is held out and cuts both ensembles, see
+    ``boosting``.  ``curves`` takes each model's losses by round, rounds run and rounds kept."""
     rows = train.count()
     parts = max(1, math.ceil(rows / ROWS_PER_TRAINING_PARTITION))
     packed = train.repartition(parts).persist()
+    stops = rows > STOPS_ABOVE_ROWS
+    judges = held_out_flag(keys or [k for k in default_keys(train) if k in train.columns])
+
+    def fitted(name, fit):
+        if not stops:
+            return fit(packed, max_iter)
+        model, losses, run = cut_ensemble(fit(packed.filter(~judges), max_iter), feature_columns(packed.filter(judges)))
+        if curves is not None:
+            curves[name] = (losses, run, model.stages[-1].getNumTrees)
+        return model
+
     try:
         with ThreadPoolExecutor(max_workers=2) as pool:
-            reg = pool.submit(fit_lead_time, packed, max_iter)
-            cls = pool.submit(fit_delay, packed, max_iter)
+            reg = pool.submit(fitted, "reg", fit_lead_time)
+            cls = pool.submit(fitted, "cls", fit_delay)
             return {"reg": reg.result(), "cls": cls.result()}
     finally:
         packed.unpersist()
@@ -184,7 +200,7 @@ def train_models(purchases: DataFrame, vs: DataFrame, n: int | None = SAMPLE_SIZ
     train, test = train_test_split(feats, split_keys, split_seed)
     if test_all and n is not None:
         _, test = train_test_split(training_features(purchases, vs, None, keys), split_keys, split_seed)
-    models = fit_both(train, max_iter)
+    models = fit_both(train, max_iter, split_keys)
     return models, evaluate(models, test)
 
 
