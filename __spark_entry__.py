@@ -28,8 +28,9 @@ from supplyscope.plans import incremental  # noqa: E402
 from supplyscope.plans.boosting import curve_table  # noqa: E402
 from supplyscope.schemas import SOURCES  # noqa: E402
 from supplyscope.session import materialize, scratch_folder  # noqa: E402
-from supplyscope.sources import (fixture_views, load_sources, read_summary, read_table,  # noqa: E402
-                                 read_training_purchases, write_json, write_summary, write_tables)
+from supplyscope.sources import (fixture_views, load_sources, look_up, read_summary, read_table,  # noqa: E402
+                                 read_training_purchases, write_json, write_lookup_table, write_summary,
+                                 write_tables)
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -306,6 +307,20 @@ def q_stored_projection(spark, sf_dir):
     return read_table(spark, out, "vendor_summary", ["VendorNumber", "VPIScore", "VendorTier"])
 
 
+def q_stored_vendor_detail(spark, sf_dir):
+    """One vendor's scorecard out of the table stored for lookups."""
+    out = scratch_folder(spark, "stored-detail")
+    write_lookup_table(_vs(spark, sf_dir, sort=False), out, "vendor_summary", ["VendorNumber"])
+    return _vs_out(look_up(spark, out, "vendor_summary", VendorNumber=DETAIL_VENDOR))
+
+
+def q_stored_vendor_brands(spark, sf_dir):
+    """All brands of one vendor out of the brand table stored for lookups."""
+    out = scratch_folder(spark, "stored-brands")
+    write_lookup_table(ops.brand_summary(_views(spark, sf_dir)["purchases"]), out, "brand_summary", ["VendorNumber"], ["Brand"])
+    return look_up(spark, out, "brand_summary", VendorNumber=BRAND_VENDOR)
+
+
 def q_stored_summary(spark, sf_dir):
     out = scratch_folder(spark, "stored-summary")
     write_summary(ops.exec_summary(_vs(spark, sf_dir, sort=False, columns=ops.EXEC_COLUMNS)), out)
@@ -406,6 +421,10 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         "PONumber, Brand FROM purchases")),
     "json_records": (q_json_records, O.with_vs(f"SELECT {O.SUMMARY_COLUMNS} FROM vs")),
     "stored_projection": (q_stored_projection, O.with_vs("SELECT VendorNumber, VPIScore, VendorTier FROM vs")),
+    "stored_vendor_detail": (q_stored_vendor_detail, O.with_vs(
+        f"SELECT {O.SUMMARY_COLUMNS} FROM vs WHERE VendorNumber = {DETAIL_VENDOR}")),
+    "stored_vendor_brands": (q_stored_vendor_brands, O.with_standins(
+        f"SELECT * FROM ({O.BRAND_SUMMARY}) WHERE VendorNumber = {BRAND_VENDOR}")),
     "vpi_components": (q_vpi_components, O.with_vs(
         "SELECT VendorNumber, round(LeadTimeScore, 6) AS LeadTimeScore, round(MarginScore, 6) AS MarginScore, "
         "round(FreightScore, 6) AS FreightScore, round(VolumeScore, 6) AS VolumeScore, VPIScore, VendorTier FROM vs")),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import (exec_summary, inventory_metrics_both, invoice_metrics, purchase_tables, sales_metrics,
                          scorecard_of)
 from ..operators.dropped import counts_table, observed
-from ..sources import read_table, write_json, write_summary, write_tables
+from ..sources import read_table, write_json, write_lookup_table, write_summary, write_tables
 
 
 def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
@@ -43,7 +43,9 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
         "monthly_trends": found["monthly_trends"],
         "top_brands": found["top_brands"],
     }
-    write_tables(tables, out_dir)
+    for name in ("vendor_summary", "top_brands"):  # looked up by vendor
+        write_lookup_table(tables[name], out_dir, name, ["VendorNumber"])
+    write_tables({"monthly_trends": tables["monthly_trends"]}, out_dir)
     tables["filter_counts"] = counts_table(spark, {"purchases": of_lines, "vendor_invoice": of_invoices})
     write_tables({"filter_counts": tables["filter_counts"]}, out_dir)
     stored = {k: read_table(spark, out_dir, k) for k in tables}
