@@ -28,7 +28,7 @@ from supplyscope.plans import incremental  # noqa: E402
 from supplyscope.plans.boosting import curve_table  # noqa: E402
 from supplyscope.schemas import SOURCES  # noqa: E402
 from supplyscope.session import materialize, scratch_folder  # noqa: E402
-from supplyscope.sources import (fixture_views, load_sources, look_up, read_summary, read_table,  # noqa: E402
+from supplyscope.sources import (fixture_views, load_sources, look_up, read_csv_folder, read_summary, read_table,  # noqa: E402
                                  read_training_purchases, write_json, write_lookup_table, write_summary,
                                  write_tables)
 from pyspark.ml.functions import vector_to_array  # noqa: E402
@@ -293,6 +293,23 @@ def q_csv_training_lines(spark, sf_dir):
     return read_training_purchases(spark, out)
 
 
+def q_mixed_csv_lines(spark, sf_dir):
+    """Purchases as CSV files of two layouts, some with a cell that is no number: the lines that can be read
+    and the rejected ones."""
+    out = scratch_folder(spark, "csv-mixed")
+    lines = _views(spark, sf_dir)["purchases"].select(*[f.name for f in SOURCES["purchases"].fields])
+    texts = lines.withColumn("Quantity", F.when(F.col("Brand") % 7 == 0, F.concat(F.lit("about "), F.col("Quantity")))
+                             .otherwise(F.col("Quantity").cast("string")))
+    for odd, columns in ((True, lines.columns), (False, lines.columns[::-1])):
+        side = F.col("PONumber") % 2 == (1 if odd else 0)
+        texts.filter(side).select(*columns).write.mode("append").option("header", True).csv(out)
+    good, bad = read_csv_folder(spark, out, SOURCES["purchases"])
+    cell = lambda name: F.get_json_object("line", f"$.{name}").cast("long").alias(name)
+    return (good.select("PONumber", "Brand", "VendorNumber", F.col("Quantity").cast("double"), F.lit("").alias("rejected_for"))
+            .unionByName(bad.select(cell("PONumber"), cell("Brand"), cell("VendorNumber"),
+                                    F.lit(None).cast("double").alias("Quantity"), F.concat_ws(",", "columns").alias("rejected_for"))))
+
+
 def q_json_records(spark, sf_dir):
     """The scorecard as JSON records, read back."""
     out, vs = scratch_folder(spark, "json-records"), _vs(spark, sf_dir, sort=False)
@@ -419,6 +436,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "csv_training_lines": (q_csv_training_lines, O.with_standins(
         "SELECT VendorNumber, Store, Classification, Quantity, PurchasePrice, Dollars, PODate, ReceivingDate, "
         "PONumber, Brand FROM purchases")),
+    "mixed_csv_lines": (q_mixed_csv_lines, O.with_standins(
+        "SELECT PONumber, Brand, VendorNumber, CASE WHEN Brand % 7 <> 0 THEN CAST(Quantity AS DOUBLE) END AS Quantity, "
+        "CASE WHEN Brand % 7 = 0 THEN 'Quantity' ELSE '' END AS rejected_for FROM purchases")),
     "json_records": (q_json_records, O.with_vs(f"SELECT {O.SUMMARY_COLUMNS} FROM vs")),
     "stored_projection": (q_stored_projection, O.with_vs("SELECT VendorNumber, VPIScore, VendorTier FROM vs")),
     "stored_vendor_detail": (q_stored_vendor_detail, O.with_vs(

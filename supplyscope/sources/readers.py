@@ -31,6 +31,16 @@ DRIVER_SCHEMAS = {
 DRIVER_TABLES = tuple(DRIVER_SCHEMAS)
 
 
+def cell_text(c, kind: T.DataType):
+    """A text cell as it is cast to ``kind``: trimmed, empty is missing, and whole numbers may be written
+    as 12.0, as a float column would be.  Strings stay as they are."""
+    if isinstance(kind, T.StringType):
+        return c
+    text = F.trim(c)
+    text = F.when(text != "", text)
+    return F.regexp_replace(text, r"\.0*$", "") if isinstance(kind, T.IntegralType) else text
+
+
 def _conform(df: DataFrame, schema: T.StructType, what: str, optional: bool = False) -> DataFrame:
     """The schema's columns of ``df`` by name, cast to its types; NaN becomes missing.
 
@@ -42,13 +52,8 @@ def _conform(df: DataFrame, schema: T.StructType, what: str, optional: bool = Fa
     out = []
     for f in schema.fields:
         c = F.lit(None) if f.name in absent else F.col(f"`{f.name}`")
-        if f.name not in absent and isinstance(df.schema[f.name].dataType, T.StringType) \
-                and not isinstance(f.dataType, T.StringType):
-            text = F.trim(c)
-            c = F.when(text != "", text)
-            if isinstance(f.dataType, T.IntegralType):
-                # Whole numbers may be written as 12.0, as a float column would be.
-                c = F.regexp_replace(c, r"\.0*$", "")
+        if f.name not in absent and isinstance(df.schema[f.name].dataType, T.StringType):
+            c = cell_text(c, f.dataType)
         c = c.cast(f.dataType)
         if isinstance(f.dataType, T.DoubleType):
             c = F.nanvl(c, F.lit(None).cast("double"))
@@ -61,22 +66,29 @@ def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType,
     """A CSV file with a header, its columns found by name.
 
     All columns are read as text (no inference pass; only the used ones are parsed) and cast.  Files of
-    one folder that order their columns differently are not one table for Spark; read them one by one."""
+    one folder that order their columns differently are not one table for Spark; ``read_csv_folder`` takes them."""
     return _conform(spark.read.option("header", True).option("mode", "FAILFAST").csv(path),
                     schema, path, optional)
 
 
 def load_sources(spark: SparkSession, path: str, fmt: str = "csv",
-                 register_views: bool = True) -> dict[str, DataFrame]:
+                 register_views: bool = True, rejected: dict | None = None) -> dict[str, DataFrame]:
     """Read the six inputs ``<path>/<name>.<fmt>``, columns by name, with fixed types.
 
     CSV files carry a header row; dates are ``yyyy-MM-dd``.  Each input is also registered as a
-    temporary view of the same name so SQL users can query it."""
+    temporary view of the same name so SQL users can query it.
+
+    Given a dict ``rejected``, CSV inputs may be folders whose files order their columns differently, and
+    the rows that can't be read are put there by input, instead of failing the query (``read_csv_folder``)."""
+    from .folders import read_csv_folder
     out = {}
     for name, schema in schemas.SOURCES.items():
         p = os.path.join(path, f"{name}.{fmt}")
-        df = (read_csv_by_name(spark, p, schema) if fmt == "csv"
-              else _conform(spark.read.format(fmt).load(p), schema, p))
+        if fmt == "csv" and rejected is not None:
+            df, rejected[name] = read_csv_folder(spark, p, schema)
+        else:
+            df = (read_csv_by_name(spark, p, schema) if fmt == "csv"
+                  else _conform(spark.read.format(fmt).load(p), schema, p))
         if register_views:
             df.createOrReplaceTempView(name)
         out[name] = df
