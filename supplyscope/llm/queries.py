@@ -51,7 +51,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.conversations(_table(spark, sf_dir, "conversations"))
+    """The conversations in reply order, without quotations."""
+    return quotes.threads(_table(spark, sf_dir, "conversations"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
