@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import (exec_summary, inventory_metrics_both, invoice_metrics, purchase_tables, sales_metrics,
                          scorecard_of)
 from ..operators.dropped import counts_table, observed
+from ..session import run_folder
 from ..sources import read_table, write_json, write_lookup_table, write_summary, write_tables
 
 
@@ -28,7 +29,14 @@ def run_etl(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     executive summary under ``out_dir``; returns the stored tables re-read (S4-S7).
 
     The purchases input is stored under ``out_dir`` as well, replacing the last run's copy, unless
-    ``materialize_purchases=False`` says that it is a stored columnar table already."""
+    ``materialize_purchases=False`` says that it is a stored columnar table already.  Intermediate tables are
+    removed at the end; the tables that are returned read ``out_dir``."""
+    with run_folder(spark, "etl"):
+        return _stored_tables(spark, sources, out_dir, month_from, month_to, top_k, json_dir, materialize_purchases)
+
+
+def _stored_tables(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str, month_from: str, month_to: str,
+                   top_k: int, json_dir: str | None, materialize_purchases: bool) -> dict[str, DataFrame]:
     purchases = sources["purchases"]
     if materialize_purchases:
         write_tables({"purchases": purchases}, out_dir)

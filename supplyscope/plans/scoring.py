@@ -129,7 +129,7 @@ def main(argv: list[str] | None = None) -> None:
     take the defaults) with the saved models, or with the rule of thumb without ``--models``."""
     import argparse
 
-    from ..session import build_session
+    from ..session import build_session, run_folder
     from ..sources import read_orders, read_table
     from .training import load_models
 
@@ -146,7 +146,8 @@ def main(argv: list[str] | None = None) -> None:
     vs = read_table(spark, a.results, "vendor_summary")
     models = load_models(spark, a.models)[0] if a.models else None
     print(f"scored by {'the saved models' if models else 'the rule of thumb'}")
-    score_orders(orders, vs, models).write.mode("overwrite").parquet(a.out)
+    with run_folder(spark, "scoring"):
+        score_orders(orders, vs, models).write.mode("overwrite").parquet(a.out)
 
 
 if __name__ == "__main__":

@@ -253,7 +253,7 @@ def main(argv: list[str] | None = None) -> None:
     and saves both pipelines and the metrics row under MODELS."""
     import argparse
 
-    from ..session import build_session
+    from ..session import build_session, run_folder
     from ..sources import read_table, read_training_purchases
 
     ap = argparse.ArgumentParser(prog="python -m supplyscope.plans.training")
@@ -267,12 +267,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--shuffle-partitions", type=int, default=None)
     a = ap.parse_args(argv)
     spark = build_session(shuffle_partitions=a.shuffle_partitions)
-    purchases = read_training_purchases(spark, a.inputs, a.format)
-    vs = read_table(spark, a.results, "vendor_summary",
-                    ["VendorNumber", "AvgLeadTimeDays", "LateDeliveryRate", "VPIScore"])
-    models, metrics = train_models(purchases, vs, a.sample or None, a.rounds, test_all=a.test_all)
-    save_models(models, metrics, a.models)
-    m = metrics.first()
+    with run_folder(spark, "training"):
+        purchases = read_training_purchases(spark, a.inputs, a.format)
+        vs = read_table(spark, a.results, "vendor_summary",
+                        ["VendorNumber", "AvgLeadTimeDays", "LateDeliveryRate", "VPIScore"])
+        models, metrics = train_models(purchases, vs, a.sample or None, a.rounds, test_all=a.test_all)
+        save_models(models, metrics, a.models)
+        m = metrics.first()
     print(f"r2={m.r2:.4f} mae={m.mae:.2f} rmse={m.rmse:.2f} accuracy={m.accuracy:.4f}")
 
 

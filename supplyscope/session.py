@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,9 +70,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+# The folder of the run that this thread (and no other) is in.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under the checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new folder name under the run's folder, or under the checkpoint folder outside of a run."""
+    return os.path.join(_run.get() or ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder under the checkpoint folder that holds what ``materialize`` and the like write inside the
+    ``with`` block, and is removed at its end, also after an error.
+
+    Results must be stored elsewhere by then: a DataFrame that still reads intermediate tables fails
+    afterwards.  Runs nest, and runs of several driver threads don't see each other's folders."""
+    path = scratch_folder(spark, name)
+    before = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(before)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
