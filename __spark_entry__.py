@@ -249,7 +249,8 @@ def q_risk_from_predictions(spark, sf_dir):
 
 
 def q_metrics_from_predictions(spark, sf_dir):
-    scored = _training(spark, sf_dir).withColumns({
+    """The metrics of stand-in predictions over all lines that pass the training filters."""
+    scored = _training(spark, sf_dir, None).withColumns({
         "pred_days": F.col("ActualLeadTimeDays") + (F.col("Brand") % 7 - 3) * 0.5,
         "pred_delay": F.when(F.col("Brand") % 9 == 0, 1 - F.col("IsDelayed"))
         .otherwise(F.col("IsDelayed")).cast("double")})
@@ -508,7 +509,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "training_features": (q_training_features, O.with_vs(O.TRAINING_FEATURES)),
     "train_test_split": (q_train_test_split, O.with_vs(
         f"SELECT *, CASE WHEN substr(md5(concat_ws('|', PONumber, LineNumber, Brand, VendorNumber, '{SPLIT_SEED}')), 1, 8) "
-        f"< 'cccccccc' THEN 'train' ELSE 'test' END AS Split FROM ({O.TRAINING_FEATURES_SELECT})")),
+        f"< 'cccccccc' THEN 'train' ELSE 'test' END AS Split FROM ({O.TRAINING_FEATURES})")),
     "score_orders_rules": (q_score_orders_rules, O.with_vs(O.SCORE_ORDERS_RULES)),
     "score_orders_defaults": (q_score_orders_defaults, O.with_vs(O.SCORE_ORDERS_DEFAULTS)),
     "risk_from_predictions": (q_risk_from_predictions, O.with_vs(O.RISK_FROM_PREDICTIONS)),

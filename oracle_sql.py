@@ -242,7 +242,9 @@ def with_standins(select: str) -> str:
     return f"WITH {STANDINS}\n{select}"
 
 
-TRAINING_FEATURES_SELECT = f"""
+def _features(lines: str) -> str:
+    """The features of all lines of a table expression."""
+    return f"""
 SELECT l.PONumber, l.LineNumber, l.Brand, l.VendorNumber, l.Store, l.Classification, l.Quantity,
        l.PurchasePrice, l.Dollars, l.POMonth, l.PODayOfWeek, l.ActualLeadTimeDays,
        COALESCE(v.AvgLeadTimeDays, 7.5) AS AvgLeadTimeDays,
@@ -252,15 +254,18 @@ SELECT l.PONumber, l.LineNumber, l.Brand, l.VendorNumber, l.Store, l.Classificat
 FROM (SELECT PONumber, LineNumber, Brand, VendorNumber, Store, Classification, Quantity,
              PurchasePrice, Dollars, month(PODate) AS POMonth, dayofweek(PODate) AS PODayOfWeek,
              date_diff('day', PODate, ReceivingDate) AS ActualLeadTimeDays
-      FROM (SELECT * FROM purchases
-            ORDER BY md5(concat_ws('|', PONumber, LineNumber, Brand, VendorNumber, '42')),
-                     PONumber, LineNumber, Brand, VendorNumber
-            LIMIT {SAMPLE_N})
+      FROM {lines}
       WHERE PODate IS NOT NULL AND ReceivingDate IS NOT NULL AND Quantity > 0 AND Dollars > 0) l
 LEFT JOIN vs v ON l.VendorNumber IS NOT DISTINCT FROM v.VendorNumber
 WHERE l.ActualLeadTimeDays BETWEEN 0 AND 60"""
 
-TRAINING_FEATURES = TRAINING_FEATURES_SELECT
+
+#: The drawn lines.
+DRAWN = f"""(SELECT * FROM purchases
+            ORDER BY md5(concat_ws('|', PONumber, LineNumber, Brand, VendorNumber, '42')),
+                     PONumber, LineNumber, Brand, VendorNumber
+            LIMIT {SAMPLE_N})"""
+TRAINING_FEATURES = _features(DRAWN)
 
 # Fixed values that must equal the original job: risk levels, badges and advice.
 _RISK = """
@@ -316,7 +321,7 @@ SELECT round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2, round(avg(abs(y
        count(*) AS test_rows
 FROM (SELECT CAST(ActualLeadTimeDays AS DOUBLE) AS y, ActualLeadTimeDays + (Brand % 7 - 3) * 0.5 AS p, IsDelayed,
              CASE WHEN Brand % 9 = 0 THEN 1 - IsDelayed ELSE IsDelayed END AS d
-      FROM ({TRAINING_FEATURES_SELECT}))"""
+      FROM ({_features('purchases')}))"""
 SAMPLE_TIED_LINES = f"""
 SELECT * EXCLUDE (place) FROM (
   SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', Brand, '42')), Brand,
