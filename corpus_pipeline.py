@@ -36,7 +36,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", classify), ("near_duplicates", deduplicate), ("mixing", mix), ("tokens", tokenize)]
 
-#: A classifier, hashed permutations and a BPE can't be told in SQL; tests hold run() against brute force.
+#: A classifier, hashed permutations and a BPE can't be told in SQL.  Tests hold run() against the stages one by one, and
+#: their operators against brute force, the tokenizer library or held-out labels.
 ORACLE_SQL = None
 
 
