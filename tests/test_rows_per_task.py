@@ -1,10 +1,12 @@
 """What a task holds doesn't grow with the tables: lines meet their orders in tasks of a bounded number of rows."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from supplyscope import operators as ops
 from supplyscope import session
 from supplyscope.sources import fixture_views
 
@@ -49,3 +51,21 @@ def test_invoices_of_stored_purchases_in_bounded_tasks(spark, tables, monkeypatc
     assert most_in_a_task(got) <= 500
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(got) == rows(fixture_views(spark, tables)["vendor_invoice"])
+
+
+def test_pairs_of_vendor_and_po_are_told_apart_without_measures(spark, tmp_path):
+    """A pair is two numbers in the aggregate that finds the distinct ones, not as wide as a vendor's sums."""
+    day = dt.date(2024, 1, 1)
+    at = str(tmp_path / "purchases")
+    #       vendor, name, PO, receipt: a pair twice, under two names, without receipt, without PO, without vendor
+    rows = [(1, "a", 10, day), (1, "a", 10, day), (1, "b", 10, day), (1, "a", 11, None), (1, "a", None, day), (1, "a", 12, day),
+            (2, "c", None, day), (2, "c", 10, None), (None, "d", 10, day), (None, "d", 10, day), (3, "e", 10, None)]
+    (spark.createDataFrame([(v, n, po, day, r, 1.0, 2.0, 2.0) for v, n, po, r in rows],
+                           "VendorNumber long, VendorName string, PONumber long, PODate date, ReceivingDate date, "
+                           "Quantity double, Dollars double, PurchasePrice double").write.parquet(at))
+    got = ops.purchase_metrics(spark.read.parquet(at))
+    found = {r["VendorNumber"]: (r["VendorName"], r["TotalPOs"], r["TotalPurchaseRecords"]) for r in got.collect()}
+    assert found == {1: ("b", 2, 5), 2: ("c", 0, 1), None: ("d", 1, 2)}
+    aggregates = re.findall(r"HashAggregate\(keys=\[([^\]]*)\], functions=\[([^\]]*)\]", got._jdf.queryExecution().executedPlan().toString())
+    by_pair = [measures for keys, measures in aggregates if re.fullmatch(r"k1#\d+L?, k2#\d+L?", keys)]
+    assert by_pair and not any(by_pair)
